@@ -128,17 +128,17 @@ def bucket(doc_id: Column, n: int) -> Column:
 
 
 def bounded(labelled: DataFrame, kind: str, most: int) -> DataFrame:
-    """At most about `most` rows of each value of `kind`, chosen by a hash of doc_id; fewer where there are fewer."""
+    """At most about `most` rows of each value of `kind` (256 values at most), chosen by a hash of doc_id; fewer where there are fewer."""
     share = labelled.groupBy(kind).count().select(kind, F.least(F.lit(1.0), F.lit(float(most)) / F.col("count")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    return labelled.join(share, kind).where(draw < F.col("share")).drop("share")
+    return labelled.join(F.broadcast(share), kind).where(draw < F.col("share")).drop("share")
 
 
 def learn(docs: DataFrame, per_lang: int = 500, most_langs: int = 256) -> Model | None:
     """A model from at most about `per_lang` documents of each of the `most_langs` most frequent languages."""
     labelled = docs.where((F.col("lang").isNotNull()) & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
-    rows = bounded(labelled.join(common, "lang"), "lang", per_lang).orderBy("lang", "doc_id", "text").collect()
+    rows = bounded(labelled.join(F.broadcast(common), "lang"), "lang", per_lang).orderBy("lang", "doc_id", "text").collect()
     return fit([r.text.encode() for r in rows], [r.lang for r in rows])
 
 
