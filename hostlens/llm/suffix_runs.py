@@ -267,7 +267,8 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 1000) -> DataFrame:
     def pieces() -> DataFrame:
         return docs.mapInArrow(lambda batches: (out for batch in batches for out in _cut_batch(batch, length)), "id long, mark long, gram long, piece long, lo int, hi int, at int")
 
-    twice = pieces().groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written, so that the join below reads it by an exchange of its own and a frequent 64-gram can be split.
+    twice = written(pieces().groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "twice")
     found = written(pieces().join(twice, "gram", "left_semi"), "pieces")
     distinct = found.groupBy("gram", "piece").agg(F.count("*").alias("copies"), F.min(F.struct("id", "mark", "lo", "hi", "at")).alias("one")).select("gram", "piece", "copies", "one.*")
     length_of = F.col("hi") - F.col("lo") + length
