@@ -1,0 +1,93 @@
+import ipaddress
+
+import pytest
+from pyspark.sql import functions as F
+
+from hostlens.functions import columns as C
+from hostlens.operators import pe
+from hostlens.schema import DATA
+
+
+def values(spark, rows, schema, column):
+    frame = spark.createDataFrame([(i, r) if not isinstance(r, tuple) else (i, *r) for i, r in enumerate(rows)], f"i int, {schema}")
+    return [r[1] for r in frame.select("i", column.alias("v")).orderBy("i").collect()]
+
+
+def public(text):
+    """The documented rule, by Python's ipaddress where that agrees."""
+    try:
+        a = ipaddress.ip_address(text)
+    except ValueError:
+        return False
+    if a.version == 4:
+        nets = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "255.255.255.255/32", "0.0.0.0/32"]
+    else:
+        nets = ["::/128", "::1/128", "fc00::/7", "fe80::/10", "ff00::/8", "2001:db8::/32"]
+    return not any(a in ipaddress.ip_network(n) for n in nets)
+
+
+def test_public_addresses(spark):
+    texts = ["8.8.8.8", "08.8.8.8", "10.1.2.3", "172.15.0.1", "172.31.0.1", "192.0.2.5", "192.0.3.5", "198.51.100.9", "203.0.113.1", "169.254.1.1", "255.255.255.255", "255.255.255.254", "0.0.0.0", "0.1.2.3", "224.0.0.1", "100.64.0.1", "256.1.1.1", "1.2.3", "1.2.3.4.5", "", "x", "1.2.3.4 "]
+    texts += ["::", "::1", "0:0:0:0:0:0:0:1", "0::0001", "::2", "1::", "fc00::1", "fdff::", "fe80::1", "febf::1", "fec0::1", "ff02::1", "2001:db8::1", "2001:0DB8:0::", "2001:db80::1", "2001:4860:4860::8888", "::ffff:10.0.0.1", "::0.0.0.1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8::", "1::2::3", ":::", "12345::", "g::1", "1:2:3:4:5:6:1.2.3.4", ":1", "1:"]
+    got = values(spark, [*texts, None], "t string", C.is_public_ip(F.col("t")))
+    assert got == [*[public(t) for t in texts], False]
+
+
+def test_names_and_texts(spark):
+    assert values(spark, ["a/b\\c.exe", "c", "", "x\\"], "t string", C.basename(F.col("t"))) == ["c.exe", "c", "", ""]
+    texts = ["abcdef", "éééé", "aé€", "", None, "😀😀"]
+    got = values(spark, texts, "t string", C.truncate_bytes(F.col("t"), 5))
+    cut = lambda t: None if t is None else next(t[:n] for n in range(len(t), -1, -1) if len(t[:n].encode()) <= 5)
+    assert got == [cut(t) for t in texts]
+    assert values(spark, ["C:\\\\bin\\\\x", "C:\\bin\\x", "none", None], "t string", C.text_contains(F.col("t"), "c:\\BIN\\X")) == [True, True, False, None]
+    assert values(spark, ["SHA256=a, MD5=b,,", None], "t string", C.hash_list(F.col("t"))) == [["SHA256=a", "MD5=b"], None]
+    assert values(spark, ["10.0.0.1; 1.1.1.0 ;"], "t string", C.response_addresses(F.col("t"))) == [["10.0.0.1", "1.1.1.0", ""]]
+    assert values(spark, [0, 1, 16383, 16384, 20479, 20480, 32768], "n long", C.amsi_result(F.col("n"))) == [f"AMSI_RESULT_{x}" for x in ("CLEAN", "NOT_DETECTED", "NOT_DETECTED", "BLOCKED_BY_ADMIN", "BLOCKED_BY_ADMIN", "NOT_DETECTED", "DETECTED")]
+    assert values(spark, [1, 28, 77], "n int", C.dns_type(F.col("n"))) == ["A", "AAAA", "TYPE77"]
+    assert values(spark, [("A", "B"), ("", "B"), ("A", ""), ("", "")], "a string, b string", C.registry_key(F.col("a"), F.col("b"))) == ["A\\B", "B", "A", ""]
+    assert values(spark, [("x", "C:/o"), ("C:/d", "C:/o"), ("", "C:/o"), ("\x01\x02 ", "C:/o"), ("x", "y")], "a string, b string", C.chosen_layout(F.col("a"), F.col("b"))) == ["C:/o", "C:/d", "", "C:/o", "x"]
+    assert values(spark, [0x60000020, 0xE0000020, 0x40000000], "n long", C.rwx(F.col("n"))) == ["R-X", "RWX", "R--"]
+
+
+def test_severities():
+    assert [C.parse_severity(s) for s in ("info", "LOW", "med", "Medium", "High", "crit")] == [0, 1, 2, 2, 3, 4]
+    with pytest.raises(ValueError):
+        C.parse_severity("grave")
+
+
+def test_summaries(spark):
+    kinds = [
+        ({"type": "ProcessCreate", "pid": 1, "image_path": "a.exe", "command_line": "é" * 50}, "ProcessCreate     pid:1 a.exe " + "é" * 40),
+        ({"type": "FileCreate", "pid": 1, "operation": "Rename", "path": "p"}, "FileCreate        pid:1 Rename p"),
+        ({"type": "NetworkConnect", "pid": 1, "protocol": "TCP", "dst_addr": "1.1.1.1", "dst_port": 443}, "NetworkConnect    pid:1 TCP -> 1.1.1.1:443"),
+        ({"type": "ScriptBlock", "pid": 1, "script_engine": "PS", "script_path": "s.ps1"}, "ScriptBlock       pid:1 PS s.ps1"),
+        ({"type": "AmsiScan", "pid": 1, "app_name": "a", "scan_result_name": "", "content_name": "c"}, "AmsiScan          pid:1 a [unknown] c"),
+        ({"type": "EvasionDetected", "technique": "Unknown", "details": "d"}, "EvasionDetected   Unknown d"),
+        ({"type": "ProcessAccess", "source_pid": 1, "target_pid": 2, "granted_access": 0x1FFF}, "ProcessAccess     1 -> 2 (0x1FFF)"),
+        ({"type": "CreateRemoteThread", "source_pid": 1, "target_pid": 2}, "CreateRemoteThread 1 -> 2"),
+        ({"type": "SensorHealth", "uptime_secs": 5, "events_total": 9}, "SensorHealth      uptime:5s events:9"),
+    ]
+    rows = [(i, tuple(d.get(f.name) for f in DATA.fields)) for i, (d, _) in enumerate(kinds)]
+    from pyspark.sql import types as T
+
+    frame = spark.createDataFrame(rows, T.StructType([T.StructField("i", T.IntegerType()), T.StructField("data", DATA)]))
+    got = [r.s for r in frame.select("i", C.event_summary(F.col("data")).alias("s")).orderBy("i").collect()]
+    assert got == [want for _, want in kinds]
+
+
+def test_stubs_and_patches(spark):
+    a, b = "4C8BD1B8", "B8{}4989CA"
+    codes = [
+        (a + "55000000" + "0F05C3", [(0, 0x55, False)]),
+        ("90" + b.format("00060000") + "90" * 12 + "CD2E", [(1, 0x600, False)]),
+        (b.format("01060000") + "0F05", []),
+        (a + "01000000" + "90" * 13 + "0F05", []),
+        (a + "02000000" + "FF2501020304C3" + a + "03000000" + "41FFE3", [(0, 2, True), (15, 3, True)]),
+        (a + "0A000000" + "0A0D" + "0F05", [(0, 10, False)]),
+        ("", []),
+    ]
+    got = values(spark, [bytearray.fromhex(c) for c, _ in codes], "b binary", pe.stubs(F.col("b")))
+    assert [[tuple(x) for x in g] for g in got] == [want for _, want in codes]
+    patches = ["B857000780C3", "B8010000 00C3", "31C0C3", "C390", "90C3", "C3", "4C8BDC"]
+    got = values(spark, [bytearray.fromhex(p) for p in patches], "b binary", pe.prologue_patch(F.col("b")))
+    assert [g and g.pattern for g in got] == ["mov-ret E_INVALIDARG", "mov-ret S_FALSE", "xor-ret", "ret", "nop-ret", None, None]
