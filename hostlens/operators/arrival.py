@@ -125,7 +125,10 @@ def cooled(rows: DataFrame, cooldown: int, key: list[str] | None = None) -> Data
 
 
 class AgentAlerts:
-    """All alerts of an agent's events in arrival order, with running scores and either order of parent and child."""
+    """All alerts of an agent's events in arrival order, with running scores and either order of parent and child.
+
+    An alert has the seq of the event that raised it and the time that it is about, a late parent's the child's.
+    """
 
     def __init__(self, rules: Rules) -> None:
         self.rules = rules
@@ -151,14 +154,14 @@ class AgentAlerts:
         out: list[tuple] = []
         kind, key, at, pid = row["kind"], row["pkey"], row["at"], int(row["pid"] or 0)
 
-        def alert(alert_type, rule, severity, mitre, key, pid, image, detail, dedup, score=None):
+        def alert(alert_type, rule, severity, mitre, key, pid, image, detail, dedup, score=None, time=at):
             if self._passes(f"{key}|{dedup}", at):
-                out.append((int(row["seq"]), alert_type, rule, severity, mitre, key, pid, image, detail, score))
+                out.append((int(row["seq"]), alert_type, rule, severity, mitre, key, pid, image, detail, score, time))
 
-        def spawned(parent: str, child: tuple) -> None:
-            name, (key_, pid_, image_, line_) = parent, child
+        def spawned(parent: str, child: tuple, begun: float) -> None:
+            key_, pid_, image_, line_ = child
             self._score(key_, pid_, image_)["parent"] = True
-            alert("hunt", "suspicious-parent", "High", "T1204.002", key_, pid_, image_, f"{_base(name)} spawned {_base(image_)} ({line_})", "suspicious-parent")
+            alert("hunt", "suspicious-parent", "High", "T1204.002", key_, pid_, image_, f"{_base(parent)} spawned {_base(image_)} ({line_})", "suspicious-parent", time=begun)
 
         if kind == "create":
             score = self._score(key, pid, row["image"])
@@ -171,15 +174,14 @@ class AgentAlerts:
             if ppid in self.processes:
                 image, begun = self.processes[ppid]
                 if begun <= at and risky and _base(image).lower() in self.rules.suspicious_parents:
-                    spawned(image, (key, pid, row["image"], line))
+                    spawned(image, (key, pid, row["image"], line), at)
             elif risky:
                 self.waiting.setdefault(ppid, []).append((at, (key, pid, row["image"], line)))
             self.processes[pid] = row["image"], at
-            late = self.waiting.pop(pid, [])
             if base.lower() in self.rules.suspicious_parents:
-                for begun, child in late:
+                for begun, child in self.waiting.pop(pid, []):
                     if begun >= at:
-                        spawned(row["image"], child)
+                        spawned(row["image"], child, begun)
         elif kind == "detection":
             self._score(key, pid, row["image"])["detections"] += 1
             alert("detection", row["value"], row["severity"], row["mitre"], key, pid, row["image"], row["detail"], row["value"])
@@ -202,7 +204,7 @@ def _base(path: str) -> str:
     return (path or "").replace("/", "\\").rsplit("\\", 1)[-1]
 
 
-ALERTS = "seq long, alert_type string, rule string, severity string, mitre string, pkey string, pid long, image string, detail string, score long"
+ALERTS = "seq long, alert_type string, rule string, severity string, mitre string, pkey string, pid long, image string, detail string, score long, at double"
 
 
 def alert_rows(events: DataFrame) -> DataFrame:

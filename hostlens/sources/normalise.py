@@ -31,8 +31,24 @@ TI_RULES = {
 }
 #: The system call behind a threat-intelligence event.
 TI_CALLS = {1: "NtAllocateVirtualMemory", 6: "NtAllocateVirtualMemory", 2: "NtProtectVirtualMemory", 7: "NtProtectVirtualMemory", 3: "NtMapViewOfSection", 8: "NtMapViewOfSection", 4: "NtQueueApcThread", 5: "NtSetContextThread", 9: "NtSuspendThread", 10: "NtResumeThread"}
-#: Providers by GUID.
 PROVIDER = "Microsoft-Windows-"
+#: Providers by the first part of their GUID.
+PROVIDER_GUIDS = {
+    "22fb2cd6": "Microsoft-Windows-Kernel-Process",
+    "edd08927": "Microsoft-Windows-Kernel-File",
+    "7dd42a49": "Microsoft-Windows-Kernel-Network",
+    "70eb4f03": "Microsoft-Windows-Kernel-Registry",
+    "1c95126e": "Microsoft-Windows-DNS-Client",
+    "a0c1853b": "Microsoft-Windows-PowerShell",
+    "2a576b87": "Microsoft-Antimalware-Scan-Interface",
+    "f4e1897c": "Microsoft-Windows-Threat-Intelligence",
+}
+
+
+def provider_name(guid: Column) -> Column:
+    """The provider of a GUID, with or without braces, in any case."""
+    names = F.create_map(*[F.lit(x) for pair in PROVIDER_GUIDS.items() for x in pair])
+    return F.coalesce(F.element_at(names, F.lower(F.substring(F.ltrim(guid, F.lit("{")), 1, 8))), F.lit("Unknown"))
 
 
 def parsed_sysmon(records: DataFrame, xml: str = "xml") -> DataFrame:

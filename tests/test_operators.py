@@ -97,6 +97,20 @@ def test_filters(events):
         filters.find_by_id(rows, "f")
 
 
+def test_provider_names(spark):
+    from hostlens.sources.normalise import provider_name
+
+    rows = spark.createDataFrame([("{22FB2CD6-0e7b-422b-a0c7-2fad1fd0e716}",), ("f4e1897c-bb5d-5668-f1d8-040f4d8dd344",), ("0",)], "g string")
+    assert [r[0] for r in rows.select(provider_name(F.col("g"))).collect()] == ["Microsoft-Windows-Kernel-Process", "Microsoft-Windows-Threat-Intelligence", "Unknown"]
+
+
+def test_a_waiting_child_outlasts_a_harmless_process(events):
+    rows = events([create(1, 9, 20, 10, "cmd.exe", "20:1"), create(2, 3, 10, 1, "notepad.exe"), create(3, 4, 10, 1, "winword.exe")])
+    got = arrival.backtest(rows, order="seq").collect()
+    assert [(r.rule, r.pkey) for r in got] == [("suspicious-parent", "20:1")]
+    assert got[0].at == (START + timedelta(minutes=9) - datetime(1970, 1, 1)).total_seconds()
+
+
 def test_hunt_rules(events):
     rows = events([create(2, 5, 20, 10, "C:\\w\\CMD.exe", "20:1"), create(1, 0, 10, 1, "C:\\o\\WINWORD.EXE"), create(3, 6, 30, 99, "certutil.exe"), load(4, 7, 30, "bad.dll", False), load(5, 7, 30, "ok.dll", True), *[network(6 + i, 8, 20, "8.8.8.8", "20:1") for i in range(3)], network(20, 9, 20, "10.0.0.1")])
     found = hunt.hunt(rows, Rules(beaconing_threshold=3)).collect()
