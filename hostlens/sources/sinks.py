@@ -25,30 +25,30 @@ def http_batches(lines: DataFrame, size: int = 100, per_task: int = 10_000) -> D
     return bodies.select((F.col("part") * per_task + F.col("slot")).cast("long").alias("batch"), "n", body.alias("body"))
 
 
-def post_batches(batches: DataFrame, url: str, token: str | None = None, headers: dict[str, str] | None = None, compress: bool = True, retries: int = 3, backoff: float = 0.1, timeout: float = 10.0, send: Callable | None = None) -> DataFrame:
-    """Posts each batch from the executors: (batch, sent, attempts). The wait grows by `backoff` with each attempt."""
+def posted(body: str, url: str, token: str | None = None, headers: dict[str, str] | None = None, compress: bool = True, retries: int = 3, backoff: float = 0.1, timeout: float = 10.0, send: Callable | None = None) -> tuple[bool, int]:
+    """Posts a body: whether it went through, and after how many attempts. The wait grows by `backoff` with each."""
+    data = gzip.compress(body.encode()) if compress else body.encode()
+    head = {"Content-Type": "application/json"} | ({"Content-Encoding": "gzip"} if compress else {}) | ({"Authorization": f"Bearer {token}"} if token else {}) | (headers or {})
+    for attempt in range(1, retries + 2):
+        if attempt > 1:
+            time.sleep(backoff * (attempt - 1))
+        try:
+            if send is not None:
+                send(url, data, head)
+            else:
+                urllib.request.urlopen(urllib.request.Request(url, data, head), timeout=timeout).close()
+            return True, attempt
+        except OSError:
+            continue
+    return False, retries + 1
+
+
+def post_batches(batches: DataFrame, url: str, **options) -> DataFrame:
+    """Posts each batch from the executors: (batch, sent, attempts); options are those of posted()."""
 
     def post(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
-            for batch, body in zip(frame["batch"], frame["body"]):
-                data = gzip.compress(body.encode()) if compress else body.encode()
-                head = {"Content-Type": "application/json"} | ({"Content-Encoding": "gzip"} if compress else {}) | ({"Authorization": f"Bearer {token}"} if token else {}) | (headers or {})
-                sent, attempt = False, 0
-                while not sent and attempt <= retries:
-                    if attempt:
-                        time.sleep(backoff * attempt)
-                    attempt += 1
-                    try:
-                        if send is not None:
-                            send(url, data, head)
-                        else:
-                            urllib.request.urlopen(urllib.request.Request(url, data, head), timeout=timeout).close()
-                        sent = True
-                    except OSError:
-                        pass
-                out.append((batch, sent, attempt))
-            yield pd.DataFrame(out, columns=["batch", "sent", "attempts"])
+            yield pd.DataFrame([(batch, *posted(body, url, **options)) for batch, body in zip(frame["batch"], frame["body"])], columns=["batch", "sent", "attempts"])
 
     return batches.mapInPandas(post, "batch long, sent boolean, attempts int")
 

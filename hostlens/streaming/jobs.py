@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import arrival
 from ..operators.filters import event_filter
+from ..sources import sinks
 from ..sources.rules import Rules
 from ..sources.scratch import shared_path
 
@@ -87,3 +89,47 @@ def follow_alerts(alerts: DataFrame, post: Callable[[list[dict]], None], checkpo
             print(f"batch {number}: {failed.value} alerts could not be posted")
 
     return alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def deliver(lines: DataFrame, url: str, dead_path: str, checkpoint: str, size: int = 100, cap_bytes: int = 256_000_000, **options):
+    """Starts a query that posts a stream's lines (value) in batches; batches that fail are kept at dead_path, up to the cap.
+
+    A micro-batch's failures fill what room the cap leaves beside what is there; the rest is dropped.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        made = sinks.http_batches(rows.select(F.monotonically_increasing_id().alias("seq"), "value"), size).persist()
+        lost = sinks.post_batches(made, url, **options).where("NOT sent").select("batch").persist()
+        if not lost.isEmpty():
+            failed = made.join(lost, "batch").select("batch", "body")
+            there = dead_letter_table(spark, dead_path)
+            used = there.agg(F.sum("bytes")).first()[0] or 0 if there is not None else 0
+            kept = sinks.dead_letters(failed, max(0, cap_bytes - used)).select(F.current_timestamp().alias("batch_ts"), F.lit(number).cast("long").alias("micro_batch"), "batch", "bytes", "body")
+            kept.write.mode("append").parquet(dead_path)
+        made.unpersist()
+        lost.unpersist()
+
+    return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def dead_letter_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of failed batches, None where there is none yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place) else None
+
+
+def redrive(dead: DataFrame, url: str, most: int = 1000, **options) -> DataFrame:
+    """Sends failed batches again, the oldest first, until one fails: (batch_ts, batch, sent). At most `most` in one go, in one task, as their order counts."""
+    oldest = dead.orderBy("batch_ts", "micro_batch", "batch").limit(most).coalesce(1).sortWithinPartitions("batch_ts", "micro_batch", "batch")
+
+    def send(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        going = True
+        for frame in frames:
+            sent = []
+            for body in frame["body"]:
+                going = going and sinks.posted(body, url, **options)[0]
+                sent.append(going)
+            yield frame[["batch_ts", "batch"]].assign(sent=sent)
+
+    return oldest.mapInPandas(send, "batch_ts timestamp, batch long, sent boolean")

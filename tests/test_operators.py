@@ -249,3 +249,24 @@ def test_http_and_dead_letters(spark):
     failed = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([4, 5, 3, 2])], "batch long, body string")
     assert [(r.batch, r.used) for r in sinks.dead_letters(failed, 9).orderBy("batch").collect()] == [(0, 4), (1, 9)]
     assert [r.batch for r in sinks.dead_letters(failed, 8).orderBy("batch").collect()] == [0, 2]
+
+
+def test_delivery_and_redrive(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("".join('{"n":%d}\n' % i for i in range(7)))
+    log = tmp_path / "log"
+
+    def send(url, data, head):
+        if b'"n":0}' in data and url == "http://down":
+            raise OSError
+        with log.open("ab") as out:
+            out.write(data + b"\n")
+
+    dead = str(tmp_path / "dead")
+    assert jobs.dead_letter_table(spark, dead) is None
+    jobs.deliver(spark.readStream.text(str(tmp_path / "in")), "http://down", dead, str(tmp_path / "c"), size=3, compress=False, retries=0, send=send).awaitTermination()
+    table = jobs.dead_letter_table(spark, dead)
+    assert [json.loads(r.body) for r in table.collect()] == [[{"n": 0}, {"n": 1}, {"n": 2}]]
+    assert sum(len(json.loads(x)) for x in log.read_text().splitlines()) == 4
+    assert [r.sent for r in jobs.redrive(table, "http://down", compress=False, retries=0, send=send).collect()] == [False]
+    assert [r.sent for r in jobs.redrive(table, "http://up", compress=False, retries=0, send=send).collect()] == [True]
