@@ -52,12 +52,23 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that go to a Python worker at once: texts are whole, so their number is what bounds a batch.
+BATCH_ROWS = 2000
+
+
+def small_batches() -> None:
+    """Lowers the session's rows an Arrow batch to BATCH_ROWS, if they are more."""
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def utf8(text: Column) -> Column:
     """Text as UTF-8 bytes; null is empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def byte_chunks(batch: pa.RecordBatch, column: str, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def byte_chunks(batch: pa.RecordBatch, column: str, most: int = 300_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of a batch whose texts have at most `most` bytes together (one text may have more).
 
     Yields the slice, the bytes of its texts one after another, and the offsets at which they start

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 from .langid import chunks, joined
 
 Q = 10
@@ -190,6 +190,8 @@ def indexes(benchmark: DataFrame) -> Iterator[tuple[Index, list]]:
 
 
 def hits(text: Column, index: Index) -> Column:
+    small_batches()
+
     @F.pandas_udf(_RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         flags = index.flags()

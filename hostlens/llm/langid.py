@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -29,11 +29,11 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
 
 
-def chunks(texts: list[bytes], most: int = 1_000_000) -> Iterator[list[bytes]]:
+def chunks(texts: list[bytes], most: int = 300_000) -> Iterator[list[bytes]]:
     """Lists of texts of about `most` bytes, each text whole."""
     held, size = [], 0
     for text in texts:
-        if held and (size + len(text) > most or len(held) == 512):
+        if held and (size + len(text) > most or len(held) == 128):
             yield held
             held, size = [], 0
         held.append(text)
@@ -147,6 +147,7 @@ def guess(text: Column, model: Model | None) -> Column:
     nothing = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
     if model is None:
         return nothing
+    small_batches()
 
     @F.pandas_udf(_RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import small_batches, utf8
 from .langid import chunks, joined
 
 #: The base phrases and their labels.
@@ -260,6 +260,7 @@ class Scanner:
 
 def scan(text: Column) -> Column:
     """Struct of what the licence scan finds in a text (whole; null is empty)."""
+    small_batches()
 
     @F.pandas_udf(_RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

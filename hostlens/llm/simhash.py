@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, run_starts, utf8, written
+from .common import components, groups, run_starts, small_batches, utf8, written
 
 WORDS = ((0, 23), (23, 23), (46, 18))
 #: Generator polynomial of the binary Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1.
@@ -48,6 +48,7 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """Rows (doc_id, fp) of all documents; fp is the fingerprint as a signed long."""
+    small_batches()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_chunks, groups, run_starts, utf8, written
+from .common import byte_chunks, groups, run_starts, small_batches, utf8, written
 
 GRAM = 64
 #: A window's position in a chunk takes the low bits of its rank, so chunks stay shorter than this.
@@ -90,7 +90,7 @@ def cut(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def _cut_batch(batch: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
     room = (1 << POSITION_BITS) - 1
-    for part, data, offsets in byte_chunks(batch, "bytes", 1_000_000):
+    for part, data, offsets in byte_chunks(batch, "bytes"):
         # A text longer than a chunk may be goes in stretches that overlap by a window less a byte.
         firsts = range(0, max(1, len(data) - length + 1), room - length) if len(data) > room else [0]
         for first in firsts:
@@ -208,8 +208,8 @@ def _index(length: int):
         for table in groups(batches, ["bucket"]):
             starts = [*run_starts(table, ["bucket"]), table.num_rows]
             i = 0
-            while i < len(starts) - 1:  # whole groups, about 10,000 pieces at a time
-                j = max(i + 1, int(np.searchsorted(starts, starts[i] + 10_000, "right")) - 1)
+            while i < len(starts) - 1:  # whole groups, about 3000 pieces at a time
+                j = max(i + 1, int(np.searchsorted(starts, starts[i] + 3000, "right")) - 1)
                 part = table.slice(starts[i], starts[j] - starts[i])
                 number, first, last = repeated_windows(part.column("bytes").to_pylist(), np.asarray(part.column("copies")), length)
                 take = pa.array(number)
@@ -228,7 +228,7 @@ def _split(length: int, step: int):
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in byte_chunks(batch, "bytes", 1_000_000):
+            for part, data, offsets in byte_chunks(batch, "bytes"):
                 h = gram_hashes(data)
                 windows = np.diff(offsets) - length + 1
                 owner = np.repeat(np.arange(len(windows)), windows)
@@ -263,6 +263,7 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 1000) -> DataFrame:
     """
     if not 192 <= length <= 256:
         raise ValueError("windows have 192 to 256 bytes")
+    small_batches()
 
     def pieces() -> DataFrame:
         return docs.mapInArrow(lambda batches: (out for batch in batches for out in _cut_batch(batch, length)), "id long, mark long, gram long, piece long, lo int, hi int, at int")
