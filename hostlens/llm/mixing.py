@@ -58,8 +58,8 @@ def _draw(name: str, seed: int) -> Column:
     return F.xxhash64(F.col(name), F.lit(seed))
 
 
-def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = 16, seed: int = 1) -> DataFrame:
-    """docs' rows as struct `doc`, with size, source_size, target, taken and draws.
+def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, shards: int = 16, seed: int = 1, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """docs' rows as struct `doc` (all columns, or those of `carry`), with size, source_size, target, taken and draws.
 
     size counts the words of the whole text (null: 0). Sources come by code point, null last, and take
     the weights in turn. draws has (shard, epoch, words) of each time that the document is taken; taken
@@ -105,7 +105,7 @@ def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     part = F.when(F.col("before") < F.col("rest"), draw(MOST, F.col("epochs") * F.col("in_all") + F.col(f"turn{MOST}")))
     table = table.join(F.broadcast(ends), "number").select("number", "block", F.array_compact(F.array(*whole)).alias("whole"), part.alias("part"), F.greatest(F.lit(0), F.col("rest") - F.col("before")).alias("left"), (F.col("words") > F.col("rest") - F.col("before")).alias("cut"))
 
-    source = [F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key")]
+    source = [F.struct(*[f"`{c}`" for c in carry or docs.columns]).alias("doc"), "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("key")]
     rows = placed(docs.select(*source)).select("doc", "size", "key", "number", "block", "source_size", "target").join(table, ["number", "block"])
     # Only the block at which a source's target ends needs its documents in order.
     inner = Window.partitionBy("number", "block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)

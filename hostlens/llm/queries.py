@@ -49,7 +49,7 @@ FROM c
 
 @_query
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.planned(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    plan = mixing.planned(_table(spark, sf_dir, "documents"), carry=("doc_id",))
     return plan.select("doc.doc_id", "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",").alias("shards"))
 
 
