@@ -53,7 +53,11 @@ def _walk(edge: DataFrame, roots: DataFrame, up: bool, name: str) -> DataFrame:
 
 
 def descendants(edge: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (root, seq, pid, ppid, depth) of all processes below the roots (seq), the roots included; cycles end."""
+    """Rows (root, seq, pid, ppid, depth) of all processes below the roots (seq), the roots included; cycles end.
+
+    Spark bounds a recursion by spark.sql.cteRecursionLevelLimit and cteRecursionRowLimit and fails beyond
+    them; raise those for very deep or very many trees.
+    """
     return _walk(edge, roots, False, "hostlens_down")
 
 
