@@ -282,7 +282,7 @@ def repeats(docs: DataFrame, length: int = 200, most: int = 1000) -> DataFrame:
     if not crowded.isEmpty():
         blocks = written(held.join(crowded, "gram", "left_semi").withColumn("base", F.lit(0)).mapInArrow(_split(length, length - 191), _PARTS), "blocks")
         kinds = written(blocks.groupBy("gram", "core", "sub").agg(F.sum("copies").alias("copies"), *[F.min(c).alias(c) for c in ("piece", "base", "at", "bytes")]), "kinds")
-        mixed = kinds.groupBy("gram", "core").count().where("count > 1").select("gram", "core")
+        mixed = written(kinds.groupBy("gram", "core").count().where("count > 1").select("gram", "core"), "mixed")
         windows = written(kinds.join(mixed, ["gram", "core"], "left_semi").select("gram", "piece", "copies", "base", "at", "bytes").mapInArrow(_split(length, 1), _PARTS), "windows")
         again = windows.groupBy("gram", "sub").agg(F.sum("copies").alias("copies"), F.min("bytes").alias("bytes")).where("copies > 1")
         whole = kinds.where("copies > 1").select("gram", "sub", "copies", "bytes")
