@@ -46,16 +46,17 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """Rows (doc_id, fp) of all documents; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, fp) of all documents, with the long columns `carry`; fp is the fingerprint as a signed long."""
     small_batches()
+    names = ["doc_id", *carry]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(x.as_py(), width) for x in batch.column("bytes")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(marks.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("bytes")).mapInArrow(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, utf8(F.col("text")).alias("bytes")).mapInArrow(of, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -168,6 +169,14 @@ def links(classes: DataFrame, threshold: int = 4, most: int = 4096) -> DataFrame
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _rooted(classes: DataFrame, threshold: int) -> DataFrame:
+    """`classes` (fp, distinct) with the root of each one's component."""
+    if not 0 <= threshold <= 4:
+        raise ValueError("the anchors are laid out for thresholds of 0 to 4 bits")
+    roots = components(links(classes, threshold)).withColumnRenamed("id", "fp")
+    return classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4) -> DataFrame:
     """One row per row of `docs`: doc_id, fp (long), fingerprint (hex), component_id, kept.
 
@@ -177,18 +186,33 @@ def near_duplicates(docs: DataFrame, threshold: int = 4, width: int = 4) -> Data
     has a null component_id. Rows that repeat a doc_id each stay. kept holds for the row whose doc_id
     names its component, and for rows of a component without an id. An empty table gives no rows.
     """
-    if not 0 <= threshold <= 4:
-        raise ValueError("the anchors are laid out for thresholds of 0 to 4 bits")
     marks = written(fingerprints(docs, width), "fingerprints")
-    classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(classes, threshold)).withColumnRenamed("id", "fp")
-    named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")), threshold)
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(names, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, threshold: int = 4, width: int = 4) -> DataFrame:
-    """The documents of which one stays for each near-duplicate group: the smallest doc_id's."""
-    keep = near_duplicates(docs, threshold, width).where(F.coalesce(F.col("kept"), F.lit(False))).select("doc_id").distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
+    """One row of `docs` for each near-duplicate group: of the smallest doc_id (null last), of these the one whose columns hash least.
+
+    Of rows that are alike in all columns one stays.
+    """
+    columns = [F.col(f"doc.`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
+    keyed = keyed.select("doc", F.col("doc.doc_id").cast("long").alias("doc_id"), F.xxhash64(*columns, *[c.isNull() for c in columns]).alias("row"))
+    marks = written(fingerprints(keyed.select("doc_id", "row", "doc.text"), width, ("row",)), "fingerprints")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    # A fingerprint's rows are reduced first, so a component has few rows left to group.
+    least = _rooted(marks.groupBy("fp").agg(one.alias("one")), threshold).groupBy("root").agg(F.min("one").alias("one"))
+    keep = written(least.select("one.doc_id", "one.row"), "keep")
+    several = written(marks.groupBy("doc_id", "row").count().where("count > 1").select("doc_id", "row"), "several")
+
+    def picked(keys: DataFrame, how: str, by: DataFrame) -> DataFrame:
+        return keys.join(by, keys["doc_id"].eqNullSafe(by["doc_id"]) & (keys["row"] == by["row"]), how)
+
+    if several.isEmpty():
+        return picked(keyed, "left_semi", keep).select("doc.*")
+    alone = picked(keyed, "left_semi", picked(keep, "left_anti", several))
+    alike = picked(keyed, "left_semi", picked(keep, "left_semi", several)).dropDuplicates(["doc_id", "row"])
+    return alone.union(alike).select("doc.*")

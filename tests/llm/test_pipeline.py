@@ -76,5 +76,17 @@ def test_stages(spark, tables):
     assert np.abs(got - want).max() <= 1
 
 
+def test_repeated_rows_and_null_ids_keep_one_document(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 120) for _ in range(5)]
+    rows = [(1, texts[0], "en"), (1, texts[0], "en"), (None, texts[1], "en"), (None, texts[1], "en"), (None, texts[1], "de"), (None, texts[2], "en"), (3, texts[2], "en"), (4, texts[3], "en"), (4, texts[3], None), (5, texts[4], "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    two = corpus_pipeline.near_dedup(spark, docs, "")
+    assert two.columns == docs.columns
+    assert sorted((r.doc_id or 0, texts.index(r.text)) for r in two.collect()) == [(0, 1), (1, 0), (3, 2), (4, 3), (5, 4)]
+    three = corpus_pipeline.drop_repeats(spark, two, "").collect()
+    assert sorted((r.doc_id or 0, texts.index(r.text)) for r in three) == [(0, 1), (1, 0), (3, 2), (4, 3), (5, 4)]
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "benchmark_decontamination", "source_mix"]
