@@ -8,7 +8,7 @@ back, and the loss mask covers the assistant's texts.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +29,7 @@ class Mapping:
 
     Either `items` names an array of structs with the fields `role` and `text`, or `turns` lists
     (role, paths), the texts of which are joined by blank lines; turns without any text are left out.
+    Roles of items get their usual names unless they stay `as_is`.
     """
 
     name: str
@@ -38,6 +39,7 @@ class Mapping:
     role: str = ""
     text: str = ""
     turns: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    as_is: bool = False
 
 
 MAPPINGS = (
@@ -49,6 +51,9 @@ MAPPINGS = (
     Mapping("question", ("question", "answer"), ("context",), turns=(("user", ("context", "question")), ("assistant", ("answer",)))),
 )
 
+#: The same, where roles stay as they are.
+AS_IS = tuple(replace(m, as_is=True) for m in MAPPINGS)
+
 
 def paths(kind: T.DataType, above: str = "") -> list[str]:
     """Nested field paths of a schema, arrays marked by []."""
@@ -91,7 +96,8 @@ def _turns(mapping: Mapping, mine: set[str]) -> Column:
     texts = [F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[F.nullif(F.col(f"`{p}`").cast("string"), F.lit("")) for p in group]).alias("text")) for role, group in fixed if group]
     out = F.filter(F.array(*texts), lambda t: t["text"] != "").cast(TURNS) if texts else F.array().cast(TURNS)
     if mapping.items:
-        item = F.transform(F.filter(F.col(f"`{mapping.items}`"), lambda x: x.isNotNull()), lambda x: F.struct(_role(x[mapping.role]).alias("role"), F.coalesce(x[mapping.text].cast("string"), F.lit("")).alias("text")))
+        name = (lambda x: F.coalesce(x.cast("string"), F.lit(""))) if mapping.as_is else _role
+        item = F.transform(F.filter(F.col(f"`{mapping.items}`"), lambda x: x.isNotNull()), lambda x: F.struct(name(x[mapping.role]).alias("role"), F.coalesce(x[mapping.text].cast("string"), F.lit("")).alias("text")))
         out = F.concat(out, item.cast(TURNS))
     return out
 
@@ -154,18 +160,33 @@ def masked(formatted: Column, loss: Column) -> Column:
     return F.array_join(F.transform(loss, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
 
 
+def message_records(rows: DataFrame) -> DataFrame:
+    """Rows by turn (conv_id, turn, role, text) as records (conv_id, part, messages) of the message layout.
+
+    A part has the turns of one range of numbers, so a very long conversation is spread. Turns go by
+    turn (null first), then role and text; null roles and texts are empty; rows without a conv_id are
+    one conversation. Repeated rows are repeated turns. An empty table gives no records.
+    """
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    part = F.floor(F.col("turn") / PART).cast("long")
+    return rows.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("messages"))
+
+
+def formatted_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """Records (conv_id, part and any layout's columns) as (conv_id, part, formatted, loss).
+
+    Each record's fingerprint selects its mapping; one of a layout that no mapping takes has no turns.
+    """
+    turns = canonical(records, mappings).select("conv_id", "part", F.coalesce("turns", F.array().cast(TURNS)).alias("turns"))
+    return turns.select("conv_id", "part", rendered(F.col("turns")).alias("out")).select("conv_id", "part", "out.formatted", "out.loss")
+
+
 def formatted_parts(rows: DataFrame) -> DataFrame:
     """Rows by turn (conv_id, turn, role, text) as (conv_id, part, formatted, loss).
 
-    A conversation's text is that of its parts in order; a part has the turns of one range of numbers,
-    so a very long conversation is formatted by many tasks. Turns go by turn (null first), then role and
-    text; null roles and texts are empty; rows without a conv_id are one conversation. Roles stay as
-    they are. Repeated rows are repeated turns. An empty table gives no rows.
+    A conversation's text is that of its parts in order. Roles stay as they are.
     """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    part = F.floor(F.col("turn") / PART).cast("long")
-    parts = rows.groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return parts.select("conv_id", "part", rendered(F.col("turns")).alias("out")).select("conv_id", "part", "out.formatted", "out.loss")
+    return formatted_records(message_records(rows), AS_IS)
 
 
 def formatted_conversations(rows: DataFrame) -> DataFrame:
