@@ -2,8 +2,8 @@
 
 Rotations of the principal directions are learnt so that the signs of a rotated vector are balanced bits
 that lose little. The bits are cut into tables; vectors whose bits agree in a table meet in its bucket,
-where their cosine decides. The number of tables follows from how often a bit differs at the threshold,
-so that pairs at the threshold are found with the wanted probability, and nearer pairs more often.
+where their cosine decides. The number of tables is measured: tables are added until pairs at the
+threshold, made from sampled vectors, are found with the wanted probability, nearer pairs more often.
 """
 
 from __future__ import annotations
@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from .common import components, groups, run_starts, written
 
 RECALL = 0.97
+#: Tables are made narrower while more than this many seem to be needed.
+WIDE_TABLES = 64
+#: No more tables are added, whatever is found.
+MOST_TABLES = 1024
 
 
 @dataclass
@@ -42,29 +46,62 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
+def pairs_at(sample: np.ndarray, threshold: float, count: int = 4000, seed: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sampled unit vectors, and these turned to the threshold's cosine: in any direction, and towards other sampled vectors."""
+    rng = np.random.default_rng(seed)
+    x = sample[rng.integers(len(sample), size=count)]
+    any_way = rng.normal(size=x.shape)
+    turned = []
+    for other in (any_way, sample[rng.integers(len(sample), size=count)]):
+        side = other - (other * x).sum(1, keepdims=True) * x
+        same = np.linalg.norm(side, axis=1) < 1e-6
+        side[same] = (any_way - (any_way * x).sum(1, keepdims=True) * x)[same]
+        side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+        turned.append(unit(threshold * x + np.sqrt(1 - threshold**2) * side))
+    return x, turned
+
+
 def fit(sample: np.ndarray, total: int, threshold: float, recall: float = RECALL, rounds: int = 30, seed: int = 0) -> Codes:
     """Learns rotations from a sample of unit vectors; `total` vectors are to be indexed.
 
-    The width of a table grows with the logarithm of their number, so buckets stay small.
+    The width of a table grows with the logarithm of their number, so buckets stay small. Vectors that
+    share a mean differ in more bits than their angle says, as bits are of what is left without it. Of
+    a large sample a fifth is kept for counting, since rotations suit the vectors they are learnt from.
     """
     dim = sample.shape[1]
+    one, others = pairs_at(sample[::5] if len(sample) >= 2000 else sample, threshold)
+    sample = np.delete(sample, np.s_[::5], axis=0) if len(sample) >= 2000 else sample
     mean = sample.mean(0)
     centred = sample - mean
     _, _, directions = np.linalg.svd(centred, full_matrices=False) if len(sample) < dim else (None, None, np.linalg.eigh(centred.T @ centred)[1][:, ::-1].T)
     basis = np.vstack((directions, np.zeros((dim - len(directions), dim)))).T
     values = centred @ basis
     width = int(np.clip(round(np.log2(max(total, 2) / 8)), 4, 24))
-    agree = (1 - np.arccos(threshold) / np.pi) ** width
-    tables = max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - agree))))
     rng = np.random.default_rng(seed)
-    turned = []
-    for _ in range(-(-tables * width // dim)):
+    agree = [np.zeros((len(one), 0), bool) for _ in others]
+    found = [np.zeros(len(one), bool) for _ in others]
+    turned: list[np.ndarray] = []
+    tables = 0
+    while True:
         rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         for _ in range(rounds):
             left, _, right = np.linalg.svd(np.where(values @ rotation > 0, 1.0, -1.0).T @ values)
             rotation = (left @ right).T
         turned.append((basis @ rotation)[:, rng.permutation(dim)])
-    return Codes(mean, np.hstack(turned), width, tables)
+        bits = (one - mean) @ turned[-1] > 0
+        agree = [np.hstack((a, bits == ((y - mean) @ turned[-1] > 0))) for a, y in zip(agree, others)]
+        if len(turned) == 1:
+            share = min(a.mean() for a in agree)
+            while width > 4 and (1 - share**width) ** WIDE_TABLES > 1 - recall:
+                width -= 1
+            by_angle = (1 - np.arccos(threshold) / np.pi) ** width
+            fewest = min(MOST_TABLES, max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - by_angle)))))
+        while (tables + 1) * width <= dim * len(turned):
+            for a, f in zip(agree, found):
+                f |= a[:, tables * width : (tables + 1) * width].all(1)
+            tables += 1
+            if tables >= fewest and min(f.mean() for f in found) >= recall or tables == MOST_TABLES:
+                return Codes(mean, np.hstack(turned), width, tables)
 
 
 def _valid(vector: Column, dim: int) -> Column:
@@ -129,7 +166,7 @@ def linked(vectors: DataFrame, threshold: float = 0.95, sample: int = 20_000, mo
                 n, tables = keys.shape
                 take = pa.array(np.repeat(np.arange(n), tables))
                 packed = pa.array([x.tobytes() for x in data], pa.binary()).take(take)
-                every = pa.array([x.tobytes() for x in keys], pa.binary()).take(take)
+                every = pa.array([x.tobytes() for x in keys.astype(np.int32)], pa.binary()).take(take)
                 key = pa.array((np.arange(tables)[None] << 32 | keys).ravel())
                 yield pa.RecordBatch.from_arrays([key, *[part.column(c).take(take) for c in ("cls", "id", "copies")], packed, every], ["bucket", "cls", "id", "copies", "unit", "codes"])
 
@@ -142,7 +179,7 @@ def linked(vectors: DataFrame, threshold: float = 0.95, sample: int = 20_000, mo
                     continue
                 part = table.slice(i, j - i)
                 data = _matrix(part.column("unit"), dim)
-                keys = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int64).reshape(j - i, -1)
+                keys = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int32).reshape(j - i, -1)
                 near = np.minimum(data @ data.T, 1.0) >= threshold
                 np.fill_diagonal(near, False)
                 slot, both = np.asarray(part.column("part")), np.asarray(part.column("both"))

@@ -62,6 +62,23 @@ def test_bits_are_balanced_and_keep_neighbours():
     assert codes.of(x).max() < 1 << codes.width
 
 
+def test_recall_with_a_common_mean_and_many_vectors():
+    rng = np.random.default_rng(6)
+    dim, cosine = 64, 0.951
+    for norm in (0.0, 0.8):
+        centre = np.zeros(dim)
+        centre[0] = norm
+        x = itq.unit(centre + np.sqrt(1 - norm**2) * rng.normal(size=(8000, dim)) / np.sqrt(dim))
+        codes = itq.fit(x[:6000], 1_000_000, 0.95)
+        one = x[6000:]
+        side = rng.normal(size=one.shape)
+        side = itq.unit(side - (side * one).sum(1, keepdims=True) * one)
+        two = cosine * one + np.sqrt(1 - cosine**2) * side
+        recall = (codes.of(one) == codes.of(two)).any(1).mean()
+        print(norm, codes.width, codes.tables, recall)
+        assert recall >= 0.95
+
+
 def test_small_tables(spark):
     schema = "vec_id long, embedding array<double>"
     assert itq.linked(spark.createDataFrame([], schema)).count() == 0
