@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is cut into overlapping windows. A stretch of a document within k edits of a window of
-m characters shares at least m - q + 1 - q k of its q-grams, on diagonals at most k apart. So shared
+A benchmark item is cut into windows of 64 normalised bytes, one at every 16th byte and one at its end, so
+that any quote of 79 of an item's bytes holds a window whole. A stretch of a document within k edits of a
+window of m bytes shares at least m - q + 1 - q k of its q-grams, on diagonals at most k apart. So shared
 q-grams are counted in bands of diagonals, each overlapping the next by half; bands that meet the bound
-are verified by an alignment inside the band.
+are verified by an alignment inside the band. Items too short for that are matched as they are.
 """
 
 from __future__ import annotations
@@ -11,21 +12,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, utf8
+from .common import dropped, small_batches, utf8, written
 from .langid import chunks, joined
 
 Q = 10
-WINDOW = 128
-STRIDE = 64
+WINDOW = 64
+STRIDE = 16
 EDIT_SHARE = 0.08
-#: Items of fewer normalised bytes say too little to mark a document.
-LEAST = 24
-BLOCK_BYTES = 4_000_000
+#: Items of fewer normalised bytes are matched whole, without edits and between word boundaries.
+SHORT = 24
+#: Bytes of items that one index holds; it has about 60 times as many.
+BLOCK_BYTES = 1_000_000
+#: Longer texts are gone through in stretches of so many bytes.
+STRETCH = 1_000_000
+#: About so many shared q-grams are held at once.
+MOST_HITS = 2_000_000
+#: The q-grams of a stretch within the budget of a window start within so many bytes.
+REACH = WINDOW + int(WINDOW * EDIT_SHARE)
 _FLAG_BITS = 22
 _SPACE = 32
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else _SPACE for b in range(256)], np.uint8)
@@ -33,6 +44,8 @@ _RNG = np.random.Generator(np.random.PCG64(9))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RNG.integers(0, 2**63, (4, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _RESULT = "array<struct<item:int,start:int,end:int,windows:int,edits:int>>"
+#: Bits of a key of a shared q-gram: place in the window, band, window; the text takes the rest.
+_PLACE_BITS, _BAND_BITS, _WINDOW_BITS = 6, 22, 24
 
 
 def normalised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,54 +74,76 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """The windows of a block of items, and their q-grams by hash."""
+    """The distinct windows of a block of items with the items that have each, and their q-grams by hash (then window)."""
 
-    windows: list[bytes]
-    items: np.ndarray
+    windows: np.ndarray
+    size: np.ndarray
     edits: np.ndarray
-    least: np.ndarray
+    owners: list[list[int]]
     hashes: np.ndarray
     window: np.ndarray
     place: np.ndarray
+    short: dict[bytes, list[int]]
+
+    @property
+    def least(self) -> np.ndarray:
+        """Places of a window whose q-grams a stretch within its budget shares; above 0 for any window."""
+        return self.size - Q + 1 - Q * self.edits
 
     def flags(self) -> np.ndarray:
         seen = np.zeros(1 << _FLAG_BITS, bool)
         seen[(self.hashes >> np.uint64(64 - _FLAG_BITS)).astype(np.int64)] = True
         return seen
 
+    def exact(self) -> ahocorasick.Automaton | None:
+        """Finds the short items, each between spaces, in Latin-1 text."""
+        if not self.short:
+            return None
+        words = ahocorasick.Automaton()
+        for text, items in self.short.items():
+            words.add_word(f" {text.decode('latin-1')} ", (len(text), items))
+        words.make_automaton()
+        return words
+
 
 def build(texts: list[bytes]) -> Index:
-    """Windows of each item; the last ends with the item. A window's edit budget is at most 8 % of it, and leaves a shared q-gram."""
-    windows, items = [], []
-    for number, text in enumerate(texts):
+    """The windows of each item; an item shorter than a window is one. The edit budget is 8 %, and less where no q-gram would be left."""
+    numbers: dict[bytes, int] = {}
+    owners: list[list[int]] = []
+    short: dict[bytes, list[int]] = {}
+    for item, text in enumerate(texts):
         data = normalised([text])[0].tobytes().strip(b" ")
-        if len(data) < LEAST:
+        if 0 < len(data) < SHORT:
+            short.setdefault(data, []).append(item)
+        if len(data) < SHORT:
             continue
-        for start in sorted({*range(0, max(1, len(data) - WINDOW), STRIDE), max(0, len(data) - WINDOW)}):
-            windows.append(data[start : start + WINDOW])
-            items.append(number)
-    size = np.array([len(w) for w in windows], np.int64)
+        last = max(0, len(data) - WINDOW)
+        for start in [*range(0, last, STRIDE), last]:
+            number = numbers.setdefault(data[start : start + WINDOW], len(numbers))
+            if number == len(owners):
+                owners.append([])
+            if not owners[number] or owners[number][-1] != item:
+                owners[number].append(item)
+    windows = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in numbers), np.uint8).reshape(-1, WINDOW)
+    size = np.array([len(w) for w in numbers], np.int64)
     edits = np.minimum((size * EDIT_SHARE).astype(np.int64), (size - Q) // Q)
-    hashes = [gram_hashes(np.frombuffer(w, np.uint8)) for w in windows]
-    window = np.repeat(np.arange(len(windows)), [len(h) for h in hashes])
-    place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
-    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    order = np.argsort(flat, kind="stable")
-    distinct = np.array([len(np.unique(h)) for h in hashes], np.int64)
-    # A window that repeats a q-gram has as many places fewer to be counted on.
-    least = np.maximum(1, distinct - Q * edits)
-    return Index(windows, np.array(items, np.int64), edits, least, flat[order], window[order], place[order])
-
-
-def _aligned(index: Index, data: np.ndarray, window: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    window = np.repeat(np.arange(len(size)), size - Q + 1)
+    place = np.arange(len(window)) - np.repeat(np.cumsum(size - Q + 1) - (size - Q + 1), size - Q + 1)
+    hashes = gram_hashes(windows.ravel())[window * WINDOW + place] if len(size) else np.zeros(0, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    return Index(windows, size, edits, owners, hashes[order], window[order].astype(np.int32), place[order].astype(np.int8), short)
+
+
+def _edits(index: Index, data: np.ndarray, window: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Least edits of each window against data on the diagonals of its band, within [start, end)."""
     out = np.zeros(len(window), np.int64)
-    size = np.array([len(w) for w in index.windows])
-    for m, k in {(int(size[w]), int(index.edits[w])) for w in window}:
-        rows = np.flatnonzero((size[window] == m) & (index.edits[window] == k))
+    size = index.size[window]
+    for m in np.unique(size).tolist():
+        rows = np.flatnonzero(size == m)
+        k = int(index.edits[window[rows[0]]])
+        across = np.arange(2 * (k + 1))
         for pick in np.array_split(rows, -(-len(rows) // 4096)):
-            chars = np.stack([np.frombuffer(index.windows[w], np.uint8) for w in window[pick]])
-            across = np.arange(2 * (k + 1))
+            chars = index.windows[window[pick]]
             cost = np.zeros((len(pick), len(across)), np.int32)
             for i in range(m):
                 at = low[pick, None] + across[None] + i
@@ -121,82 +156,135 @@ def _aligned(index: Index, data: np.ndarray, window: np.ndarray, low: np.ndarray
     return out
 
 
-def found(texts: list[bytes], index: Index, flags: np.ndarray) -> list[list[dict]]:
-    """Per text the items found: item, start and end (bytes of the text), windows found, least edits."""
-    out: list[list[dict]] = [[] for _ in texts]
-    data, first, place = normalised(texts)
-    if not len(index.hashes) or len(data) < Q:
-        return out
-    h = gram_hashes(data)
-    at = np.flatnonzero(flags[(h >> np.uint64(64 - _FLAG_BITS)).astype(np.int64)])
-    text = np.searchsorted(first, at, "right") - 1
-    inside = at + Q <= first[text + 1]
-    at, text = at[inside], text[inside]
-    left, right = np.searchsorted(index.hashes, h[at], "left"), np.searchsorted(index.hashes, h[at], "right")
-    n = right - left
-    if n.sum() > 4_000_000 and len(texts) > 1:
-        half = len(texts) // 2
-        return found(texts[:half], index, flags) + found(texts[half:], index, flags)
-    at, text, entry = np.repeat(at, n), np.repeat(text, n), np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
-    window, spot = index.window[entry], index.place[entry]
-    width = index.edits[window] + 1
-    band = (at - spot - first[text] + WINDOW) // width
-    # Each diagonal is in two bands.
-    text, window, band, spot = (np.concatenate(x) for x in ((text, text), (window, window), (band, band - 1), (spot, spot)))
-    order = np.lexsort((spot, band, window, text))
-    text, window, band, spot = text[order], window[order], band[order], spot[order]
-    same = (text[1:] == text[:-1]) & (window[1:] == window[:-1]) & (band[1:] == band[:-1])
-    head = np.flatnonzero(np.append(True, ~same)[: len(text)])
-    fresh = np.append(True, ~same | (spot[1:] != spot[:-1]))[: len(text)]
-    shared = np.add.reduceat(fresh, head) if len(head) else np.zeros(0, int)
-    enough = shared >= index.least[window[head]]
-    text, window, band = text[head][enough], window[head][enough], band[head][enough]
-    if not len(text):
-        return out
-    low = band * (index.edits[window] + 1) - WINDOW + first[text]
-    edits = _aligned(index, data, window, low, first[text], first[text + 1])
-    good = edits <= index.edits[window]
-    size = np.array([len(w) for w in index.windows])
-    source = np.concatenate((place, [sum(map(len, texts))]))
-    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    best: dict[tuple[int, int], dict] = {}
-    seen: dict[tuple[int, int], set] = {}
-    for t, w, lo, e in zip(text[good].tolist(), window[good].tolist(), low[good].tolist(), edits[good].tolist()):
-        item = int(index.items[w])
-        k = int(index.edits[w])
-        start = int(source[min(max(lo, first[t]), len(place))] - begins[t])
-        end = int(source[min(max(lo + int(size[w]) + 2 * k + 1, first[t]), first[t + 1])] - begins[t])
-        row = best.setdefault((t, item), {"item": item, "start": start, "end": end, "windows": 0, "edits": e})
-        row["start"], row["end"], row["edits"] = min(row["start"], start), max(row["end"], min(end, len(texts[t]))), min(row["edits"], e)
-        seen.setdefault((t, item), set()).add(w)
-    for (t, item), row in best.items():
-        row["windows"] = len(seen[t, item])
-        out[t].append(row)
-    return out
+def _pieces(at: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of positions with about MOST_HITS shared q-grams each; neighbours overlap by what one window may span."""
+    total, i = np.cumsum(n), 0
+    while i < len(at):
+        full = int(np.searchsorted(total, (total[i - 1] if i else 0) + MOST_HITS, "right"))
+        j = max(full, int(np.searchsorted(at, at[i] + 4 * REACH)))
+        yield i, j
+        if j >= len(at):
+            return
+        i = int(np.searchsorted(at, at[j] - REACH))
+
+
+def _entries(index: Index, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ranges of the index for each position; where they are too many together, those of a range of windows at a time."""
+    parts = int((right - left).sum()) // (2 * MOST_HITS) + 1
+    if parts == 1:
+        yield left, right
+        return
+    cuts = np.linspace(0, len(index.size), parts + 1).astype(int)
+    bounds = np.array([a + np.searchsorted(index.window[a:b], cuts) for a, b in zip(left.tolist(), right.tolist())])
+    for p in range(parts):
+        yield bounds[:, p], bounds[:, p + 1]
+
+
+def _candidates(index: Index, h: np.ndarray, at: np.ndarray, text: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, window, least diagonal) of the bands that share enough q-grams with a window."""
+    left, right = np.searchsorted(index.hashes, h, "left"), np.searchsorted(index.hashes, h, "right")
+    for i, j in _pieces(at, right - left):
+        for a, b in _entries(index, left[i:j], right[i:j]):
+            n = b - a
+            entry = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            window, place = index.window[entry].astype(np.int64), index.place[entry].astype(np.int64)
+            t = np.repeat(text[i:j], n)
+            band = (np.repeat(at[i:j], n) - place - first[t] + WINDOW) // (index.edits[window] + 1) + 1
+            key = ((t << _WINDOW_BITS | window) << _BAND_BITS | band) << _PLACE_BITS | place
+            # Each diagonal is in two bands.
+            key = np.sort(np.concatenate((key, key - (1 << _PLACE_BITS))))
+            key = key[np.append(True, key[1:] != key[:-1])[: len(key)]] >> _PLACE_BITS
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            shared = np.diff(np.append(head, len(key)))
+            key = key[head]
+            window = key >> _BAND_BITS & (1 << _WINDOW_BITS) - 1
+            enough = shared >= index.least[window]
+            key, window = key[enough], window[enough]
+            band, t = (key & (1 << _BAND_BITS) - 1) - 1, key >> _BAND_BITS + _WINDOW_BITS
+            yield t, window, band * (index.edits[window] + 1) - WINDOW
+
+
+class Finder:
+    """An index with what is looked up in it, for one worker."""
+
+    def __init__(self, index: Index):
+        self.index, self.flags, self.words = index, index.flags(), index.exact()
+
+    def _in(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, rows: list[dict[int, dict]]) -> None:
+        """Adds what is found in normalised texts to the rows (item -> row) of each; place has where bytes were in their text."""
+        if self.words is not None:
+            for t in range(len(rows)):
+                at = place[first[t] : first[t + 1]]
+                for end, (size, items) in self.words.iter(f" {data[first[t] : first[t + 1]].tobytes().decode('latin-1')} "):
+                    for item in items:
+                        _add(rows[t], item, int(at[end - 1 - size]), int(at[end - 2]) + 1, 0, None)
+        if not len(self.index.hashes) or len(data) < Q:
+            return
+        h = gram_hashes(data)
+        at = np.flatnonzero(self.flags[(h >> np.uint64(64 - _FLAG_BITS)).astype(np.int64)])
+        text = np.searchsorted(first, at, "right") - 1
+        inside = at + Q <= first[text + 1]
+        at, text = at[inside], text[inside]
+        for t, window, low in _candidates(self.index, h[at], at, text, first):
+            if not len(t):
+                continue
+            edits = _edits(self.index, data, window, low + first[t], first[t], first[t + 1])
+            good = edits <= self.index.edits[window]
+            for t_, w, lo, e in zip(t[good].tolist(), window[good].tolist(), low[good].tolist(), edits[good].tolist()):
+                begin = place[min(first[t_] + max(lo, 0), first[t_ + 1] - 1)]
+                end = place[min(first[t_] + max(lo + int(self.index.size[w]) + 2 * int(self.index.edits[w]), 0), first[t_ + 1] - 1)] + 1
+                for item in self.index.owners[w]:
+                    _add(rows[t_], item, int(begin), int(end), e, w)
+
+    def found(self, texts: list[bytes]) -> list[list[dict]]:
+        """Per text the items found: item, start and end (bytes of the text), windows found, least edits."""
+        rows: list[dict[int, dict]] = [{} for _ in texts]
+        if len(texts) == 1 and len(texts[0]) > STRETCH:
+            tail, where = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+            for begin in range(0, len(texts[0]), STRETCH):
+                data, _, place = normalised([texts[0][begin : begin + STRETCH]])
+                again = int(len(tail) > 0 and tail[-1] == _SPACE and data[0] == _SPACE)
+                data, place = np.concatenate((tail, data[again:])), np.concatenate((where, place[again:] + begin))
+                self._in(data, np.array([0, len(data)]), place, rows)
+                tail, where = data[-2 * REACH :], place[-2 * REACH :]
+        else:
+            data, first, place = normalised(texts)
+            self._in(data, first, place - np.repeat(np.cumsum([len(t) for t in texts]) - [len(t) for t in texts], np.diff(first)), rows)
+        return [[{**row, "windows": len(row["windows"])} for _, row in sorted(r.items())] for r in rows]
+
+
+def _add(rows: dict[int, dict], item: int, start: int, end: int, edits: int, window: int | None) -> None:
+    row = rows.setdefault(item, {"item": item, "start": start, "end": end, "windows": set(), "edits": edits})
+    row["start"], row["end"], row["edits"] = min(row["start"], start), max(row["end"], end), min(row["edits"], edits)
+    row["windows"].add(window)
 
 
-def indexes(benchmark: DataFrame) -> Iterator[tuple[Index, list]]:
-    """An index and the item ids of each block of about 4 MB of items; null texts are skipped.
+def blocks(benchmark: DataFrame) -> Iterator[tuple[Broadcast, DataFrame, bool]]:
+    """For each block of about 1 MB of items its index, broadcast, rows (item, item_id), and whether it is the last; null texts are skipped.
 
-    One block is on the driver at a time. An index has about 30 bytes for each byte of its block.
+    One block is on the driver at a time, and is unpersisted when the next is asked for, so what comes of
+    all but the last must be written by then.
     """
-    size = F.octet_length("text")
+    spark = benchmark.sparkSession
     rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
-    for block in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield build([r["text"].encode() for r in part]), [r["item_id"] for r in part]
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(1, -(-total // BLOCK_BYTES))
+    schema = T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", benchmark.schema["item_id"].dataType)])
+    for block in range(count):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).orderBy("item_id", "text").collect()
+        index = spark.sparkContext.broadcast(build([r["text"].encode() for r in part]))
+        yield index, spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(part)], schema), block == count - 1
+        index.unpersist()
 
 
-def hits(text: Column, index: Index) -> Column:
+def hits(text: Column, index: Broadcast) -> Column:
     small_batches()
 
     @F.pandas_udf(_RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        flags = index.flags()
+        finder = Finder(index.value)
         for batch in batches:
-            yield pd.Series([x for part in chunks(list(batch)) for x in found(part, index, flags)], dtype=object)
+            yield pd.Series([x for part in chunks(list(batch)) for x in finder.found(part)], dtype=object)
 
     return of(utf8(text))
 
@@ -204,29 +292,33 @@ def hits(text: Column, index: Index) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, start, end, windows, edits), one for each item found in a row of docs.
 
-    start and end are the bytes of the text between which the item's windows were found (a few more on
-    each side, up to the edit budget), windows the number of its windows found, edits the least of any.
-    Null texts hold nothing; items of under 24 normalised bytes are not looked for; items alike are each
-    found. The documents are read once for each 4 MB of items, against an index of that block.
+    A quote of at least 79 normalised bytes of an item is found at every offset, as is a shorter one that
+    holds a window (64 bytes at every 16th and at the end), each with up to 8 % edits; of an item of 24 to
+    64 bytes the whole is looked for. Shorter items are found without edits, as whole words; an item
+    without a letter or digit is not looked for. start and end are the bytes of the text between which
+    windows were found (a few more on each side, up to the edit budget), windows the number of different
+    windows, edits the least of any. Null texts hold nothing; items alike are each found. Very long texts
+    are gone through in stretches. Documents are read once for each 1 MB of items.
     """
     out = None
-    for index, ids in indexes(benchmark):
-        name = F.array(*[F.lit(x).cast("long") for x in ids]) if len(ids) <= 256 else None
-        rows = docs.select("doc_id", F.explode(hits(F.col("text"), index)).alias("hit"))
-        if name is not None:
-            rows = rows.select("doc_id", F.element_at(name, F.col("hit.item") + 1).alias("item_id"), "hit")
-        else:
-            table = docs.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], "item int, item_id long")
-            rows = rows.join(table, rows["hit.item"] == table["item"]).select("doc_id", "item_id", "hit")
-        rows = rows.select("doc_id", "item_id", "hit.start", "hit.end", "hit.windows", "hit.edits")
+    for index, items, last in blocks(benchmark):
+        rows = docs.select("doc_id", F.explode(hits(F.col("text"), index)).alias("hit")).withColumn("item", F.col("hit.item"))
+        rows = rows.join(F.broadcast(items), "item").select("doc_id", "item_id", "hit.start", "hit.end", "hit.windows", "hit.edits")
+        rows = rows if last else written(rows, "matches")
         out = rows if out is None else out.union(rows)
-    return out if out is not None else docs.select("doc_id", *[F.lit(None).cast(t).alias(n) for n, t in (("item_id", "long"), ("start", "int"), ("end", "int"), ("windows", "int"), ("edits", "int"))]).limit(0)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item is found, as they are."""
-    names = [F.col("doc").getField(c).alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
-    for index, _ in indexes(benchmark):
-        rows = rows.where(F.size(hits(F.col("doc.text"), index)) == 0)
-    return rows.select(*names)
+    rows, before = docs, None
+    for index, _, last in blocks(benchmark):
+        packed = rows.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
+        packed = packed.where(F.size(hits(F.col("doc.text"), index)) == 0)
+        rows = packed.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+        if not last:
+            rows = written(rows, "clean")
+            if before is not None:
+                dropped(before)
+            before = rows
+    return rows
