@@ -45,11 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes a table that written() made, when nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, when nothing reads them any more.
+
+    What a lazy result still reads stays; who names spark.checkpoint.dir cleans it after a job.
+    """
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows that go to a Python worker at once: texts are whole, so their number is what bounds a batch.
@@ -127,8 +131,9 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both long: rows (id, root), root the smallest id.
 
     Large-star and small-star steps in turn. A node's least neighbour is found by a grouping with
-    partial sums and joined back, so a node with very many edges is split by the skew join. Ids
-    without an edge to another id have no row.
+    partial minima, written, and joined back: as a table of its own the join reads it by an exchange of
+    its own, so a node with very many edges is split by the skew join. Ids without an edge to another id
+    have no row. Spent tables are deleted.
     """
     edge = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = written(edges.where("a <> b").select(*edge).distinct(), "edges")
@@ -139,11 +144,11 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
         seen = tuple(state)
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        dropped(now, least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        after = written(small, "edges")
-        dropped(now)
-        now = after
+        now = written(small, "edges")
+        dropped(large, least)

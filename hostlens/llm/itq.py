@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, groups, run_starts, written
+from .common import components, dropped, groups, run_starts, written
 
 RECALL = 0.97
 #: Tables are made narrower while more than this many seem to be needed.
 WIDE_TABLES = 64
-#: No more tables are added, whatever is found.
+#: With so many tables and too little found they are made anew, narrower.
 MOST_TABLES = 1024
+#: A table's key has at most so many bits, enough for buckets of 8 among 8e12 vectors.
+KEY_BITS = 40
 
 
 @dataclass
@@ -76,41 +78,40 @@ def fit(sample: np.ndarray, total: int, threshold: float, recall: float = RECALL
     _, _, directions = np.linalg.svd(centred, full_matrices=False) if len(sample) < dim else (None, None, np.linalg.eigh(centred.T @ centred)[1][:, ::-1].T)
     basis = np.vstack((directions, np.zeros((dim - len(directions), dim)))).T
     values = centred @ basis
-    width = int(np.clip(round(np.log2(max(total, 2) / 8)), 4, 24))
+    width = int(np.clip(round(np.log2(max(total, 2) / 8)), 4, KEY_BITS))
     rng = np.random.default_rng(seed)
     agree = [np.zeros((len(one), 0), bool) for _ in others]
     found = [np.zeros(len(one), bool) for _ in others]
     turned: list[np.ndarray] = []
     tables = 0
     while True:
-        rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
-        for _ in range(rounds):
-            left, _, right = np.linalg.svd(np.where(values @ rotation > 0, 1.0, -1.0).T @ values)
-            rotation = (left @ right).T
-        turned.append((basis @ rotation)[:, rng.permutation(dim)])
-        bits = (one - mean) @ turned[-1] > 0
-        agree = [np.hstack((a, bits == ((y - mean) @ turned[-1] > 0))) for a, y in zip(agree, others)]
-        if len(turned) == 1:
-            share = min(a.mean() for a in agree)
-            while width > 4 and (1 - share**width) ** WIDE_TABLES > 1 - recall:
-                width -= 1
-            by_angle = (1 - np.arccos(threshold) / np.pi) ** width
-            fewest = min(MOST_TABLES, max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - by_angle)))))
-        while (tables + 1) * width <= dim * len(turned):
-            for a, f in zip(agree, found):
-                f |= a[:, tables * width : (tables + 1) * width].all(1)
-            tables += 1
-            if tables >= fewest and min(f.mean() for f in found) >= recall or tables == MOST_TABLES:
-                return Codes(mean, np.hstack(turned), width, tables)
-
-
-def _valid(vector: Column, dim: int) -> Column:
+        if (tables + 1) * width > dim * len(turned):
+            rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+            for _ in range(rounds):
+                left, _, right = np.linalg.svd(np.where(values @ rotation > 0, 1.0, -1.0).T @ values)
+                rotation = (left @ right).T
+            turned.append((basis @ rotation)[:, rng.permutation(dim)])
+            bits = (one - mean) @ turned[-1] > 0
+            agree = [np.hstack((a, bits == ((y - mean) @ turned[-1] > 0))) for a, y in zip(agree, others)]
+            if len(turned) == 1:
+                share = min(a.mean() for a in agree)
+                while width > 4 and (1 - share**width) ** WIDE_TABLES > 1 - recall:
+                    width -= 1
+            continue
+        for a, f in zip(agree, found):
+            f |= a[:, tables * width : (tables + 1) * width].all(1)
+        tables += 1
+        by_angle = (1 - np.arccos(threshold) / np.pi) ** width
+        fewest = min(MOST_TABLES, max(4, int(np.ceil(np.log(1 - recall) / np.log(1 - by_angle)))))
+        if tables >= fewest and min(f.mean() for f in found) >= recall:
+            return Codes(mean, np.hstack(turned), width, tables)
+        if tables == MOST_TABLES:
+            width, tables, found = width - 1, 0, [np.zeros(len(one), bool) for _ in others]
+
+
+def _valid(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce((F.size(vector) == dim) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+    return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
 def _joined(near: np.ndarray) -> np.ndarray:
@@ -135,51 +136,56 @@ def linked(vectors: DataFrame, threshold: float = 0.95, sample: int = 20_000, mo
 
     Equal vectors are one class, whose members link with each other. n_links counts the other rows with a
     cosine of at least `threshold` that are found (none below is); component_id is the smallest vec_id
-    reachable. Vectors that are null, zero, of another length than most, or that hold null or non-finite
-    components, and rows without a vec_id, link with nothing: n_links 0, component_id their vec_id.
-    The rotations are fitted on at most about `sample` classes, chosen by a hash; every row is indexed.
-    A bucket with more than `most` vectors is cut into parts that meet pairwise in cells. An empty table
-    gives no rows.
+    reachable. Vectors of different lengths have no cosine; each length has an index of its own, and one
+    of at most `most` classes is a single bucket, compared whole. Vectors that are null, empty, zero, or
+    hold null or non-finite components, and rows without a vec_id, link with nothing: n_links 0,
+    component_id their vec_id. The rotations are fitted on about `sample` classes (fewer of
+    over 200 components, 2000 at least), chosen by a hash; every row is indexed. A bucket with more than `most` vectors is cut into parts that meet pairwise
+    in cells. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    vector = F.transform("embedding", lambda x: x.cast("double"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v"))
-    sizes = rows.where("v IS NOT NULL AND size(v) > 0").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 0
-    rows = rows.withColumn("cls", F.when(_valid(F.col("v"), dim) & F.col("vec_id").isNotNull(), F.xxhash64("v")))
-    classes = written(rows.where("cls IS NOT NULL").groupBy("cls", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "classes")
-    total = classes.count()
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    wide = "<f4" if kind == "float" else "<f8"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast(kind)).alias("v"))
+    rows = rows.withColumn("v", F.when(F.size("v") > 0, F.col("v")))
+    rows = rows.withColumn("cls", F.when(_valid(F.col("v")) & F.col("vec_id").isNotNull(), F.xxhash64("v")))
+    classes = written(rows.where("cls IS NOT NULL").groupBy("cls", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "classes")
     names = written(rows.select("vec_id", "cls"), "names")
-    if not total:
-        return names.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    chosen = classes.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1_000_000)) < min(1.0, sample / total) * 1_000_000).orderBy("cls").select("v").limit(2 * sample).collect()
-    codes = fit(unit(np.array([r["v"] for r in chosen] or [r["v"] for r in classes.orderBy("cls").limit(2).collect()])), total, threshold)
-    shared = spark.sparkContext.broadcast(codes)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                v = part.column("v")
-                data = unit(np.asarray(v.flatten()).reshape(-1, dim))
-                keys = shared.value.of(data)
-                n, tables = keys.shape
-                take = pa.array(np.repeat(np.arange(n), tables))
-                packed = pa.array([x.tobytes() for x in data], pa.binary()).take(take)
-                every = pa.array([x.tobytes() for x in keys.astype(np.int32)], pa.binary()).take(take)
-                key = pa.array((np.arange(tables)[None] << 32 | keys).ravel())
-                yield pa.RecordBatch.from_arrays([key, *[part.column(c).take(take) for c in ("cls", "id", "copies")], packed, every], ["bucket", "cls", "id", "copies", "unit", "codes"])
+
+    def keyed(codes):
+        """Rows of vectors into rows of (bucket, vector) for each table; without codes a length is one bucket."""
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2000):
+                    part = batch.slice(i, 2000)
+                    raw = np.asarray(part.column("v").flatten()).astype(wide)
+                    size = np.asarray(part.column("dim"))
+                    if codes is None:
+                        ends = np.cumsum(size)
+                        keys, tables = size.astype(np.int64)[:, None], 1
+                        packed = [raw[b - n : b].tobytes() for b, n in zip(ends.tolist(), size.tolist())]
+                    else:
+                        keys = codes.value.of(unit(raw.reshape(len(size), -1).astype(float)))
+                        tables = keys.shape[1]
+                        packed = [x.tobytes() for x in raw.reshape(len(size), -1)]
+                    take = pa.array(np.repeat(np.arange(len(size)), tables))
+                    every = pa.array([x.tobytes() for x in keys], pa.binary()).take(take)
+                    key = pa.array((np.arange(tables)[None] << KEY_BITS | keys).ravel())
+                    yield pa.RecordBatch.from_arrays([key, *[part.column(c).take(take) for c in ("cls", "id", "copies", "dim")], pa.array(packed, pa.binary()).take(take), every], ["bucket", "cls", "id", "copies", "dim", "vector", "codes"])
+
+        return of
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["bucket", "cell"]):
-            starts = [*run_starts(table, ["bucket", "cell"]).tolist(), table.num_rows]
+        for table in groups(batches, ["dim", "bucket", "cell"]):
+            starts = [*run_starts(table, ["dim", "bucket", "cell"]).tolist(), table.num_rows]
             out: list[list[np.ndarray]] = [[], [], [], []]
             for i, j in zip(starts, starts[1:]):
                 if j == i + 1:
                     continue
                 part = table.slice(i, j - i)
-                data = _matrix(part.column("unit"), dim)
-                keys = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int32).reshape(j - i, -1)
+                data = unit(np.frombuffer(b"".join(part.column("vector").to_pylist()), wide).reshape(j - i, -1).astype(float))
+                keys = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int64).reshape(j - i, -1)
                 near = np.minimum(data @ data.T, 1.0) >= threshold
                 np.fill_diagonal(near, False)
                 slot, both = np.asarray(part.column("part")), np.asarray(part.column("both"))
@@ -187,7 +193,7 @@ def linked(vectors: DataFrame, threshold: float = 0.95, sample: int = 20_000, mo
                     near &= slot[:, None] != slot[None]
                 if not near.any():
                     continue
-                t = int(part.column("bucket")[0].as_py() >> 32)
+                t = int(part.column("bucket")[0].as_py() >> KEY_BITS)
                 counted = near.copy()
                 for earlier in range(t):  # a pair counts in the first table in which it meets
                     a, b = np.nonzero(counted)
@@ -202,13 +208,25 @@ def linked(vectors: DataFrame, threshold: float = 0.95, sample: int = 20_000, mo
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["cls", "n", "a", "b"])
 
-    buckets = classes.select("cls", "id", "copies", "v").mapInArrow(keyed, "bucket long, cls long, id long, copies long, unit binary, codes binary")
-    large = buckets.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / most).alias("parts"))
-    large = written(large, "large")
-    rows = buckets.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("parts")))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct((F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part"))).alias("cell"), (j != F.col("part")).alias("both")))
-    dealt = rows.withColumn("at", F.explode(cells)).select("bucket", F.col("at.cell").alias("cell"), F.col("at.both").cast("int").alias("both"), "part", "cls", "id", "copies", "unit", "codes")
-    found = written(dealt.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(compare, "cls long, n long, a long, b long"), "found")
+    def met(mine: DataFrame, codes) -> DataFrame:
+        """Rows (cls, n, a, b) of what meets: links counted for a class, and links (a, b) that join its component."""
+        buckets = mine.select("cls", "id", "copies", "dim", "v").mapInArrow(keyed(codes), "bucket long, cls long, id long, copies long, dim int, vector binary, codes binary")
+        large = written(buckets.groupBy("dim", "bucket").count().where(F.col("count") > most).select("dim", "bucket", F.ceil(F.col("count") / most).alias("parts")), "large")
+        dealt = buckets.join(large, ["dim", "bucket"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("cls", F.lit(5)), F.col("parts")))
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct((F.least(j, F.col("part")) * F.col("parts") + F.greatest(j, F.col("part"))).alias("cell"), (j != F.col("part")).alias("both")))
+        dealt = dealt.withColumn("at", F.explode(cells)).select("dim", "bucket", F.col("at.cell").alias("cell"), F.col("at.both").cast("int").alias("both"), "part", "cls", "id", "copies", "vector", "codes")
+        out = written(dealt.repartition("dim", "bucket", "cell").sortWithinPartitions("dim", "bucket", "cell").mapInArrow(compare, "cls long, n long, a long, b long"), "found")
+        dropped(large)
+        return out
+
+    # A length is large with over `most` classes, so there are fewer of them than classes / most.
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().where(F.col("count") > most).collect()}
+    found = met(classes.where(~F.col("dim").isin(list(sizes))) if sizes else classes, None)
+    for dim, total in sorted(sizes.items()):
+        mine, rows_wanted = classes.where(F.col("dim") == dim), min(sample, max(2000, 4_000_000 // dim))
+        chosen = mine.where(F.pmod(F.xxhash64("cls", F.lit(3)), F.lit(1_000_000)) < min(1.0, rows_wanted / total) * 1_000_000).orderBy("cls").select("v").limit(2 * rows_wanted).collect()
+        codes = fit(unit(np.array([r["v"] for r in chosen] or [r["v"] for r in mine.orderBy("cls").limit(2).collect()], float)), total, threshold)
+        found = found.union(met(mine, spark.sparkContext.broadcast(codes)))
     counts = found.groupBy("cls").agg(F.sum("n").alias("n"))
     roots = components(found.select("a", "b").distinct())
     known = classes.select("cls", "id", "copies").join(counts, "cls", "left").join(roots, "id", "left")

@@ -24,8 +24,9 @@ SHARE = 1.5
 MOST = 2
 MOST_SOURCES = 100_000
 BLOCK_DOCS = 256
-#: Blocks of a source; with more documents the blocks grow instead, so the table of blocks stays small.
+#: Blocks of a source, and of all together; with more documents blocks grow instead, so the table of blocks stays small.
 MOST_BLOCKS = 65_536
+ALL_BLOCKS = 300_000_000
 
 
 def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most: float = MOST) -> np.ndarray:
@@ -44,13 +45,14 @@ def targets(sizes: np.ndarray, weights: np.ndarray, share: float = SHARE, most:
 
 
 def split(counts: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Counts of blocks by source and shard; each row adds up to its source's count, shards to equal numbers (or one apart)."""
+    """Counts of blocks by source and shard; each row adds up to its source's count, shards to equal numbers (or one apart).
+
+    Counts add up to less than 1e9, as all sources together have at most ALL_BLOCKS, drawn at most MOST + 1 times.
+    """
     if shards == 1:
         return counts[:, None]
     half = shards // 2
-    total = int(counts.sum())
-    method = "marginals" if total < 1_000_000_000 else None
-    left = rng.multivariate_hypergeometric(counts, total * half // shards, method="marginals") if method else (counts * half // shards)
+    left = rng.multivariate_hypergeometric(counts, int(counts.sum()) * half // shards, method="marginals")
     return np.concatenate((split(left, half, rng), split(counts - left, shards - half, rng)), axis=1)
 
 
@@ -78,7 +80,8 @@ def planned(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     wants = targets(sizes, np.resize(np.array(weights, float), len(found)), share, MOST)
     epochs = np.minimum(np.floor(wants / np.maximum(sizes, 1)), MOST).astype(int)
     rest = np.minimum(np.rint(wants - epochs * sizes), sizes).astype(int)
-    blocks = [min(-(-r["n"] // BLOCK_DOCS), MOST_BLOCKS) for r in found]
+    most = min(MOST_BLOCKS, ALL_BLOCKS // max(1, len(found)))
+    blocks = [min(-(-r["n"] // BLOCK_DOCS), most) for r in found]
     schema = T.StructType([T.StructField("source", docs.schema["source"].dataType)] + [T.StructField(n, t) for n, t in (("number", T.IntegerType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("epochs", T.IntegerType()), ("rest", T.LongType()), ("blocks", T.IntegerType()))])
     plan = spark.createDataFrame([(r["source"], i, int(r["size"]), float(w), int(e), int(x), b) for i, (r, w, e, x, b) in enumerate(zip(found, wants, epochs, rest, blocks))], schema)
 

@@ -54,6 +54,26 @@ def test_against_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_pairs_just_above_the_threshold_and_several_lengths(spark):
+    """Recall among pairs of cosine 0.95 to 0.96, in an index of many and in the single bucket of a small length."""
+    rng = np.random.default_rng(8)
+    rows, pairs = [], []
+    for dim, n in ((24, 600), (48, 250)):
+        one = itq.unit(rng.normal(size=(n, dim)))
+        side = rng.normal(size=one.shape)
+        side = itq.unit(side - (side * one).sum(1, keepdims=True) * one)
+        cosine = rng.uniform(0.9503, 0.96, size=(n, 1))
+        for x, y in zip(one, cosine * one + np.sqrt(1 - cosine**2) * side):
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), [float(v) for v in 3 * x]), (len(rows) + 1, [float(v) for v in y])]
+    frame = spark.createDataFrame([*rows, (90_000, [1.0]), (90_001, [2.0]), (90_002, [-1.0])], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.vec_id: r for r in itq.linked(frame, most=600).collect()}
+    large, small = ([got[a].n_links > 0 and got[a].component_id == got[b].component_id for a, b in part] for part in (pairs[:600], pairs[600:]))
+    print(np.mean(large), np.mean(small))
+    assert np.mean(large) >= 0.9 and all(small)
+    assert [(got[i].n_links, got[i].component_id) for i in (90_000, 90_001, 90_002)] == [(1, 90_000), (1, 90_000), (0, 90_002)]
+
+
 def test_bits_are_balanced_and_keep_neighbours():
     x = itq.unit(np.array(vectors(2)))
     codes = itq.fit(x, len(x), 0.95)

@@ -64,6 +64,24 @@ def test_splitting_tree_adds_up():
     assert (got.sum(1) == counts).all() and (got >= 0).all() and np.ptp(got.sum(0)) <= 3
 
 
+def test_splits_are_hypergeometric_at_any_size():
+    """Means and variances of the draws against their formulas, and counts at the largest that sources may have together."""
+    counts, shards, n = np.array([40, 25, 5]), 4, 4000
+    rng = np.random.default_rng(3)
+    draws = np.stack([mixing.split(counts, shards, rng) for _ in range(n)])
+    total = counts.sum()
+    size = draws[0].sum(0)
+    for s in range(shards):
+        mean = counts * size[s] / total
+        spread = size[s] * counts / total * (1 - counts / total) * (total - size[s]) / (total - 1)
+        assert np.abs(draws[:, :, s].mean(0) - mean).max() < 0.2
+        assert np.abs(draws[:, :, s].var(0) / spread - 1).max() < 0.15
+    large = np.full(4578, 3 * (mixing.ALL_BLOCKS // 4578))
+    got = mixing.split(large, 16, rng)
+    assert (got.sum(1) == large).all() and np.ptp(got.sum(0)) <= 4
+    assert got.std() > 0.5 * np.sqrt(large[0] / 16)
+
+
 def test_shards_are_written(spark, tmp_path):
     docs = spark.createDataFrame([(i, f"a b {i}", f"s{i % 2}") for i in range(60)], "doc_id long, text string, source string")
     mixing.write_shards(mixing.mixed(docs, shards=2), str(tmp_path / "out"))
