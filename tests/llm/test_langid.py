@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from hostlens.llm import langid
 
@@ -57,3 +58,59 @@ def test_without_labels_and_empty(spark):
     assert {r.lang_pred for r in langid.predictions(docs).collect()} == {"und"}
     assert langid.predictions(docs.limit(0)).count() == 0
     assert langid.accepted(docs).count() == 1
+
+
+def plain_features(text):
+    """Hashed n-grams counted one at a time."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(text) - n + 1):
+            h = n
+            for b in text[i : i + n]:
+                h = (h * 0x01000193 + fold(b)) % 2**32
+            h ^= h >> 15
+            h = h * 0x85EBCA6B % 2**32 >> 19
+            counts[h] = counts.get(h, 0) + 1
+    total = sum(counts.values())
+    return {h: (c / total) ** 0.5 for h, c in counts.items()}
+
+
+@pytest.mark.parametrize("stretch", [300_000, 7])
+def test_features_and_decoding_against_plain_ones(monkeypatch, stretch):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    texts = [t.encode() for _, t, *_ in corpus(12)] + [b"", b"a", b"aB", "Ñandú!".encode() * 4]
+    model = langid.fit([t.encode() for _, t, *_ in corpus(60, 3)], [x[2] for x in corpus(60, 3)])
+    for text in texts:
+        row = langid.features([text])[0]
+        want = plain_features(text)
+        assert set(np.flatnonzero(row)) == set(want) and all(abs(row[h] - v) < 1e-6 for h, v in want.items())
+        assert (langid.unpacked([langid.packed(row)])[0] == row).all()
+        margins = [sum(v * model.weights[h, k] for h, v in want.items()) + model.bias[k] for k in range(model.code.shape[1])]
+        loss = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, word)) for word in model.code]
+        share = [np.exp(min(loss) - x) for x in loss]
+        best, score, near = model.predict([text])
+        assert best[0] == int(np.argmin(loss)) and abs(score[0] - max(share) / sum(share)) < 1e-4
+        second = sorted(share)[-2] / sum(share)
+        assert near[0] == (score[0] - second < 0.1) or abs(score[0] - second - 0.1) < 1e-4
+
+
+def test_more_than_256_languages_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_ROWS", 2000)
+    monkeypatch.setattr(langid, "BATCH", 1024)
+    rows = []
+    for k in range(300):
+        word = "".join(chr(97 + (k // 17**j) % 17) for j in range(3))
+        rows += [(10 * k + i, f"{word}{word} {word} " * (4 + i), f"l{k:03d}") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r.doc_id: r for r in langid.predictions(docs).collect()}
+    apart = [r for r in rows if got[r[0]].held_out]
+    assert np.mean([got[i].lang_pred == x for i, _, x in apart]) > 0.9
+    assert len({r.lang_pred for r in got.values()}) > 285
+
+
+def test_samples_are_bounded_and_agree(spark):
+    rows = [(i % 500, f"text {i}", "aa" if i % 3 else "bb") for i in range(3000)] + [(9, "again", "aa")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = ({(r.doc_id, r.lang) for r in langid.bounded(docs.repartition(n), "lang", 40).collect()} for n in (2, 5))
+    assert one == two and [sum(x == k for _, x in one) for k in ("aa", "bb")] == [40, 40]
