@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_IN_TAG = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _BLANK = re.compile(r"[ \t\n\f\r]+")
 _WATCHED = re.compile(r"hidden|style|start|type|span", re.I)
 
 #: Elements by what HTML says of them.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist textarea".split())
+UNSEEN = frozenset("head script style title template noscript noembed noframes iframe object audio video canvas datalist".split())
+#: Of these, text within an svg element is not drawn.
+UNDRAWN = frozenset("defs desc metadata symbol".split())
 EMPTY = frozenset("area base br col embed hr img input link meta source track wbr".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li dt dd".split())
@@ -36,6 +39,8 @@ SCOPE = frozenset("table td th caption html template".split())
 CELLS = frozenset(("td", "th"))
 TABLE_PARTS = frozenset("table tr td th thead tbody tfoot caption".split())
 WIDEST = 40
+#: Tables nested deeper than this are laid out as blocks, a cell under another, so that no line is padded again at each level.
+DEEPEST = 8
 
 
 class Flow:
@@ -100,10 +105,11 @@ class Page:
 
     def __init__(self) -> None:
         self.open: list[tuple[str, bool, object]] = []
-        self.count: Counter[str] = Counter()
+        #: Where the elements of each name stand among the open ones.
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.unseen = 0
         self.flows = [Flow()]
-        self.tables: list[Table] = []
+        self.tables: list[Table | None] = []
         self.lists: list[list] = []
 
     @property
@@ -112,16 +118,19 @@ class Page:
 
     def pop(self) -> None:
         name, hidden, kept = self.open.pop()
-        self.count[name] -= 1
+        self.places[name].pop()
         if not self.unseen:
             if name in CELLS and kept:
                 cell = self.flows.pop().result()
                 rows = self.tables[-1].rows
                 (rows or rows.append([]) or rows)[-1].extend([cell] + [""] * (kept[0] - 1))
             elif name == "table" and kept:
-                lines = self.tables.pop().lines()
+                table = self.tables.pop()
+                lines = table.lines() if table else []
                 if lines:
                     self.flow.block(lines)
+                elif table is None:
+                    self.flow.end_line(2)
             elif name in ("ul", "ol", "menu") and kept:
                 self.lists.pop()
                 self.flow.end_line(1 if self.lists else 2)
@@ -137,22 +146,21 @@ class Page:
         if hidden:
             self.unseen -= 1
 
-    def pop_to(self, names: frozenset[str] | tuple[str, ...], stop: frozenset[str] | tuple[str, ...]) -> bool:
-        """Closes the innermost open element of `names`, unless one of `stop` is opened within."""
-        if not any(self.count[n] for n in names):
+    def innermost(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of `names`, or -1."""
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=-1)
+
+    def pop_to(self, names: Iterable[str], stop: Iterable[str]) -> bool:
+        """Closes the innermost open element of `names`, unless one of `stop` (and not of `names`) is opened within."""
+        at = self.innermost(names)
+        if at < 0 or self.innermost(n for n in stop if n not in names) > at:
             return False
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name in names:
-                while len(self.open) > i:
-                    self.pop()
-                return True
-            if name in stop:
-                return False
-        return False
+        while len(self.open) > at:
+            self.pop()
+        return True
 
     def imply(self, name: str) -> None:
-        if self.count["head"] and name not in IN_HEAD and name != "head":
+        if self.places["head"] and name not in IN_HEAD and name != "head":
             self.pop_to(("head",), ())
         if name in CLOSES_P:
             self.pop_to(("p",), SCOPE)
@@ -183,7 +191,7 @@ class Page:
                 self.flow.end_line(2)
             return
         style = re.sub(r"\s", "", attributes.get("style", "")).lower()
-        hidden = name in UNSEEN or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
+        hidden = name in UNSEEN or "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or (name in UNDRAWN and bool(self.places["svg"]))
         self.unseen += hidden
         kept: object = None
         if not self.unseen:
@@ -202,10 +210,10 @@ class Page:
                 flow.marker = flow.marker if len(flow.indent) >= len(flow.marker) else None
             elif name == "table":
                 flow.end_line(2)
-                kept = self.tables.append(Table()) or True
-            elif name == "tr" and self.tables:
+                kept = self.tables.append(Table() if len(self.tables) < DEEPEST else None) or True
+            elif name == "tr" and self.tables and self.tables[-1]:
                 self.tables[-1].rows.append([])
-            elif name in CELLS and self.tables:
+            elif name in CELLS and self.tables and self.tables[-1]:
                 span = attributes.get("colspan", "1")
                 kept = (min(100, max(1, int(span))) if re.fullmatch(r"\d{1,4}", span) else 1,)
                 self.flows.append(Flow())
@@ -214,7 +222,7 @@ class Page:
             elif name in LINE:
                 flow.end_line()
         self.open.append((name, bool(hidden), kept))
-        self.count[name] += 1
+        self.places[name].append(len(self.open) - 1)
 
     def end(self, name: str) -> None:
         if name == "br":
@@ -233,12 +241,12 @@ class Page:
         elif name not in ("body", "html", "p"):
             self.pop_to((name,), SCOPE)
 
-    def text(self, text: str) -> None:
+    def text(self, text: str, literal: bool = False) -> None:
         if self.open and self.open[-1][0] == "head" and text.strip():
             self.pop()
         if self.unseen:
             return
-        self.flow.text(html.unescape(text) if "&" in text else text, self.count["pre"] > 0)
+        self.flow.text(html.unescape(text) if "&" in text and not literal else text, bool(self.places["pre"]))
 
     def result(self) -> str:
         while self.open:
@@ -246,29 +254,84 @@ class Page:
         return self.flow.result()
 
 
+class Tags:
+    """Where the tags of a page end. What was gone through once is not gone through again, so hostile pages take linear time."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.ends: dict[int, int] = {}
+        self.last = {c: source.rfind(c) for c in ">\"'"}
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag, from within it: the first outside quotes, or else the first; -1 without any."""
+        met, i = [], at
+        while True:
+            token = _IN_TAG.search(self.source, i) if i <= max(self.last.values()) else None
+            if token is None:
+                end = -1
+                break
+            if token.start() in self.ends:
+                end = self.ends[token.start()]
+                break
+            met.append(token.start())
+            if token[0] == ">":
+                end = token.start()
+                break
+            if self.last[token[0]] <= token.start():  # the quote never closes
+                end = -1
+                break
+            i = self.source.index(token[0], token.end()) + 1
+        for place in met:
+            self.ends[place] = end
+        if end < 0 and self.last[">"] >= at:
+            end = self.source.index(">", at)
+        return end
+
+
 def visible_text(source: str | None) -> str:
-    page, at = Page(), 0
+    page, at, shown = Page(), 0, 0
     source = source or ""
+    tags = Tags(source)
+
+    def before(place: int) -> None:
+        if place > shown:
+            page.text(source[shown:place])
+
     while True:
-        token = _TOKEN.search(source, at)
-        if token is None:
-            page.text(source[at:])
-            return page.result()
-        if token.start() > at:
-            page.text(source[at : token.start()])
-        at = token.end()
-        close, name, rest = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
-        if not name:
+        at = source.find("<", at)
+        if at < 0:
+            break
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            before(at)
+            at = shown = end + 3 if end >= 0 else len(source)
+            continue
+        tag = _TAG.match(source, at + 1)
+        end = tags.end(tag.end()) if tag else -1
+        if tag is None and source[at + 1 : at + 2] in ("!", "?", "/") and tags.last[">"] > at:
+            before(at)
+            at = shown = source.index(">", at) + 1
+            continue
+        if end < 0:
+            at += 1
             continue
-        name = name.lower()
-        if close:
+        before(at)
+        rest = source[tag.end() : end]
+        at = shown = end + 1
+        name = tag[2].lower()
+        if tag[1]:
             page.end(name)
             continue
         attributes = {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(rest)} if rest and _WATCHED.search(rest) else {}
         page.start(name, attributes)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
-            at = end.start() if end else len(source)
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(source, at)
+            end = close.start() if close else len(source)
+            if name not in UNSEEN and end > at:
+                page.text(source[at:end], literal=name == "xmp")
+            at = shown = end
+    before(len(source))
+    return page.result()
 
 
 def extracted(text: Column) -> Column:
@@ -286,7 +349,8 @@ def pages_text(pages: DataFrame) -> DataFrame:
     """One row per row of `pages`: page_id, url, text, n_lines.
 
     A null or empty page has an empty text. Rows alike each have their row; an empty table gives none.
-    Unclosed tags, comments and attributes end where the page ends.
+    Unclosed comments end where the page ends; an unclosed tag is text. Time and text grow in proportion to
+    the page, whatever it nests or leaves open.
     """
     rows = pages.select("page_id", "url", extracted(F.col("html")).alias("text"))
     lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1)
