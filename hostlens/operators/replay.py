@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def replay_order(events: DataFrame) -> DataFrame:
     return events.orderBy("event_ts", "seq")
 
 
+def replay_places(events: DataFrame) -> DataFrame:
+    """Events in time order with place, from 1: a range sort, and the numbers of rows in the partitions before.
+
+    The sorted rows are written with their partition and their row in it, so the two cannot differ; the
+    table of partitions has a row for each and is all that one task sees.
+    """
+    at = F.monotonically_increasing_id()
+    rows = written(replay_order(events).withColumn("place", at), "replay")
+    part, row = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
+    parts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"))
+    joined = rows.withColumn("part", part).join(F.broadcast(parts), "part")
+    return joined.withColumn("place", F.col("before") + row + 1).select(rows.columns)
+
+
 def replay_gaps(events: DataFrame, speed: float = 1.0) -> DataFrame:
     """Events with gap_us, the microseconds since the agent's event before, divided by the speed (null for its first)."""
     if speed <= 0:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from ..sources.scratch import dropped, written
 from .hunt import creations
 
 
@@ -33,37 +35,109 @@ def edges(events: DataFrame) -> DataFrame:
 
 def latest_instance(events: DataFrame) -> DataFrame:
     """The creation of each (agent, pid) that arrived last."""
-    last = F.row_number().over(Window.partitionBy("agent_id", "pid").orderBy(F.desc("seq")))
-    return creations(events).withColumn("rank", last).where("rank = 1").drop("rank")
+    rows = creations(events)
+    rest = [c for c in rows.columns if c not in ("agent_id", "pid")]
+    last = rows.groupBy("agent_id", "pid").agg(F.max_by(F.struct(*rest), "seq").alias("r"))
+    return last.select("agent_id", "pid", "r.*").select(rows.columns)
+
+
+def roots_of(events: DataFrame, pid: int | None = None, process_key: str | None = None) -> DataFrame:
+    """The last creation of a pid on each agent, or of a process key; one that was never created is an error."""
+    rows = creations(events)
+    if process_key is not None:
+        rest = [c for c in rows.columns if c != "agent_id"]
+        last = rows.where(F.col("pkey") == process_key).groupBy("agent_id").agg(F.max_by(F.struct(*rest), "seq").alias("r"))
+        found = last.select("agent_id", "r.*").select(rows.columns)
+    else:
+        found = latest_instance(events.where(C.event_pid(F.col("data")) == pid))
+    if found.isEmpty():
+        raise LookupError(f"no process was created with {'key ' + process_key if process_key is not None else f'pid {pid}'}")
+    return found
 
 
-def _walk(edge: DataFrame, roots: DataFrame, up: bool, name: str) -> DataFrame:
-    spark = edge.sparkSession
-    edge.createOrReplaceTempView(f"{name}_edges")
-    roots.createOrReplaceTempView(f"{name}_roots")
-    step = "e.seq = t.parent_seq" if up else "e.parent_seq = t.seq"
-    stop = "AND t.ppid <> 0 AND t.ppid <> t.pid" if up else ""
-    return spark.sql(f"""
-        WITH RECURSIVE t(agent_id, root, seq, pid, ppid, parent_seq, depth, path) AS (
-          SELECT e.agent_id, e.seq, e.seq, e.pid, e.ppid, e.parent_seq, 0, array(e.seq) FROM {name}_edges e JOIN {name}_roots r ON e.seq = r.seq
-          UNION ALL
-          SELECT e.agent_id, t.root, e.seq, e.pid, e.ppid, e.parent_seq, t.depth + 1, array_append(t.path, e.seq)
-          FROM t JOIN {name}_edges e ON e.agent_id = t.agent_id AND {step} WHERE NOT array_contains(t.path, e.seq) {stop})
-        SELECT root, seq, pid, ppid, depth FROM t""")
+def _links(edge: DataFrame) -> DataFrame:
+    return edge.select("seq", "parent_seq")
 
 
 def descendants(edge: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (root, seq, pid, ppid, depth) of all processes below the roots (seq), the roots included; cycles end.
 
-    Spark bounds a recursion by spark.sql.cteRecursionLevelLimit and cteRecursionRowLimit and fails beyond
-    them; raise those for very deep or very many trees.
+    Each process points to its parent, and pointers are doubled: in a round a process takes over where its
+    pointer's target points, until it meets a root. So a tree of any depth takes as many rounds as its depth has
+    binary digits, each a join of tables that were written, and no row holds a path. Where roots stand below
+    roots, the same is done with the roots alone, which are then joined to what is nearest to each.
+    """
+    marked = roots.select("seq").distinct().withColumn("is_root", F.lit(True))
+    links = _links(edge).join(marked, "seq", "left")
+    # up: where the pointer leads, dist steps away; a root's own pointer stays for the roots above it.
+    start = links.select("seq", F.when(F.col("is_root"), F.col("seq")).otherwise(F.col("parent_seq")).alias("up"), F.when(F.col("is_root"), 0).otherwise(1).alias("dist"), F.coalesce("is_root", F.lit(False)).alias("done"))
+    nearest = _jumped(start)
+    first = links.where("is_root").select(F.col("seq").alias("below"), "parent_seq").join(nearest.select(F.col("seq").alias("parent_seq"), F.col("up").alias("above"), F.col("dist")), "parent_seq").select("below", "above", (F.col("dist") + 1).alias("dist")).where("below <> above")
+    pairs = _closed(first)
+    reach = marked.select(F.col("seq").alias("root"), F.col("seq").alias("up"), F.lit(0).alias("more")).unionByName(pairs.select(F.col("above").alias("root"), F.col("below").alias("up"), F.col("dist").alias("more")))
+    rows = nearest.join(written(reach, "reach"), "up").select("root", "seq", (F.col("dist") + F.col("more")).alias("depth"))
+    return rows.join(edge.select("seq", "pid", "ppid"), "seq").select("root", "seq", "pid", "ppid", "depth")
+
+
+def _jumped(start: DataFrame) -> DataFrame:
+    """Rows (seq, up, dist) of what reaches a done row by its pointers; what reaches none is left out.
+
+    A round that ends no pointer means that none of the rest, twice as far or in a cycle, will end.
+    """
+    now, ended = written(start.where("up IS NOT NULL"), "pointers"), -1
+    while True:
+        there = now.select(F.col("seq").alias("up"), F.col("up").alias("next"), F.col("dist").alias("far"), F.col("done").alias("there"))
+        open_ = now.where("NOT done").join(there, "up").select("seq", F.col("next").alias("up"), (F.col("dist") + F.col("far")).alias("dist"), F.col("there").alias("done"))
+        after = written(now.where("done").unionByName(open_), "pointers")
+        counts = after.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        dropped(now)
+        now = after
+        if counts[1] == 0 or counts[0] == ended:
+            return now.where("done").select("seq", "up", "dist")
+        ended = counts[0]
+
+
+def _closed(pairs: DataFrame) -> DataFrame:
+    """All (below, above, dist) that steps of `pairs`, of which each `below` has one, lead to; no pair of one with itself.
+
+    Of several ways round a cycle the shortest stays.
     """
-    return _walk(edge, roots, False, "hostlens_down")
+    step = written(pairs, "steps")
+    all_ = written(step, "reached")
+    n = all_.count()
+    while n:
+        ahead = step.select(F.col("below").alias("above"), F.col("above").alias("on"), F.col("dist").alias("far"))
+        further = all_.join(ahead, "above").select("below", F.col("on").alias("above"), (F.col("dist") + F.col("far")).alias("dist"))
+        more = all_.unionByName(further).where("below <> above").groupBy("below", "above").agg(F.min("dist").alias("dist"))
+        more = written(more, "reached")
+        twice = step.join(ahead, "above").select("below", F.col("on").alias("above"), (F.col("dist") + F.col("far")).alias("dist"))
+        twice = written(twice, "steps")
+        dropped(step, all_)
+        step, all_, last = twice, more, n
+        n = all_.count()
+        if n == last:
+            break
+    return all_
 
 
 def ancestors(edge: DataFrame, roots: DataFrame) -> DataFrame:
-    """The chain of parents of each root, until one has none, pid 0 or itself as parent, or was met."""
-    return _walk(edge, roots, True, "hostlens_up")
+    """The chain of parents of each root, until one has none, pid 0 or itself as parent, or was met; any depth, by doubled steps."""
+    up = edge.where("parent_seq IS NOT NULL AND ppid <> 0 AND ppid <> pid").select(F.col("seq").alias("below"), F.col("parent_seq").alias("above"), F.lit(1).alias("dist"))
+    step = written(up, "steps")
+    all_ = written(roots.select("seq").distinct().select(F.col("seq").alias("root"), "seq", F.lit(0).alias("depth")), "reached")
+    n = all_.count()
+    while n:
+        further = all_.join(step.withColumnRenamed("below", "seq"), "seq").select("root", F.col("above").alias("seq"), (F.col("depth") + F.col("dist")).alias("depth"))
+        more = written(all_.unionByName(further).groupBy("root", "seq").agg(F.min("depth").alias("depth")), "reached")
+        ahead = step.select(F.col("below").alias("above"), F.col("above").alias("on"), F.col("dist").alias("far"))
+        twice = written(step.join(ahead, "above").select("below", F.col("on").alias("above"), (F.col("dist") + F.col("far")).alias("dist")), "steps")
+        dropped(step, all_)
+        step, all_, last = twice, more, n
+        n = all_.count()
+        if n == last:
+            break
+    dropped(step)
+    return all_.join(edge.select("seq", "pid", "ppid"), "seq").select("root", "seq", "pid", "ppid", "depth")
 
 
 def nested(rows: DataFrame, edge: DataFrame, depth: int) -> DataFrame:

@@ -469,13 +469,7 @@ def explain_script_counts(spark, sf_dir):
 
 @_query("SELECT seq, row_number() OVER (ORDER BY event_ts, seq) AS place FROM v")
 def replay_order(spark, sf_dir):
-    """The place of each event, counted from those of the days before and within its own day."""
-    events = replay.replay_order(telemetry(spark, sf_dir).select("seq", "event_ts")).withColumn("day", F.to_date("event_ts"))
-    from pyspark.sql import Window
-
-    days = events.groupBy("day").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("day").orderBy("event_ts", "seq")) + F.col("before")
-    return events.join(days, "day").select("seq", place.alias("place"))
+    return replay.replay_places(telemetry(spark, sf_dir).select("seq", "event_ts")).select("seq", "place")
 
 
 @_query("SELECT seq, CAST(floor(epoch_us(event_ts) - epoch_us(lag(event_ts) OVER (PARTITION BY agent_id ORDER BY event_ts, seq))) AS BIGINT) // 2 AS gap_us FROM v")
@@ -666,7 +660,7 @@ def _sysmon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("CASE k % 3 WHEN 0 THEN 'Image is replaced' WHEN 1 THEN 'Image is locked for access' ELSE 'Other &amp; more' END")
     fields = F.concat(d("ProcessId", c("pid")), d("ParentProcessId", c("ppid")), d("Image", c("image_path")), d("CommandLine", c("command_line")), d("DestinationIp", c("dst_addr")), d("DestinationPort", c("dst_port")), d("Initiated", F.expr("CASE WHEN k % 2 = 0 THEN 'True' ELSE 'false' END")), d("ImageLoaded", F.when(c("type") == "ImageLoad", F.concat(F.lit("C:\\lib\\"), c("image_name")))), d("Signed", c("signed")), d("QueryName", c("query_name")), d("QueryType", F.lit("1")), d("QueryResults", c("response")), d("Type", kind), d("SourceProcessId", c("pid")), d("TargetProcessId", c("pid") + 1), d("GrantedAccess", F.concat(F.lit("0x"), F.hex(c("k") * 16))), F.lit('<Data Name="Empty"/>'))
     xml = F.concat(F.lit("<Event><System><EventID>"), eid.cast("string"), F.lit("</EventID></System><EventData>"), fields, F.lit("</EventData></Event>"))
-    return written(rows.select("seq", xml.alias("xml")), "sysmon")
+    return written(rows.select("seq", xml.alias("xml")).repartition(spark.sparkContext.defaultParallelism), "sysmon")
 
 
 @_query("SELECT seq, CASE type WHEN 'ProcessCreate' THEN 1 WHEN 'ProcessTerminate' THEN 5 WHEN 'NetworkConnect' THEN 3 WHEN 'ImageLoad' THEN 7 WHEN 'DnsQuery' THEN 22 WHEN 'EvasionDetected' THEN 25 WHEN 'ScriptBlock' THEN 10 ELSE 99 END AS eid, CAST(pid AS VARCHAR) AS pid, CASE k % 3 WHEN 0 THEN 'Image is replaced' WHEN 1 THEN 'Image is locked for access' ELSE 'Other & more' END AS kind FROM v")
@@ -697,7 +691,7 @@ def _provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.expr("CASE type WHEN 'NetworkConnect' THEN 'Microsoft-Windows-Kernel-Network' WHEN 'DnsQuery' THEN 'Microsoft-Windows-DNS-Client' WHEN 'EvasionDetected' THEN 'Microsoft-Windows-Threat-Intelligence' WHEN 'AmsiScan' THEN 'Microsoft-Antimalware-Scan-Interface' WHEN 'ScriptBlock' THEN 'Microsoft-Windows-PowerShell' ELSE 'Microsoft-Windows-Kernel-Process' END")
     event = F.expr("CASE type WHEN 'NetworkConnect' THEN 10 + k % 9 WHEN 'DnsQuery' THEN CASE WHEN k % 2 = 0 THEN 3006 ELSE 3008 END WHEN 'EvasionDetected' THEN k % 12 WHEN 'AmsiScan' THEN 1101 WHEN 'ScriptBlock' THEN 4104 WHEN 'ProcessCreate' THEN 1 WHEN 'ProcessTerminate' THEN 2 ELSE 5 END")
     fields = F.array(f("PID", c("pid")), f("ProcessID", c("pid")), f("ParentProcessID", c("ppid")), f("ImageName", c("image_path")), f("daddr", c("dst_addr")), f("dport", c("dst_port")), f("QueryName", c("query_name")), f("QueryType", c("k")), f("QueryStatus", c("k") % 3), f("QueryResults", c("response")), f("scanResult", c("scan_result")), f("SignatureLevel", c("k") % 8), f("SignatureType", c("k") % 9), f("TargetProcessId", c("k") % 4))
-    return written(rows.select("seq", "pid", provider.alias("provider"), event.alias("event_id"), F.filter(fields, lambda x: x["value"].isNotNull()).alias("fields")), "provider")
+    return written(rows.repartition(spark.sparkContext.defaultParallelism).select("seq", "pid", provider.alias("provider"), event.alias("event_id"), F.filter(fields, lambda x: x["value"].isNotNull()).alias("fields")), "provider")
 
 
 @_query("""SELECT seq, type, severity2 AS severity, rule_id, direction, signed, signature, response FROM (

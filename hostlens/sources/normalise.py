@@ -52,8 +52,12 @@ def provider_name(guid: Column) -> Column:
 
 
 def parsed_sysmon(records: DataFrame, xml: str = "xml") -> DataFrame:
-    """records with eid (null unless a number) and fields (name, value) of their Sysmon XML, empty values left out."""
-    rows = records.withColumn("x", F.from_xml(F.col(xml), _XML))
+    """records with eid (null unless a number) and fields (name, value) of their Sysmon XML, empty values left out.
+
+    The parsed record comes out of a generator of one row, past which the optimiser copies no expression, so
+    that a record is parsed once and not once a field.
+    """
+    rows = records.withColumn("x", F.explode(F.array(F.from_xml(F.col(xml), _XML))))
     fields = F.filter(F.coalesce("x.EventData.Data", F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda d: d["_VALUE"].isNotNull() & (d["_VALUE"] != "") & d["_Name"].isNotNull())
     return rows.withColumn("eid", F.col("x.System.EventID").try_cast("int")).withColumn("fields", F.transform(fields, lambda d: F.struct(d["_Name"].alias("name"), d["_VALUE"].alias("value")))).drop("x")
 
@@ -88,11 +92,10 @@ class _Fields:
         return F.lower(self.text(name)) == "true"
 
     def spread(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumns({c: F.try_element_at(F.filter("fields", _named(n)), F.lit(-1))["value"] for n, c in self.names.items()})
-
-
-def _named(name: str):
-    return lambda d: d["name"] == name
+        """rows with each named field (of several the last); they too come out of generators of one row, so that each is looked up once."""
+        both = F.struct(F.reverse("fields.name").alias("_names"), F.reverse("fields.value").alias("_values"))
+        found = [F.try_element_at("_values", F.nullif(F.array_position("_names", n), F.lit(0)).cast("int")).alias(c) for n, c in self.names.items()]
+        return rows.select("*", F.inline(F.array(both))).select("*", F.inline(F.array(F.struct(*found)))).drop("_names", "_values")
 
 
 def _data(kind: str, **fields: Column) -> dict[str, Column]:

@@ -91,3 +91,12 @@ def test_stubs_and_patches(spark):
     patches = ["B857000780C3", "B8010000 00C3", "31C0C3", "C390", "90C3", "C3", "4C8BDC"]
     got = values(spark, [bytearray.fromhex(p) for p in patches], "b binary", pe.prologue_patch(F.col("b")))
     assert [g and g.pattern for g in got] == ["mov-ret E_INVALIDARG", "mov-ret S_FALSE", "xor-ret", "ret", "nop-ret", None, None]
+
+
+def test_records_are_parsed_once(spark):
+    from hostlens.sources import jsonl, normalise
+
+    lines = jsonl.parsed(spark.createDataFrame([("{}",)], "value string")).select("id", "data.pid", "category", "severity_ord", "rule.id")
+    sysmon = normalise.sysmon_events(spark.createDataFrame([("<Event/>",)], "xml string")).select("data.*", "rule_id")
+    for frame, parser in ((lines, "from_json"), (sysmon, "from_xml")):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count(f"{parser}(") == 1
