@@ -547,7 +547,73 @@ def ti_throttle(spark, sf_dir):
     return arrival.cooled(rows, 60, ["agent_id", "rule"]).select("seq")
 
 
-@_query()
+_R = RULES
+_WAIT = _R.cooldown
+
+
+def _cooled(name: str, rows: str) -> str:
+    """CTEs: of `rows` (agent_id, dedup, n, ord, tm, ...) those that pass, as `name`."""
+    return f"""{name}_k AS (SELECT *, row_number() OVER (PARTITION BY agent_id, dedup ORDER BY n, ord) AS rn FROM {rows}),
+{name}_q AS (
+  SELECT agent_id, dedup, rn, tm AS passed, true AS kept FROM {name}_k WHERE rn = 1
+  UNION ALL
+  SELECT k.agent_id, k.dedup, k.rn, CASE WHEN k.tm - q.passed >= {_WAIT} THEN k.tm ELSE q.passed END, k.tm - q.passed >= {_WAIT}
+  FROM {name}_q q JOIN {name}_k k ON k.agent_id = q.agent_id AND k.dedup = q.dedup AND k.rn = q.rn + 1),
+{name} AS (SELECT k.* FROM {name}_k k JOIN {name}_q q USING (agent_id, dedup, rn) WHERE q.kept)"""
+
+
+def _alerts(order: str) -> str:
+    """CTEs ending in `alerts`: all alerts of each agent's events in an order, each rule a set of rows and not a walk.
+
+    Only the cooldowns recur. A child that came before any process of its ppid waits for the first suspicious
+    parent of that pid after it.
+    """
+    return f"""e AS (
+  SELECT seq, agent_id, epoch_us(event_ts) / 1e6 AS tm, type, {PKEY} AS pkey, pid, ppid, command_line, rule_id, severity, technique, image_name, image_path, {BASE} AS base,
+    CASE WHEN {PUBLIC} THEN dst_addr END AS ip, nullif(query_name, '') AS name,
+    CASE type WHEN 'ProcessCreate' THEN image_path WHEN 'EvasionDetected' THEN coalesce(context_image, '') ELSE coalesce(context_image, 'PID ' || CAST(pid AS VARCHAR)) END AS image,
+    row_number() OVER (PARTITION BY agent_id ORDER BY {order}) AS n
+  FROM v WHERE type IN ('ProcessCreate', 'NetworkConnect', 'DnsQuery') OR rule_id IS NOT NULL OR (type = 'ImageLoad' AND NOT signed)),
+made AS (SELECT * FROM e WHERE type = 'ProcessCreate'),
+risky AS (
+  SELECT m.*, (SELECT max(p.n) FROM made p WHERE p.agent_id = m.agent_id AND p.pid = m.ppid AND p.n < m.n) AS before,
+    (SELECT min(p.n) FROM made p WHERE p.agent_id = m.agent_id AND p.pid = m.ppid AND p.n > m.n AND lower(p.base) IN {_PARENTS}) AS after
+  FROM made m WHERE lower(base) IN {_CHILDREN}),
+spawned AS (
+  SELECT p.agent_id, greatest(p.n, c.n) AS n, c.n AS child, CASE WHEN p.n > c.n THEN p.seq ELSE c.seq END AS seq, greatest(p.n, c.n) = p.n AS late, p.tm AS parent_tm, c.tm AS about, c.pkey, c.pid, c.image_path AS image, p.base || ' spawned ' || c.base || ' (' || c.command_line || ')' AS detail
+  FROM risky c JOIN made p ON p.agent_id = c.agent_id AND p.n = CASE WHEN c.before IS NULL THEN c.after ELSE c.before END
+  WHERE lower(p.base) IN {_PARENTS} AND p.tm <= c.tm),
+raw AS (
+  SELECT agent_id, n, 0 AS ord, seq, 'hunt' AS alert_type, 'lolbin' AS rule, 'Medium' AS severity, 'T1218' AS mitre, pkey, pid, image, 'LOLBin execution: ' || base || ' (' || command_line || ')' AS detail, pkey || '|lolbin' AS dedup, tm, tm AS about FROM made WHERE lower(base) IN {_LOLBINS}
+  UNION ALL
+  SELECT agent_id, n, child, seq, 'hunt', 'suspicious-parent', 'High', 'T1204.002', pkey, pid, image, detail, pkey || '|suspicious-parent', CASE WHEN late THEN parent_tm ELSE about END, about FROM spawned
+  UNION ALL
+  SELECT agent_id, n, 0, seq, 'detection', rule_id, severity, 'T100' || substr(rule_id, 3, 1), pkey, pid, image, 'EvasionDetected   pid:' || CAST(pid AS VARCHAR) || ' ' || technique || ' patched', pkey || '|' || rule_id, tm, tm FROM e WHERE rule_id IS NOT NULL
+  UNION ALL
+  SELECT agent_id, n, 0, seq, 'hunt', 'unsigned-dll', 'Low', 'T1574.001', pkey, pid, image, 'Unsigned DLL loaded: ' || image_name || ' (' || image_path || ')', pkey || '|unsigned-dll|' || image_name, tm, tm FROM e WHERE type = 'ImageLoad'),
+{_cooled("first", "raw")},
+marks AS (
+  SELECT agent_id, pkey, n, pid, image, CASE type WHEN 'ProcessCreate' THEN 'create' WHEN 'EvasionDetected' THEN 'detection' WHEN 'ImageLoad' THEN 'unsigned' WHEN 'NetworkConnect' THEN 'ip' ELSE 'name' END AS kind, coalesce(ip, name, lower(base)) AS value
+  FROM e WHERE type NOT IN ('NetworkConnect', 'DnsQuery') OR ip IS NOT NULL OR name IS NOT NULL
+  UNION ALL SELECT agent_id, pkey, n, pid, image, 'parent', NULL FROM spawned),
+touched AS (
+  SELECT DISTINCT agent_id, n, seq, pkey FROM first
+  UNION SELECT agent_id, n, seq, pkey FROM e WHERE type IN ('NetworkConnect', 'DnsQuery')),
+totals AS (
+  SELECT t.agent_id, t.n, t.seq, t.pkey, arg_min(m.pid, m.n) AS pid, arg_min(m.image, m.n) AS image,
+    count(*) FILTER (WHERE kind = 'detection') * {_R.detection} + count(*) FILTER (WHERE kind = 'unsigned') * {_R.unsigned_dll}
+    + CASE WHEN count(*) FILTER (WHERE kind = 'parent') > 0 THEN {_R.suspicious_parent} ELSE 0 END + CASE WHEN count(*) FILTER (WHERE kind = 'create' AND value IN {_LOLBINS}) > 0 THEN {_R.lolbin} ELSE 0 END
+    + count(DISTINCT value) FILTER (WHERE kind = 'ip') * {_R.external_ip} + count(DISTINCT value) FILTER (WHERE kind = 'name') * {_R.dns_query} AS total
+  FROM touched t JOIN marks m ON m.agent_id = t.agent_id AND m.pkey = t.pkey AND m.n <= t.n GROUP BY 1, 2, 3, 4),
+high AS (SELECT t.agent_id, t.n, 0 AS ord, t.seq, t.pkey, t.pid, t.image, t.total, t.pkey || '|score-threshold' AS dedup, e.tm FROM totals t JOIN e ON e.agent_id = t.agent_id AND e.n = t.n WHERE total >= {_R.threshold}),
+{_cooled("second", "high")},
+alerts AS (
+  SELECT seq, alert_type, rule, severity, mitre, pkey, pid, image, detail, CAST(NULL AS BIGINT) AS score, about AS "at" FROM first
+  UNION ALL
+  SELECT seq, 'score', 'score-threshold', 'High', NULL, pkey, pid, image, 'Process score ' || CAST(total AS VARCHAR) || ' reached threshold {_R.threshold}', CAST(total AS BIGINT), tm FROM second)"""
+
+
+@_query("SELECT * FROM alerts", _alerts("event_ts, seq"))
 def alert_backtest(spark, sf_dir):
     return arrival.backtest(telemetry(spark, sf_dir), RULES)
 
@@ -560,13 +626,13 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
 
 
-@_query()
+@_query("SELECT * FROM alerts WHERE rule = 'suspicious-parent'", _alerts("seq"))
 def alert_suspicious_parent(spark, sf_dir):
     out = jobs.run_to_end(jobs.stream_alerts(_streamed(spark, sf_dir), RULES), "alerts")
     return out.where("rule = 'suspicious-parent'")
 
 
-@_query()
+@_query("SELECT * FROM alerts WHERE alert_type = 'score'", _alerts("seq"))
 def alert_score(spark, sf_dir):
     out = jobs.run_to_end(jobs.stream_alerts(_streamed(spark, sf_dir), RULES), "alerts")
     return out.where("alert_type = 'score'")
