@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..schema import LINE, is_event
+from . import follow
 
 
 def parsed(lines: DataFrame, raw: str = "value") -> DataFrame:
@@ -46,6 +47,11 @@ def stream_events(spark: SparkSession, path: str, since: str | None = None) -> D
     return parsed(lines)
 
 
+def follow_events(spark: SparkSession, path: str, since: str = "start") -> DataFrame:
+    """A stream of the events appended to a folder's files, through rotations; with since="end" only of what comes from now on."""
+    return parsed(follow.appended(spark, path, since))
+
+
 def as_lines(events: DataFrame, pretty: bool = False) -> DataFrame:
     """Events as JSON lines in the form that read_events takes."""
     names = ["id", "timestamp", "hostname", "agent_id", "sensor_version", "source", "category", "severity", "data", "rule", "process_context"]
