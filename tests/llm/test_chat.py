@@ -94,3 +94,9 @@ def test_plan_is_native(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.digests(chat.formatted_parts(frame))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_query_plan_has_the_fingerprint_and_no_python(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    plan = queries.op1_chat_format(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(" in plan and "Python" not in plan and "Arrow" not in plan
