@@ -36,7 +36,9 @@ def indicators(events: DataFrame, kind: str | None = None) -> DataFrame:
     rows = sightings(events)
     if kind is not None:
         rows = rows.where(F.col("kind") == kind)
-    return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("event_ts").alias("first_seen"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    # Sources are made distinct by a grouping first, so that no group gathers more than its distinct sources.
+    each = rows.groupBy("kind", "value", "source").agg(F.count("*").alias("n"), F.min("event_ts").alias("first_seen"))
+    return each.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"))
 
 
 def top_indicators(events: DataFrame, kind: str | None = None, limit: int = 50) -> DataFrame:
