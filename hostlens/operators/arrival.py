@@ -1,37 +1,23 @@
 """Operators that depend on the order in which events arrive.
 
-Each walks sorted partitions with the state of one key at a time, so a key's events are never gathered:
-rows are dealt by key, sorted by key and arrival, and streamed.
+A history goes through windows: what a pid's live process is, which parent a child has, what a score has
+reached. Only a cooldown walks, as each row that passes decides on the next; it walks the few rows that a
+rule found, sorted by key, from one that passes to the next. Classes hold the same rules for a stream.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.rules import Rules
-
-
-def walked(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[], object], schema: str) -> DataFrame:
-    """rows through an object for each key, whose `take(row)` gives tuples of the schema for each row in order."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in schema.split(", ")]
-        key, state = None, None
-        for batch in batches:
-            out = []
-            for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
-                now = tuple(row[k] for k in keys)
-                if state is None or now != key:
-                    key, state = now, make()
-                out.extend(state.take(row))
-            yield pd.DataFrame(out, columns=names).astype({n: "Int64" for n, t in (x.split() for x in schema.split(", ")) if t == "long"})
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+from ..sources.scratch import written
 
 
 # Enrichment
@@ -40,6 +26,8 @@ def walked(rows: DataFrame, keys: list[str], order: list[str], make: Callable[[]
 class ProcessSlot:
     """The live process of a pid: a creation with a time stands above one without."""
 
+    FIELDS = "key string, strong boolean, image string"
+
     def __init__(self) -> None:
         self.key: str | None = None
         self.strong = False
@@ -75,9 +63,30 @@ def enriched(events: DataFrame) -> DataFrame:
     """For each event of a process the context that its pid's live process gives it when it arrives.
 
     A creation gets its key (or the stronger one that stays), a termination the process that it ends,
-    other acting events the live one; image_path comes with all but creations.
+    other acting events the live one; image_path comes with all but creations. A creation with a time is live
+    until the next such one, or until a termination of its time; where none is live, the last creation without
+    a time is, until a termination without one. So one window finds the last creation with a time, a second
+    whether it has ended, a third the last of those without: all by (agent, pid), after one shuffle.
     """
-    return walked(slot_rows(events), ["agent_id", "pid"], ["seq"], ProcessSlot, CONTEXTS)
+    kind, time = F.col("type"), F.col("create_time")
+    create, end = kind == "ProcessCreate", kind == "ProcessTerminate"
+    image = F.nullif("image_path", F.lit(""))
+    rows = slot_rows(events)
+    so_far = Window.partitionBy("agent_id", "pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("strong", F.last(F.when(create & time.isNotNull(), F.struct("seq", "create_time", image.alias("image"))), ignorenulls=True).over(so_far))
+    before = Window.partitionBy("agent_id", "pid", "strong.seq").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    ends_strong = end & (time == F.col("strong.create_time"))
+    rows = rows.withColumn("live", F.col("strong").isNotNull() & ~F.coalesce(F.max(ends_strong).over(before), F.lit(False)))
+    made, gone = create & time.isNull(), end & (time.isNull() | (time == 0))
+    change = F.when(~F.col("live") & (made | gone), F.struct(made.alias("is"), image.alias("image")))
+    rows = rows.withColumn("weak", F.last(change, ignorenulls=True).over(before))
+    text = lambda t: F.concat(F.col("pid").cast("long").cast("string"), F.lit(":"), F.coalesce(t, F.lit(0)).cast("long").cast("string"))
+    weak = ~F.col("live") & F.coalesce(F.col("weak.is"), F.lit(False))
+    held = F.when(F.col("live"), text(F.col("strong.create_time"))).when(weak, text(F.lit(0)))
+    of = F.when(F.col("live"), F.col("strong.image")).when(weak, F.col("weak.image"))
+    stops = F.when(F.col("live"), ends_strong).when(weak, gone)
+    key = F.when(create, F.coalesce(held, text(F.lit(0)))).when(~end | stops, held)
+    return rows.select("seq", key.alias("context_key"), F.when(~create & (~end | stops), of).alias("context_image"))
 
 
 # Alerts
@@ -99,29 +108,61 @@ def alert_candidates(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return found.unionByName(tools).unionByName(loads)
 
 
-class Cooldown:
-    """Passes a row if none passed in the seconds before; rows held back don't count."""
-
-    def __init__(self, seconds: float) -> None:
-        self.seconds, self.last = seconds, None
-
-    def take(self, row: dict) -> Iterator[tuple]:
-        if self.last is None or row["at"] - self.last >= self.seconds:
-            self.last = row["at"]
-            yield (row["seq"],)
-
-
 def seconds(time: Column) -> Column:
     """Seconds since 1970 of a timestamp, with their fraction."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), time.cast("timestamp_ntz")) / 1e6
 
 
-def cooled(rows: DataFrame, cooldown: int, key: list[str] | None = None) -> DataFrame:
-    """Rows (with event_ts and seq) that stay when each key waits `cooldown` seconds after a row that passed."""
+def passing(at: np.ndarray, last: float | None, wait: float) -> tuple[np.ndarray, float | None]:
+    """Which of one key's rows pass if each waits `wait` seconds after the one that passed before, and the last that passed.
+
+    Those before one that passes are earlier than it, so the next is found in the running maximum.
+    """
+    keep, most, i = np.zeros(len(at), bool), np.maximum.accumulate(at), 0
+    while i < len(at):
+        if last is not None:
+            # Two places back, as the sum may be rounded where the difference is not.
+            i = max(i, int(np.searchsorted(most, last + wait)) - 2)
+            while i < len(at) and at[i] - last < wait:
+                i += 1
+            if i == len(at):
+                break
+        keep[i], last = True, float(at[i])
+        i += 1
+    return keep, last
+
+
+def cooled(rows: DataFrame, cooldown: float, key: list[str] | None = None, order: list[str] | None = None, time: Column | None = None) -> DataFrame:
+    """Rows that stay when each key waits `cooldown` seconds after a row that passed; rows held back don't count.
+
+    The order is by event_ts and seq, and the time event_ts, unless given. Rows are dealt by key and sorted, and
+    stream through with the last time that passed.
+    """
     keys = key or ["agent_id", "dedup"]
-    slim = rows.select(*keys, seconds(F.col("event_ts")).alias("at"), "seq")
-    passed = walked(slim, keys, ["at", "seq"], lambda: Cooldown(cooldown), "seq long")
-    return rows.join(passed, "seq", "left_semi")
+    names = rows.columns
+    timed = rows.withColumn("cooled_at", seconds(F.col("event_ts")) if time is None else time)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                x = batch.column(k)
+                here, back = x.slice(1), x.slice(0, len(x) - 1)
+                new[1:] |= np.asarray(pc.fill_null(pc.not_equal(here, back), False)) | (np.asarray(here.is_null()) != np.asarray(back.is_null()))
+            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            at, keep = np.asarray(batch.column("cooled_at")), np.zeros(batch.num_rows, bool)
+            for i, j in zip(starts, starts[1:]):
+                mine = tuple(batch.column(k)[i].as_py() for k in keys) if i == 0 or j == batch.num_rows else None
+                if i or mine != held:
+                    last = None
+                keep[i:j], last = passing(at[i:j], last, cooldown)
+            held = mine
+            yield batch.filter(pa.array(keep)).select(names)
+
+    return timed.repartition(*keys).sortWithinPartitions(*keys, *(order or ["cooled_at", "seq"])).mapInArrow(walk, rows.schema)
 
 
 class AgentAlerts:
@@ -220,6 +261,78 @@ def alert_rows(events: DataFrame) -> DataFrame:
     return rows.select("agent_id", "seq", seconds(F.col("event_ts")).alias("at"), "kind", F.coalesce(C.effective_key(context, d), F.lit("pid:0")).alias("pkey"), F.coalesce(d["pid"], F.lit(0)).alias("pid"), d["ppid"].alias("ppid"), image.alias("image"), value.alias("value"), d["command_line"].alias("line"), "severity", F.col("rule.mitre.technique_id").alias("mitre"), detail.alias("detail"))
 
 
+def _spawned(made: DataFrame, rules: Rules) -> DataFrame:
+    """Suspicious children with the parent that makes them so, each once: by (agent, ppid).
+
+    The last process of the ppid before a child decides, if there is one; else the first suspicious parent after
+    it. The place (n) is where both are known.
+    """
+    low = F.lower("base")
+    parent = F.struct("n", "seq", "at", "base", low.isin(*rules.suspicious_parents).alias("bad"))
+    child = made.where(low.isin(*rules.suspicious_children)).withColumns({"key": F.col("ppid"), "side": F.lit(0), "parent": F.lit(None).cast(made.select(parent.alias("p")).schema["p"].dataType)})
+    sides = child.unionByName(made.withColumns({"key": F.col("pid"), "side": F.lit(1), "parent": parent}))
+    mine = Window.partitionBy("agent_id", "key").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("parent", ignorenulls=True).over(mine.orderBy("n", "side"))
+    after = F.last(F.when(F.col("parent.bad"), F.col("parent")), ignorenulls=True).over(mine.orderBy(F.desc("n"), "side"))
+    found = sides.withColumns({"before": before, "after": after}).where("side = 0").withColumn("p", F.coalesce("before", "after"))
+    found = found.where("p.bad AND p.at <= at")
+    late = F.col("before").isNull()
+    return found.select("agent_id", F.greatest("n", "p.n").alias("n"), F.col("n").alias("ord"), F.when(late, F.col("p.seq")).otherwise(F.col("seq")).alias("seq"), F.when(late, F.col("p.at")).otherwise(F.col("at")).alias("tm"), F.col("at").alias("about"), "pkey", "pid", "image", F.concat(F.col("p.base"), F.lit(" spawned "), "base", F.lit(" ("), "line", F.lit(")")).alias("detail"))
+
+
+def _totals(marks: DataFrame, touched: DataFrame, rules: Rules) -> DataFrame:
+    """The score that each touched (agent_id, pkey, n) has reached, by a running window over (agent, process).
+
+    What counts once (an address, a name, a flag) is reduced to its first mark before the shuffle by process.
+    """
+    each = F.col("kind").isin("detection", "unsigned")
+    first = F.min_by(F.struct("n", "pid", "image"), "n").alias("m")
+    once = marks.where(~each).groupBy("agent_id", "pkey", "kind", "value").agg(first).select("agent_id", "pkey", "kind", "m.*")
+    points = {"detection": rules.detection, "unsigned": rules.unsigned_dll, "parent": rules.suspicious_parent, "lolbin": rules.lolbin, "ip": rules.external_ip, "name": rules.dns_query}
+    worth = F.lit(0)
+    for kind, n in points.items():
+        worth = F.when(F.col("kind") == kind, F.lit(n)).otherwise(worth)
+    rows = marks.where(each).select("agent_id", "pkey", "kind", "n", "pid", "image").unionByName(once)
+    rows = rows.select("agent_id", "pkey", "n", F.struct("pid", "image").alias("who"), worth.alias("worth")).unionByName(touched.select("agent_id", "pkey", "n", "seq", "tm"), allowMissingColumns=True)
+    so_far = Window.partitionBy("agent_id", "pkey").orderBy("n", F.col("tm").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"total": F.sum("worth").over(so_far).cast("long"), "who": F.first("who", ignorenulls=True).over(so_far)})
+    return rows.where(F.col("tm").isNotNull() & F.col("who").isNotNull())
+
+
 def backtest(events: DataFrame, rules: Rules = Rules(), order: str = "at") -> DataFrame:
-    """Alerts of a history, agent by agent, in time order (or with order="seq" as they arrived), cooldown in event time."""
-    return walked(alert_rows(events), ["agent_id"], [order, "seq"] if order != "seq" else ["seq"], lambda: AgentAlerts(rules), ALERTS)
+    """Alerts of a history in time order (or with order="seq" as they arrived), cooldown in event time, as AgentAlerts raises them.
+
+    Nothing walks an agent's events: parents are windows by (agent, pid), scores by (agent, process), and the
+    cooldowns go by (agent, what they hold back). An alert has the seq of the event that raised it and the time
+    that it is about, a late parent's the child's.
+    """
+    rows = alert_rows(events).withColumn("n", F.struct("at", "seq") if order != "seq" else F.struct("seq"))
+    rows = rows.withColumns({"base": F.coalesce(C.basename(F.col("image")), F.lit("")), "line": F.coalesce("line", F.lit("")), "pid": F.col("pid").cast("long")})
+    rows = written(rows, "marked")  # read by each rule
+    made = rows.where("kind = 'create'").select("agent_id", "n", "seq", "at", "pkey", "pid", F.col("ppid").cast("long").alias("ppid"), "image", "base", "line")
+    spawned = _spawned(made, rules)
+    tool = F.lower("base").isin(*rules.lolbins)
+
+    def raised(found: DataFrame, kind: str, rule: Column, severity: Column, mitre: Column, detail: Column, dedup: Column) -> DataFrame:
+        about = {"ord": F.col("n"), "tm": F.col("at"), "about": F.col("at")} if "about" not in found.columns else {}
+        return found.withColumns(about).select("agent_id", "n", "ord", "seq", "tm", "about", F.lit(kind).alias("alert_type"), rule.alias("rule"), severity.alias("severity"), mitre.alias("mitre"), "pkey", "pid", "image", detail.alias("detail"), F.concat_ws("|", "pkey", dedup).alias("dedup"))
+
+    word = F.lit
+    detail = F.col("detail")
+    raw = raised(made.where(tool), "hunt", word("lolbin"), word("Medium"), word("T1218"), F.concat(F.lit("LOLBin execution: "), "base", F.lit(" ("), "line", F.lit(")")), word("lolbin"))
+    raw = raw.unionByName(raised(spawned, "hunt", word("suspicious-parent"), word("High"), word("T1204.002"), detail, word("suspicious-parent")))
+    raw = raw.unionByName(raised(rows.where("kind = 'detection'"), "detection", F.col("value"), F.col("severity"), F.col("mitre"), detail, F.col("value")))
+    raw = raw.unionByName(raised(rows.where("kind = 'unsigned'"), "hunt", word("unsigned-dll"), word("Low"), word("T1574.001"), detail, F.concat(F.lit("unsigned-dll|"), "value")))
+    first = written(cooled(raw, rules.cooldown, order=["n", "ord"], time=F.col("tm")), "alerts")
+
+    kind = F.when(F.col("kind") == "network", "ip").when(F.col("kind") == "dns", "name").when((F.col("kind") == "create") & tool, "lolbin").otherwise(F.col("kind"))
+    flag = F.col("kind").isin("create", "lolbin", "parent")
+    marks = rows.where("kind NOT IN ('network', 'dns') OR value IS NOT NULL").withColumn("kind", kind).select("agent_id", "pkey", "n", "pid", "image", "kind", "value")
+    marks = marks.unionByName(spawned.select("agent_id", "pkey", "n", "pid", "image", F.lit("parent").alias("kind"), F.lit(None).cast("string").alias("value")))
+    marks = marks.withColumn("value", F.when(~flag, F.col("value")))
+    acts = rows.where("kind IN ('network', 'dns')").select("agent_id", "pkey", "n", "seq", F.col("at").alias("tm"))
+    touched = acts.unionByName(first.select("agent_id", "pkey", "n", "seq", "tm").dropDuplicates(["agent_id", "pkey", "n"]))
+    high = _totals(marks, touched, rules).where(F.col("total") >= rules.threshold)
+    high = cooled(high.select("agent_id", "n", "seq", "tm", "pkey", "who", "total"), rules.cooldown, ["agent_id", "pkey"], ["n"], F.col("tm"))
+    scored = high.select("seq", F.lit("score").alias("alert_type"), F.lit("score-threshold").alias("rule"), F.lit("High").alias("severity"), F.lit(None).cast("string").alias("mitre"), "pkey", "who.pid", "who.image", F.concat(F.lit("Process score "), "total", F.lit(f" reached threshold {rules.threshold}")).alias("detail"), F.col("total").alias("score"), F.col("tm").alias("at"))
+    return first.select("seq", "alert_type", "rule", "severity", "mitre", "pkey", "pid", "image", "detail", F.lit(None).cast("long").alias("score"), F.col("about").alias("at")).unionByName(scored)

@@ -20,21 +20,37 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 
 
 class Walker(StatefulProcessor):
-    """Keeps one object for each key between micro-batches; rows of a batch go to it in order."""
+    """Keeps one object for each key between micro-batches; rows of a batch go to it in order.
+
+    An object with FIELDS is kept as these, typed; another is pickled.
+    """
 
     def __init__(self, make: Callable[[], object], order: list[str], schema: str, ttl_seconds: int) -> None:
         self.make, self.order, self.schema, self.ttl = make, order, schema, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("object", "bytes binary", ttlDurationMs=self.ttl * 1000 or None)
+        fields = getattr(self.make, "FIELDS", "bytes binary")
+        self.state = handle.getValueState("object", fields, ttlDurationMs=self.ttl * 1000 or None)
+        self.names = [x.split()[0] for x in fields.split(", ")] if hasattr(self.make, "FIELDS") else []
+
+    def _held(self) -> object:
+        if not self.state.exists():
+            return self.make()
+        kept = self.state.get()
+        if not self.names:
+            return pickle.loads(kept[0])
+        held = self.make()
+        for name, value in zip(self.names, kept):
+            setattr(held, name, value)
+        return held
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = pickle.loads(self.state.get()[0]) if self.state.exists() else self.make()
+        held = self._held()
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         out = []
         for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
             out.extend(held.take(row))
-        self.state.update((pickle.dumps(held),))
+        self.state.update(tuple(getattr(held, n) for n in self.names) or (pickle.dumps(held),))
         parts = [x.split() for x in self.schema.split(", ")]
         yield pd.DataFrame(out, columns=[n for n, _ in parts]).astype({n: "Int64" for n, t in parts if t == "long"})
 
