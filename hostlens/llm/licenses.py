@@ -10,8 +10,11 @@ seen before is not streamed again.
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pandas as pd
@@ -51,6 +54,9 @@ TEMPLATES = [
 SHORTEST = 3
 COVERED = 0.6
 GAP = 40
+#: In templates of over LONG words shorter matches than SHORTEST_IN_LONG stand in many places and say nothing.
+LONG = 100
+SHORTEST_IN_LONG = 8
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 0 for b in range(256)], np.uint64)
 _BASE_POWER = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE_POWER, -1, 1 << 64)
@@ -142,8 +148,24 @@ class Automaton:
             yield state, length
 
 
+@lru_cache(None)
+def whole_texts() -> tuple[tuple[str, str], ...]:
+    """(label, text) of the whole licences."""
+    files = sorted((f.name, f) for f in (resources.files(__package__) / "license_texts").iterdir() if f.name.endswith(".txt"))
+    return tuple((name.removesuffix(".txt"), f.read_text("utf-8")) for name, f in files)
+
+
+@lru_cache(1)
+def scanner(whole: tuple[tuple[str, str], ...]) -> Scanner:
+    """A scanner for the short wordings and these whole licences, made once in a Python worker."""
+    return Scanner([*TEMPLATES, *whole], n_short=len(TEMPLATES))
+
+
 class Scanner:
-    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE):
+    """Finds the base phrases and the templates; those from n_short on are whole licences, of which the best fitting version stays."""
+
+    def __init__(self, templates: list[tuple[str, str]] = TEMPLATES, base: dict[str, str] = BASE, n_short: int | None = None):
+        self.n_short = len(templates) if n_short is None else n_short
         self.names = [label for label, _ in templates] + list(base.values())
         self.sequences = [words(text) for _, text in templates] + [words(p) for p in base]
         self.n_templates = len(templates)
@@ -158,6 +180,9 @@ class Scanner:
         for i, s in enumerate(self.sequences):
             self.automaton.add(i, [number[w] for w in s])
         self.automaton.close()
+        numbers = [[number[w] for w in s] for s in self.sequences]
+        self.pairs = np.unique([a << 16 | b for s in numbers for a, b in zip(s, s[1:])])
+        self.brief = [[e for e in ends if len(self.sequences[e[0]]) <= LONG] for ends in self.automaton.ends]
         self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.automaton.next]
         for v, ends in enumerate(self.automaton.ends):
             self.phrases[v] = [(i, len(self.sequences[i])) for i, place in ends if i >= self.n_templates and place == len(self.sequences[i])]
@@ -180,6 +205,8 @@ class Scanner:
                 before = state, length
             if before[1] >= SHORTEST:
                 matches.append((len(run), before[1], before[0]))
+            if len(run) > 64:
+                return base, matches
             if len(self.seen) > 100_000:
                 self.seen.clear()
             self.seen[key] = base, matches
@@ -201,35 +228,50 @@ class Scanner:
         """Spans (label, first word, end word, share of the template covered) of enough of a template."""
         by: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, state in matches:
-            for template, place in self.automaton.ends[state]:
+            for template, place in self.automaton.ends[state] if length >= SHORTEST_IN_LONG else self.brief[state]:
                 if template < self.n_templates:
-                    by.setdefault(template, []).append((end - length, place - length, length))
+                    by.setdefault(template, []).append((end, length, place))
         out = []
         for template, pieces in by.items():
-            total = len(self.sequences[template])
-            chain: list[tuple[int, int, int]] = []
-
-            def close() -> None:
-                covered, reach = 0, 0
-                for _, place, length in chain:
-                    covered += max(0, place + length - max(reach, place))
-                    reach = max(reach, place + length)
-                if covered / total >= COVERED and covered >= SHORTEST:
-                    out.append((self.names[template], chain[0][0], chain[-1][0] + chain[-1][2], covered / total))
-
-            for piece in sorted(pieces):
-                if chain and piece[1] < chain[-1][1] + chain[-1][2] and piece[0] < chain[-1][0] + chain[-1][2]:
-                    # The longer one of two that overlap stays.
-                    if piece[2] > chain[-1][2] and (len(chain) < 2 or piece[1] >= chain[-2][1] + chain[-2][2]):
-                        chain[-1] = piece
-                    continue
-                if chain and (piece[1] < chain[-1][1] + chain[-1][2] or piece[0] - chain[-1][0] - chain[-1][2] > GAP):
-                    close()
-                    chain = []
-                chain.append(piece)
-            if chain:
-                close()
-        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+            out += [(template, *span) for span in self._spans(sorted(pieces), len(self.sequences[template]))]
+        return sorted(((self.names[t], a, b, c) for t, a, b, c in out if not self._beaten(t, a, b, c, out)), key=lambda s: (s[1], s[2], s[0]))
+
+    def _spans(self, pieces: list[tuple[int, int, int]], total: int) -> list[tuple[int, int, float]]:
+        """Spans of one template's matches (end, words, end in the template): chains that cover the most words, in order in both."""
+        enough = max(COVERED * total, SHORTEST)
+        if sum(length for _, length, _ in pieces) < enough:
+            return []
+        best, before = [length for _, length, _ in pieces], [-1] * len(pieces)
+        for i, (end, length, place) in enumerate(pieces):
+            start, begin, j = end - length, place - length, i - 1
+            while j >= 0 and pieces[j][0] >= start - GAP:
+                e, n, p = pieces[j]
+                if e - n < start and p - n < begin and e < end and p < place:
+                    gain = best[j] + length - max(0, e - start, p - begin)
+                    if gain > best[i]:
+                        best[i], before[i] = gain, j
+                j -= 1
+        out: list[tuple[int, int, float]] = []
+        used: set[int] = set()
+        for i in sorted(range(len(pieces)), key=lambda i: -best[i]):
+            if best[i] < enough:
+                break
+            k, chain = i, []
+            while k >= 0 and k not in used:
+                chain.append(k)
+                k = before[k]
+            covered = best[i] - (best[k] if k >= 0 else 0)
+            first, end = (pieces[chain[-1]][0] - pieces[chain[-1]][1], pieces[i][0]) if chain else (0, 0)
+            at = bisect(out, (first, end, 2.0))
+            if covered >= enough and (at == 0 or out[at - 1][1] <= first) and (at == len(out) or end <= out[at][0]):
+                insort(out, (first, end, min(1.0, covered / total)))
+                used.update(chain)
+        return out
+
+    def _beaten(self, template: int, first: int, end: int, share: float, spans: list[tuple[int, int, int, float]]) -> bool:
+        """Whether over half of a whole licence's span another whole licence covers more words: of versions the one that fits stays."""
+        mine = share * len(self.sequences[template])
+        return template >= self.n_short and any(t >= self.n_short and 2 * (min(end, b) - max(first, a)) > end - first and c * len(self.sequences[t]) > mine for t, a, b, c in spans)
 
     def scan(self, texts: list[bytes]) -> list[tuple]:
         hashes, first = word_hashes(texts)
@@ -238,7 +280,10 @@ class Scanner:
         known = self.hashes[at] == hashes[maybe]
         place, number = maybe[known], self.numbers[at[known]].astype(np.uint16)
         owner = np.searchsorted(first, place, "right") - 1
-        heads = np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1]))[: len(place)])
+        pair = number[:-1].astype(np.int64) << 16 | number[1:]
+        joins = (place[1:] == place[:-1] + 1) & (owner[1:] == owner[:-1])
+        joins[joins] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair[joins]), len(self.pairs) - 1)] == pair[joins]
+        heads = np.flatnonzero(np.append(True, ~joins)[: len(place)])
         tails = np.append(heads[1:], len(place))
         base: list[list] = [[] for _ in texts]
         matches: list[list] = [[] for _ in texts]
@@ -261,13 +306,14 @@ class Scanner:
 def scan(text: Column) -> Column:
     """Struct of what the licence scan finds in a text (whole; null is empty)."""
     small_batches()
+    whole = whole_texts()
 
     @F.pandas_udf(_RESULT)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner()
+        scan_ = scanner(whole)
         names = [x.split()[0] for x in _RESULT.split(", ")]
         for batch in batches:
-            rows = [r for part in chunks(list(batch)) for r in scanner.scan(part)]
+            rows = [r for part in chunks(list(batch)) for r in scan_.scan(part)]
             frame = pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
             yield frame.astype({"n_words": "int64", "n_base": "int64", "score": "float64", "first_word": "Int64", "last_word": "Int64"})
 
@@ -280,7 +326,8 @@ def scanned(docs: DataFrame) -> DataFrame:
     n_base counts all places of the base phrases, first_word and last_word are the smallest and largest
     word at which one starts (null where there is none). labels adds those of covered templates, whose
     spans are in words of the text. score is 1 with a base phrase, else the best share of a template
-    covered. A null or wordless text has no words, empty labels and score 0. Rows alike in doc_id each
+    covered; of whole licences that share over half of a span only the one that covers most words gives its
+    label, so versions are told apart. A null or wordless text has no words, empty labels and score 0. Rows alike in doc_id each
     have their row; an empty table gives none.
     """
     return docs.select("doc_id", scan(F.col("text")).alias("found")).select("doc_id", "found.*")

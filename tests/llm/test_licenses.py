@@ -60,3 +60,39 @@ def test_documents(spark):
     assert got[n + 10].labels == "all-rights-reserved" and len(got[n + 10].spans) == 2
     assert got[None].base_labels == "mit"
     assert licenses.scanned(docs.limit(0)).count() == 0
+
+
+def test_whole_licenses():
+    whole = licenses.whole_texts()
+    found = licenses.scanner(whole)
+    rng = random.Random(4)
+    texts = [text for _, text in whole]
+    worn = []
+    for text in texts:
+        kept = [w for w in re.split(r"\s+", text) if rng.random() > 0.02]
+        worn.append("intro words " + " ".join("zzz" if rng.random() < 0.01 else w for w in kept))
+    rows = found.scan([x.encode() for x in [*texts, *worn, texts[0] + " and then " + texts[-1]]])
+    names = [label for label, _ in whole]
+    for label, row in zip(names * 2, rows):
+        assert {s["label"] for s in row[7]} & set(names) >= {label}, label
+        versions = {n for n in names if n.rsplit("-", 1)[0] == label.rsplit("-", 1)[0]}
+        assert {s["label"] for s in row[7]} & versions == {label}, (label, row[5])
+    assert all(r[6] == 1 for r in rows[: len(names)]) and {names[0], names[-1]} <= set(rows[-1][5].split(","))
+
+
+def test_pairs_cut_no_match():
+    rng = random.Random(8)
+    known = [w.decode() for w in licenses.words(licenses.TEMPLATES[0][1])]
+    texts = [" ".join(rng.choice([" ".join(known[i : i + rng.randrange(1, 30)]), rng.choice(known), "gnu general public license", "cc by", "qqq"]) for i in rng.choices(range(60), k=12)) for _ in range(60)]
+    found = licenses.Scanner()
+    for text, row in zip(texts, found.scan([t.encode() for t in texts])):
+        assert (row[0], row[1], row[2], row[3], row[4]) == plain_base(text)
+
+
+def test_hostile_texts_end_soon():
+    import time
+
+    found = licenses.scanner(licenses.whole_texts())
+    start = time.time()
+    found.scan([("under the terms of the gnu general public license as published by the free software foundation " * 10_000).encode(), ("all rights reserved " * 50_000).encode()])
+    assert time.time() - start < 30
