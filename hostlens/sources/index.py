@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .scratch import dropped, written
 
 _BLOOM = {"parquet.bloom.filter.enabled#process_key": "true", "parquet.bloom.filter.enabled#event_id": "true"}
 
@@ -18,30 +19,73 @@ def projection(events: DataFrame) -> DataFrame:
     return first.select("event_id", "r.*")
 
 
-def rebuild(events: DataFrame, path: str) -> None:
-    """Writes the projection anew, by day and category, sorted for lookups by key and time."""
-    rows = projection(events).withColumn("day", F.to_date("event_ts"))
-    writer = rows.repartition("day", "category").sortWithinPartitions("day", "category", "process_key", "event_ts").write
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows by day and category; a day's category that is large is cut into several files, small ones share a task."""
+    return rows.hint("rebalance", "day", "category").sortWithinPartitions("day", "category", "process_key", "event_ts")
+
+
+def _sizes(spark: SparkSession, source: str) -> DataFrame:
+    """The files of a folder and their bytes; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).select("path", "length")
+
+
+def rebuild(events: DataFrame, path: str, source: str | None = None) -> None:
+    """Writes the projection anew, by day and category, sorted for lookups by key and time; with `source` also what it covers.
+
+    The sizes of source files are taken first, so what is appended meanwhile counts as not covered.
+    """
+    covered = _covering(events.sparkSession, source)
+    writer = _dealt(projection(events).withColumn("day", F.to_date("event_ts"))).write
     for name, value in _BLOOM.items():
         writer = writer.option(name, value)
     writer.mode("overwrite").partitionBy("day", "category").parquet(path)
+    _record(covered, path)
 
 
-def update(new_events: DataFrame, path: str) -> None:
-    """Appends events whose ids are not there yet."""
+def update(new_events: DataFrame, path: str, source: str | None = None) -> None:
+    """Appends events whose ids are not there yet; with `source` also what is covered now."""
+    covered = _covering(new_events.sparkSession, source)
     there = new_events.sparkSession.read.parquet(path).select("event_id")
     rows = projection(new_events).join(there, "event_id", "left_anti").withColumn("day", F.to_date("event_ts"))
-    rows.repartition("day", "category").write.mode("append").partitionBy("day", "category").parquet(path)
+    _dealt(rows).write.mode("append").partitionBy("day", "category").parquet(path)
+    _record(covered, path)
+
+
+def _covering(spark: SparkSession, source: str | None) -> DataFrame | None:
+    return written(_sizes(spark, source), "covered") if source is not None else None
+
+
+def _record(covered: DataFrame | None, path: str) -> None:
+    if covered is not None:
+        covered.write.mode("overwrite").parquet(f"{path}-covered")
+        dropped(covered)
+
+
+def coverage(spark: SparkSession, path: str, source: str) -> DataFrame:
+    """One row: covered_bytes, source_bytes, and whether the projection is current, that is, all of both are the same."""
+    old = spark.read.parquet(f"{path}-covered").withColumnRenamed("length", "covered")
+    both = _sizes(spark, source).join(old, "path", "full")
+    return both.select(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered_bytes"), F.coalesce(F.sum("length"), F.lit(0)).alias("source_bytes"), F.coalesce(F.every(F.col("covered").eqNullSafe(F.col("length"))), F.lit(True)).alias("is_current"))
 
 
 def indexed_or_scanned(spark: SparkSession, path: str, events: DataFrame) -> DataFrame:
-    """The projection where its table can be read, else that of the events; never made implicitly."""
+    """The projection where its table can be read, else that of the events; never made implicitly.
+
+    Counting rows opens the footers of all files, so a table with a broken file is not used.
+    """
     try:
-        return spark.read.parquet(path).drop("day")
+        table = spark.read.parquet(path).drop("day")
+        table.select(F.count("*")).first()
+        return table
     except Exception:  # noqa: BLE001  a missing or broken table means a scan
         return projection(events)
 
 
+def find(spark: SparkSession, path: str, events: DataFrame, since: str, until: str, pid: int | None = None, process_key: str | None = None) -> DataFrame:
+    """lookup() in the projection where there is one, else in the events; the rows are the same."""
+    return lookup(indexed_or_scanned(spark, path, events).select(*projection(events).columns), since, until, pid, process_key)
+
+
 def status(index: DataFrame) -> DataFrame:
     return index.agg(F.count("*").alias("events"), F.max("seq").alias("last_seq"), F.max("event_ts").alias("latest"))
 

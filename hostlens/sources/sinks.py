@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -43,6 +44,21 @@ def posted(body: str, url: str, token: str | None = None, headers: dict[str, str
     return False, retries + 1
 
 
+def webhook(url: str, token: str | None = None, **options) -> Callable[[list[dict]], None]:
+    """A function that posts each alert as a JSON object of its own, with a bearer token if given; one that fails is an OSError.
+
+    options are those of posted(); an alert is sent once unless `retries` says otherwise.
+    """
+    options = {"compress": False, "retries": 0} | options
+
+    def post(alerts: list[dict]) -> None:
+        for alert in alerts:
+            if not posted(json.dumps(alert, default=str), url, token, **options)[0]:
+                raise OSError(f"an alert could not be posted to {url}")
+
+    return post
+
+
 def post_batches(batches: DataFrame, url: str, **options) -> DataFrame:
     """Posts each batch from the executors: (batch, sent, attempts); options are those of posted()."""
 

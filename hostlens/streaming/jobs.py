@@ -87,8 +87,13 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def follow_alerts(alerts: DataFrame, post: Callable[[list[dict]], None], checkpoint: str):
-    """Starts a query that gives each micro-batch's alerts to `post`, partition by partition; failures are counted, not raised."""
+def follow_alerts(alerts: DataFrame, post: str | Callable[[list[dict]], None], checkpoint: str, to_end: bool = False, **options):
+    """Starts a query that posts each alert to a URL (options are those of sinks.webhook), or gives it to a function.
+
+    Partitions go side by side; failures are counted, not raised. With to_end it ends after what is there.
+    """
+    if isinstance(post, str):
+        post = sinks.webhook(post, **options)
 
     def batch(rows: DataFrame, number: int) -> None:
         failed = rows.sparkSession.sparkContext.accumulator(0)
@@ -104,7 +109,8 @@ def follow_alerts(alerts: DataFrame, post: Callable[[list[dict]], None], checkpo
         if failed.value:
             print(f"batch {number}: {failed.value} alerts could not be posted")
 
-    return alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    writer = alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if to_end else writer).start()
 
 
 def deliver(lines: DataFrame, url: str, dead_path: str, checkpoint: str, size: int = 100, cap_bytes: int = 256_000_000, **options):

@@ -230,6 +230,51 @@ def test_index(spark, events, tmp_path):
     assert index.lookup(table, "2026-03-13 10:00:00", "2026-03-13 10:01:00", process_key="5:1").count() == 2
 
 
+def test_index_is_used_where_it_can_be_read(spark, events, tmp_path):
+    rows = events([network(1, 0, 5, "x", "5:1"), network(2, 1, 5, "x", "5:1"), network(3, 9, 6, "x")])
+    source, path = str(tmp_path / "lines"), str(tmp_path / "index")
+    jsonl.write_lines(rows, source)
+    find = lambda: [r.event_id[:8] for r in index.find(spark, path, rows, "2026-03-13 10:00:00", "2026-03-13 10:05:00", pid=5).collect()]
+    assert find() == ["00000001", "00000002"]
+    index.rebuild(rows, path, source)
+    size = sum(p.stat().st_size for p in (tmp_path / "lines").glob("part-*"))
+    assert tuple(index.coverage(spark, path, source).first()) == (size, size, True) and find() == ["00000001", "00000002"]
+    jsonl.write_lines(rows.limit(1), source)
+    now = index.coverage(spark, path, source).first()
+    assert now.covered_bytes == size < now.source_bytes and not now.is_current
+    index.update(rows, path, source)
+    assert index.coverage(spark, path, source).first().is_current and spark.read.parquet(path).count() == 3
+    for part in (tmp_path / "index").rglob("part-*.parquet"):
+        part.write_bytes(b"broken")
+    assert find() == ["00000001", "00000002"]
+
+
+def test_alerts_are_posted_one_by_one(spark, tmp_path):
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from threading import Thread
+
+    got = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            got.append((self.headers["Authorization"], body["seq"]))
+            self.send_response(500 if body["seq"] == 2 else 200)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    Thread(target=server.serve_forever, daemon=True).start()
+    spark.range(5).withColumnRenamed("id", "seq").repartition(2).write.parquet(str(tmp_path / "in"))
+    alerts = spark.readStream.schema("seq long").parquet(str(tmp_path / "in"))
+    query = jobs.follow_alerts(alerts, f"http://127.0.0.1:{server.server_port}", str(tmp_path / "c"), to_end=True, token="t")
+    query.awaitTermination()
+    server.shutdown()
+    assert sorted(got) == [("Bearer t", n) for n in range(5)]
+
+
 def test_http_and_dead_letters(spark):
     lines = spark.range(250).select(F.col("id").alias("seq"), F.concat(F.lit("{"), "id", F.lit("}")).alias("value"))
     batches = sinks.http_batches(lines)
