@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, itq, langid, licenses, mixing, simhash, suffix_runs, toxicity
+from . import audit, chat, decontam, html_text, itq, langid, licenses, mixing, prefix_trie, simhash, suffix_runs, toxicity, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,3 +92,84 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_runs.removed_bytes(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@_query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+known AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic FROM labels GROUP BY doc_id),
+d AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM t LEFT JOIN known USING (doc_id)),
+orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(filter_order, f)),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, CAST(step AS INT), 1) AS filter, substr(filter_order, 1, CAST(step - 1 AS INT)) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step) WHERE length(filter_order) = 5),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails),
+r AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, filter,
+    sum(CASE WHEN NOT early AND NOT own THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT early AND own THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN early AND own THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT early AND own THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN NOT early AND own THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, contains(fails, filter) AS own, length(translate(fails, earlier, '')) < length(fails) AS early FROM c, steps)
+  GROUP BY ALL)
+SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+ORACLE_SQL["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS i,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes
+  FROM conversations WHERE conv_id IS NOT NULL),
+bits AS (
+  SELECT conv_id, list_prepend(4294967295::UBIGINT, flatten(list_transform(range(1, length(s) + 1), lambda k: list_transform(range(0, 8), lambda b: ((ascii(s[k]) >> b) & 1)::UBIGINT)))) AS bits
+  FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base,
+    xor(list_reduce(bits, lambda crc, bit: xor(crc >> 1, CASE WHEN xor(crc, bit) & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END)), 4294967295::UBIGINT) % 9 AS h
+  FROM bits),
+turns AS (
+  SELECT c.conv_id, 0 AS own, i, said, bytes FROM c JOIN t ON t.conv_id = c.base WHERE i < h
+  UNION ALL SELECT c.conv_id, 1, i, said, bytes FROM c JOIN t ON t.conv_id = c.conv_id WHERE i >= h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM turns),
+p AS (
+  SELECT conv_id, depth, bytes, sha256(string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM n
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, lag(key) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1 AS ends FROM p),
+nodes AS (
+  SELECT key, any_value(parent) AS parent, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM m GROUP BY key),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+under AS (
+  SELECT m.key, sum((x.n_convs - 1) * x.bytes) AS saved_tokens, count(*) FILTER (WHERE k.key IS NULL) AS n_leaves
+  FROM nodes x LEFT JOIN kids k ON k.key = x.key JOIN m ON m.conv_id = x.conv_id AND m.depth <= x.depth GROUP BY m.key)
+SELECT x.conv_id, x.depth, u.conv_id AS parent_conv_id, x.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN under USING (key) LEFT JOIN kids USING (key) LEFT JOIN nodes u ON u.key = x.parent
+"""
+
+
+@_query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
