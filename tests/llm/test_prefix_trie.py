@@ -113,7 +113,7 @@ def test_close_of_matches_a_stack():
 def test_a_shard_reads_its_tree():
     key = lambda x: bytes([x]) * 16
     s = trie.Shard([key(1), key(1) + key(2), key(1) + key(3) + key(4), key(5)], [[3], [3, 4], [3, 5, 6], [7]], np.array([2, 1, 4, 1]), np.array([9, 3, 2, 8]))
-    assert "".join("()"[b < 0] for b in s.parentheses) == "((()(()))())"
+    assert "".join("()"[int(b < 0)] for b in s.parentheses) == "((()(()))())"
     assert s.depth.tolist() == [0, 1, 2, 2, 3, 1] and s.parent.tolist() == [-1, 0, 1, 1, 3, 0]
     assert s.members.tolist() == [8, 7, 1, 4, 4, 1] and s.leaves.tolist() == [3, 2, 1, 1, 1, 1]
     assert s.first.tolist() == [2, 2, 3, 2, 2, 8] and s.children.tolist() == [2, 2, 0, 1, 0, 0]
