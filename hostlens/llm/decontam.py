@@ -124,6 +124,8 @@ def build(texts: list[bytes]) -> Index:
                 owners.append([])
             if not owners[number] or owners[number][-1] != item:
                 owners[number].append(item)
+    if len(numbers) >= 1 << _WINDOW_BITS:
+        raise ValueError("an item has more windows than an index can number")
     windows = np.frombuffer(b"".join(w.ljust(WINDOW, b"\0") for w in numbers), np.uint8).reshape(-1, WINDOW)
     size = np.array([len(w) for w in numbers], np.int64)
     edits = np.minimum((size * EDIT_SHARE).astype(np.int64), (size - Q) // Q)
@@ -210,14 +212,17 @@ class Finder:
     def __init__(self, index: Index):
         self.index, self.flags, self.words = index, index.flags(), index.exact()
 
-    def _in(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, rows: list[dict[int, dict]]) -> None:
-        """Adds what is found in normalised texts to the rows (item -> row) of each; place has where bytes were in their text."""
+    def _in(self, data: np.ndarray, first: np.ndarray, place: np.ndarray, rows: list[dict[int, dict]], opens: bool = True, closes: bool = True) -> None:
+        """Adds what is found in normalised texts to the rows (item -> row) of each; place has where bytes were in their text.
+
+        A stretch that does not open its text may start inside a word, one that does not close it may end inside one.
+        """
         if self.words is not None:
             for t in range(len(rows)):
                 at = place[first[t] : first[t + 1]]
-                for end, (size, items) in self.words.iter(f" {data[first[t] : first[t + 1]].tobytes().decode('latin-1')} "):
+                for end, (size, items) in self.words.iter(" " * opens + data[first[t] : first[t + 1]].tobytes().decode("latin-1") + " " * closes):
                     for item in items:
-                        _add(rows[t], item, int(at[end - 1 - size]), int(at[end - 2]) + 1, 0, None)
+                        _add(rows[t], item, int(at[end - opens - size]), int(at[end - opens - 1]) + 1, 0, None)
         if not len(self.index.hashes) or len(data) < Q:
             return
         h = gram_hashes(data)
@@ -245,7 +250,7 @@ class Finder:
                 data, _, place = normalised([texts[0][begin : begin + STRETCH]])
                 again = int(len(tail) > 0 and tail[-1] == _SPACE and data[0] == _SPACE)
                 data, place = np.concatenate((tail, data[again:])), np.concatenate((where, place[again:] + begin))
-                self._in(data, np.array([0, len(data)]), place, rows)
+                self._in(data, np.array([0, len(data)]), place, rows, begin == 0, begin + STRETCH >= len(texts[0]))
                 tail, where = data[-2 * REACH :], place[-2 * REACH :]
         else:
             data, first, place = normalised(texts)

@@ -123,6 +123,19 @@ def test_long_and_repetitive_texts(monkeypatch, most):
     assert decontam.Finder(decontam.build([b"a" * 5000])).found([b"a" * 3000])[0][0]["edits"] == 0
 
 
+@pytest.mark.parametrize("size", range(40, 90))
+def test_words_across_a_stretch_are_whole(monkeypatch, size):
+    """A stretch may end in `fox` of `foxglove`, and a tail start in `fox jumps` of `xxfox jumps`: neither is an item."""
+    monkeypatch.setattr(decontam, "STRETCH", size)
+    monkeypatch.setattr(decontam, "REACH", 16)
+    finder = decontam.Finder(decontam.build([b"fox", b"fox jumps", b"glove"]))
+    text = b"the foxglove and xxfox jumps over " * 9
+    assert finder.found([text])[0] == []
+    text += b"a fox jumps by a glove"
+    assert [(r["item"], text[r["start"] : r["end"]]) for r in finder.found([text])[0]] == [(0, b"fox"), (1, b"fox jumps"), (2, b"glove")]
+    assert [r["item"] for r in finder.found([b"fox jumps " + text[:300]])[0]] == [0, 1]
+
+
 def test_blocks_of_items(spark, monkeypatch):
     rng = random.Random(7)
     items = [prose(rng, 20) for _ in range(12)]
