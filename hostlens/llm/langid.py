@@ -259,10 +259,15 @@ def predictions(docs: DataFrame, per_lang: int = 500) -> DataFrame:
 
 
 def accepted(docs: DataFrame, per_lang: int = 500) -> DataFrame:
-    """The documents whose language is told; those that are und go. Ambiguous ones stay."""
+    """The documents whose language the classifier tells, as they are.
+
+    Those that are und go, and those that are ambiguous: the two nearest codewords share nearly alike. Where
+    there is no language to learn, only texts without a letter go.
+    """
     model = learn(docs, per_lang)
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     names = [F.col("doc").getField(c).alias(c) for c in docs.columns]
     packed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("doc"))
-    return packed.withColumn("guess", guess(F.col("doc.text"), model)).where(F.col("guess.lang") != UNKNOWN).select(*names)
+    told = (F.col("guess.lang") != UNKNOWN) & ~F.col("guess.ambiguous")
+    return packed.withColumn("guess", guess(F.col("doc.text"), model)).where(told).select(*names)

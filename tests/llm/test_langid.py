@@ -42,7 +42,22 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert got[1005].lang_pred == got[0].lang_pred and got[1005].score == got[0].score
     kept = langid.accepted(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == set(got) - {1000, 1001, 1002}
+    sure = langid.identified(docs, langid.learn(docs)).where("guess.lang <> 'und' AND NOT guess.ambiguous")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in sure.collect()} <= set(got) - {1000, 1001, 1002}
+    assert {r[0] for r in rows} <= {r.doc_id for r in kept.collect()}
+
+
+def test_what_the_classifier_cannot_tell_goes(spark, monkeypatch):
+    """The stage's rows are the model's: a text between two languages goes, and another model lets others go."""
+    rows = corpus(200)
+    between = "que le oui que le the of and that " * 3
+    docs = spark.createDataFrame([*rows, (5000, between, None, "x", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.learn(docs)
+    model.margin = 2.0  # nothing is sure enough
+    monkeypatch.setattr(langid, "learn", lambda *_: model)
+    assert langid.accepted(docs).count() == 0
+    model.margin = 0.0
+    assert langid.accepted(docs).count() == len(rows) + 1
 
 
 def test_labels_do_not_reach_held_out_predictions(spark):
