@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.rules import Rules
+from . import scan
 
 RULES = ("suspicious-parent", "lolbin", "unsigned-dll", "beaconing")
 _D = F.col
@@ -25,14 +26,13 @@ def creations(events: DataFrame) -> DataFrame:
 def with_parent(created: DataFrame) -> DataFrame:
     """Creations with parent_image, that of the latest earlier creation of their ppid on the same agent.
 
-    Children and parents are one table with a side each, ordered by time; the last parent so far is a
-    window over (agent, pid), so there is one shuffle and no join on a range. A child stands before a
-    parent of the same row, so no process is its own parent.
+    Children and parents are one table with a side each, ordered by time; the last parent so far of an
+    (agent, pid) is a scan in segments, so there is no join on a range and a pid of any number of rows is
+    spread. A child stands before a parent of the same row, so no process is its own parent.
     """
     child = created.withColumns({"key": F.col("ppid"), "side": F.lit(0), "parent": F.lit(None).cast("string")})
     parent = created.withColumns({"key": F.col("pid"), "side": F.lit(1), "parent": F.col("image_path")})
-    so_far = Window.partitionBy("agent_id", "key").orderBy("event_ts", "seq", "side").rowsBetween(Window.unboundedPreceding, 0)
-    out = child.unionByName(parent).withColumn("parent_image", F.last("parent", ignorenulls=True).over(so_far))
+    out = scan.running(child.unionByName(parent), ["agent_id", "key"], ["event_ts", "seq", "side"], {"parent_image": scan.last(F.col("parent"))})
     return out.where("side = 0").drop("key", "side", "parent")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from . import scan
 
 
 def replay_order(events: DataFrame) -> DataFrame:
@@ -29,9 +30,12 @@ def replay_places(events: DataFrame) -> DataFrame:
 
 
 def replay_gaps(events: DataFrame, speed: float = 1.0) -> DataFrame:
-    """Events with gap_us, the microseconds since the agent's event before, divided by the speed (null for its first)."""
+    """Events with gap_us, the microseconds since the agent's event before, divided by the speed (null for its first).
+
+    The event before comes from a scan in segments, so an agent of any number of events is spread.
+    """
     if speed <= 0:
         raise ValueError("speed must be above 0")
-    before = F.lag("event_ts").over(Window.partitionBy("agent_id").orderBy("event_ts", "seq"))
-    micros = F.timestamp_diff("MICROSECOND", before, F.col("event_ts"))
-    return events.withColumn("gap_us", F.floor(micros / F.lit(speed)).cast("long"))
+    rows = scan.running(events, ["agent_id"], ["event_ts", "seq"], {"gap_us": scan.last(F.struct("event_ts"), before=True)})
+    micros = F.timestamp_diff("MICROSECOND", F.col("gap_us.event_ts"), F.col("event_ts"))
+    return rows.withColumn("gap_us", F.floor(micros / F.lit(speed)).cast("long"))

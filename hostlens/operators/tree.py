@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..sources.scratch import dropped, written
+from . import scan
 from .hunt import creations
 
 
 def edges(events: DataFrame) -> DataFrame:
     """Creations (seq, pid, image, time) with parent_seq: of the creations of their ppid that are not later, the last to arrive.
 
-    A process is not its own parent. The last to arrive is a running maximum over time; rows whose ppid
-    is their own pid, the only ones where that may be themselves, look at the two last to arrive.
+    A process is not its own parent. The last to arrive is the largest seq so far of the (agent, pid), in a
+    scan in segments in which parents stand before the children of their time. Where a row whose ppid is
+    its own pid finds itself, the largest before it in that order is the next one.
     """
     rows = creations(events)
-    child = rows.withColumns({"key": F.col("ppid"), "at": F.lit(None).cast("long")})
-    parent = rows.withColumns({"key": F.col("pid"), "at": F.col("seq")})
+    child = rows.withColumns({"key": F.col("ppid"), "at": F.lit(None).cast("long"), "side": F.lit(1)})
+    parent = rows.withColumns({"key": F.col("pid"), "at": F.col("seq"), "side": F.lit(0)})
+    found = scan.running(child.unionByName(parent), ["agent_id", "key"], ["event_ts", "side", "seq"], {"last": scan.most(F.col("at")), "other": scan.most(F.col("at"), before=True)})
     columns = ["agent_id", "seq", "event_ts", "pid", "ppid", "pkey", "image_path", "parent_seq"]
-    # Ordered windows without a frame reach from the first row to all of the current time.
-    last = F.max("at").over(Window.partitionBy("agent_id", "key").orderBy("event_ts"))
-    found = child.unionByName(parent).withColumn("parent_seq", last).where("at IS NULL AND ppid <> pid").select(columns)
-    # The second largest so far is the largest of what a new row or the maximum before it gave way to.
-    in_order = Window.partitionBy("agent_id", "pid").orderBy("event_ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    mine = Window.partitionBy("agent_id", "pid").orderBy("event_ts")
-    before = F.max("seq").over(in_order)
-    own = rows.withColumn("less", F.when(before.isNotNull(), F.least("seq", before)))
-    own = own.withColumns({"last": F.max("seq").over(mine), "other": F.max("less").over(mine)})
-    own = own.where("ppid = pid").withColumn("parent_seq", F.when(F.col("last") != F.col("seq"), F.col("last")).otherwise(F.col("other"))).select(columns)
-    return found.unionByName(own)
+    others = found.where("side = 1 AND ppid <> pid").withColumn("parent_seq", F.col("last")).select(columns)
+    own = found.where("ppid = pid").groupBy(*columns[:-1]).agg(F.max(F.when(F.col("side") == 1, F.col("last"))).alias("last"), F.max(F.when(F.col("side") == 0, F.col("other"))).alias("other"))
+    own = own.withColumn("parent_seq", F.when(F.col("last") != F.col("seq"), F.col("last")).otherwise(F.col("other"))).select(columns)
+    return others.unionByName(own)
 
 
 def latest_instance(events: DataFrame) -> DataFrame:
