@@ -31,7 +31,7 @@ LENGTH = 20
 #: Bytes of text that are hashed at once; a longer text goes in stretches that end at blanks.
 STRETCH = 1 << 20
 #: Windows that a task holds before it counts and sends them, and the most in a row.
-FLUSH, ROW = 1 << 21, 1 << 13
+FLUSH, ROW = 1 << 20, 1 << 10
 #: Bytes of text whose windows are one bucket, about three million of them; a task holds one bucket at a time.
 BUCKET = 16 << 20
 #: Repeats of this many neighbouring starts merge in one place, so a long document is many places.
@@ -93,13 +93,12 @@ def stretches(data: np.ndarray, most: int = STRETCH) -> Iterator[np.ndarray]:
     at = 0
     while at < len(data):
         end = min(at + most, len(data))
-        if end < len(data):
-            blanks = np.flatnonzero(_BLANK[data[at:end]])
+        while end < len(data):
+            blanks = np.flatnonzero(_BLANK[data[max(at, end - most) : end]])
             if len(blanks):
-                end = at + int(blanks[-1]) + 1
-            else:
-                while end < len(data) and not _BLANK[data[end]]:
-                    end += 1
+                end = max(at, end - most) + int(blanks[-1]) + 1
+                break
+            end = min(end + most, len(data))
         yield data[at:end]
         at = end
 
