@@ -14,12 +14,12 @@ MACHINES = {0x14C: "PE32 (i386)", 0x8664: "PE32+ (AMD64)", 0x1C4: "PE32 (ARM)",
 SUBSYSTEMS = {0: "Unknown", 1: "Native", 2: "Windows GUI", 3: "Windows CUI", 5: "OS/2 CUI", 7: "POSIX CUI", 8: "Native Windows", 9: "Windows CE GUI", 10: "EFI Application", 11: "EFI Boot Service Driver", 12: "EFI Runtime Driver", 14: "Xbox"}
 #: Functions that each category of suspicious calls has.
 SUSPICIOUS = {
-    "Process Injection": "VirtualAllocEx WriteProcessMemory CreateRemoteThread CreateRemoteThreadEx NtCreateThreadEx NtWriteVirtualMemory NtMapViewOfSection QueueUserAPC RtlCreateUserThread",
-    "Code Execution": "CreateProcessA CreateProcessW CreateProcessAsUserA CreateProcessAsUserW ShellExecuteA ShellExecuteW ShellExecuteExA ShellExecuteExW WinExec",
-    "Memory Manipulation": "VirtualProtect VirtualProtectEx VirtualAlloc VirtualAllocEx NtAllocateVirtualMemory NtProtectVirtualMemory",
-    "Hooking / Dynamic Resolution": "SetWindowsHookExA SetWindowsHookExW GetProcAddress LoadLibraryA LoadLibraryW LoadLibraryExA LoadLibraryExW LdrLoadDll",
-    "Credential Access": "CredReadA CredReadW LsaRetrievePrivateData CryptUnprotectData",
-    "Defense Evasion": "NtUnmapViewOfSection NtCreateSection NtSetContextThread NtResumeThread NtSuspendThread EtwEventWrite",
+    "Process Injection": ("VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread", "CreateRemoteThreadEx", "NtCreateThreadEx", "NtWriteVirtualMemory", "NtMapViewOfSection", "QueueUserAPC", "RtlCreateUserThread"),
+    "Code Execution": ("CreateProcessA", "CreateProcessW", "CreateProcessAsUserA", "CreateProcessAsUserW", "ShellExecuteA", "ShellExecuteW", "ShellExecuteExA", "ShellExecuteExW", "WinExec"),
+    "Memory Manipulation": ("VirtualProtect", "VirtualProtectEx", "VirtualAlloc", "VirtualAllocEx", "NtAllocateVirtualMemory", "NtProtectVirtualMemory"),
+    "Hooking / Dynamic Resolution": ("SetWindowsHookExA", "SetWindowsHookExW", "GetProcAddress", "LoadLibraryA", "LoadLibraryW", "LoadLibraryExA", "LoadLibraryExW", "LdrLoadDll"),
+    "Credential Access": ("CredReadA", "CredReadW", "LsaRetrievePrivateData", "CryptUnprotectData"),
+    "Defense Evasion": ("NtUnmapViewOfSection", "NtCreateSection", "NtSetContextThread", "NtResumeThread", "NtSuspendThread", "EtwEventWrite"),
 }
 EXECUTE, CODE = 0x20000000, 0x20
 BUDGET = 4 * 1024 * 1024
@@ -162,7 +162,7 @@ def exports(images: DataFrame) -> DataFrame:
 def api_summary(images: DataFrame) -> DataFrame:
     """Suspicious calls of each file by category, with how many files have that category."""
     spark = images.sparkSession
-    known = spark.createDataFrame([(category, api) for category, apis in SUSPICIOUS.items() for api in apis.split()], "category string, api string")
+    known = spark.createDataFrame([(category, api) for category, apis in SUSPICIOUS.items() for api in apis], "category string, api string")
     found = imports(images).join(F.broadcast(known), F.col("name") == F.col("api"))
     each = found.groupBy("path", "category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("api")), ",").alias("apis"))
     return each.join(each.groupBy("category").agg(F.count("*").alias("files")), "category").select("path", "category", "n", "apis", "files")

@@ -6,9 +6,12 @@ import tomllib
 from dataclasses import dataclass, fields, replace
 
 #: The lists that rules start from.
-PARENTS = tuple(f"{n}.exe" for n in "winword excel powerpnt outlook msaccess mspub visio onenote acrobat acrord32".split())
-CHILDREN = tuple(f"{n}.exe" for n in "cmd powershell pwsh wscript cscript mshta regsvr32 rundll32 certutil bitsadmin".split())
-LOLBINS = tuple(f"{n}.exe" for n in "certutil mshta regsvr32 rundll32 wscript cscript msiexec bitsadmin wmic msbuild installutil regasm regsvcs cmstp esentutl expand extrac32 hh ieexec makecab replace".split())
+PARENTS = ("winword.exe", "excel.exe", "powerpnt.exe", "outlook.exe", "msaccess.exe", "mspub.exe", "visio.exe", "onenote.exe", "acrobat.exe", "acrord32.exe")
+CHILDREN = ("cmd.exe", "powershell.exe", "pwsh.exe", "wscript.exe", "cscript.exe", "mshta.exe", "regsvr32.exe", "rundll32.exe", "certutil.exe", "bitsadmin.exe")
+LOLBINS = (
+    "certutil.exe", "mshta.exe", "regsvr32.exe", "rundll32.exe", "wscript.exe", "cscript.exe", "msiexec.exe", "bitsadmin.exe", "wmic.exe", "msbuild.exe", "installutil.exe",
+    "regasm.exe", "regsvcs.exe", "cmstp.exe", "esentutl.exe", "expand.exe", "extrac32.exe", "hh.exe", "ieexec.exe", "makecab.exe", "replace.exe",
+)
 
 
 @dataclass(frozen=True)

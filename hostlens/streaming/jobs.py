@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,44 +12,32 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators import arrival
 from ..operators.filters import event_filter
 from ..sources import sinks
-from ..sources.rules import Rules
 from ..sources.scratch import shared_path
+from .alerts import stream_alerts  # noqa: F401
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Walker(StatefulProcessor):
-    """Keeps one object for each key between micro-batches; rows of a batch go to it in order.
-
-    An object with FIELDS is kept as these, typed; another is pickled.
-    """
+    """Keeps one object for each key between micro-batches, its FIELDS as typed state; rows of a batch go to it in order."""
 
     def __init__(self, make: Callable[[], object], order: list[str], schema: str, ttl_seconds: int) -> None:
         self.make, self.order, self.schema, self.ttl = make, order, schema, ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        fields = getattr(self.make, "FIELDS", "bytes binary")
-        self.state = handle.getValueState("object", fields, ttlDurationMs=self.ttl * 1000 or None)
-        self.names = [x.split()[0] for x in fields.split(", ")] if hasattr(self.make, "FIELDS") else []
-
-    def _held(self) -> object:
-        if not self.state.exists():
-            return self.make()
-        kept = self.state.get()
-        if not self.names:
-            return pickle.loads(kept[0])
-        held = self.make()
-        for name, value in zip(self.names, kept):
-            setattr(held, name, value)
-        return held
+        self.state = handle.getValueState("object", self.make.FIELDS, ttlDurationMs=self.ttl * 1000 or None)
+        self.names = [x.split()[0] for x in self.make.FIELDS.split(", ")]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
+        held = self.make()
+        if self.state.exists():
+            for name, value in zip(self.names, self.state.get()):
+                setattr(held, name, value)
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         out = []
         for row in batch.astype(object).where(batch.notna(), None).to_dict("records"):
             out.extend(held.take(row))
-        self.state.update(tuple(getattr(held, n) for n in self.names) or (pickle.dumps(held),))
+        self.state.update(tuple(getattr(held, n) for n in self.names))
         parts = [x.split() for x in self.schema.split(", ")]
         yield pd.DataFrame(out, columns=[n for n, _ in parts]).astype({n: "Int64" for n, t in parts if t == "long"})
 
@@ -68,11 +55,6 @@ def stream_enriched(events: DataFrame, ttl_seconds: int = 0) -> DataFrame:
     return _stateful(arrival.slot_rows(events), ["agent_id", "pid"], Walker(arrival.ProcessSlot, ["seq"], arrival.CONTEXTS, ttl_seconds), ttl_seconds)
 
 
-def stream_alerts(events: DataFrame, rules: Rules = Rules(), ttl_seconds: int = 0) -> DataFrame:
-    """Alerts of a stream's events, agent by agent in arrival order."""
-    return _stateful(arrival.alert_rows(events), ["agent_id"], Walker(lambda: arrival.AgentAlerts(rules), ["seq"], arrival.ALERTS, ttl_seconds), ttl_seconds)
-
-
 def tail(events: DataFrame, **conditions) -> DataFrame:
     """A stream's events that meet the conditions of a query (no times)."""
     return events.where(event_filter(**conditions))

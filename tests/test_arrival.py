@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from hostlens.operators import arrival
 from hostlens.sources.rules import Rules
+from hostlens.streaming import jobs
 
+from .plain_alerts import AgentAlerts
 from .test_operators import create, evasion, event, events, load, network  # noqa: F401
 
 
@@ -76,6 +78,56 @@ def test_alerts_against_the_walk(events, order):  # noqa: F811
     agents, want = {}, []
     rows = [r.asDict() for r in arrival.alert_rows(read).collect()]
     for r in sorted(rows, key=lambda r: (r[order], r["seq"])):
-        want += agents.setdefault(r["agent_id"], arrival.AgentAlerts(rules)).take(r)
+        want += agents.setdefault(r["agent_id"], AgentAlerts(rules)).take(r)
     got = [tuple(r) for r in arrival.backtest(read, rules, order).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 30
+
+
+@pytest.fixture
+def batches(spark, tmp_path):
+    """Runs stream_alerts over parts of a table, one micro-batch after another; gives the alerts and each batch's progress."""
+
+    def run(parts, rules):
+        source, query = str(tmp_path / "in"), None
+        for i, part in enumerate(parts):
+            part.coalesce(1).write.mode("append").parquet(source)
+            if query is None:
+                stream = spark.readStream.schema(part.schema).parquet(source)
+                query = jobs.stream_alerts(stream, rules).writeStream.format("memory").queryName("alerts_of_parts").option("checkpointLocation", str(tmp_path / "check")).start()
+            query.processAllAvailable()
+        progress = [p for p in query.recentProgress if p["numInputRows"]]
+        rows = [tuple(r) for r in spark.table("alerts_of_parts").collect()]
+        query.stop()
+        return rows, progress
+
+    return run
+
+
+@pytest.mark.parametrize("cuts", [[], [60, 110, 111, 200]])
+def test_stream_alerts_against_the_walk(events, batches, cuts):  # noqa: F811
+    """The same alerts, whether the events come in one micro-batch or in five."""
+    rules = Rules(cooldown=300, threshold=25)
+    read = events(_random_events(random.Random(6), 250)).cache()
+    want, agents = [], {}
+    rows = sorted((r.asDict() for r in arrival.alert_rows(read).collect()), key=lambda r: r["seq"])
+    for r in rows:
+        want += agents.setdefault(r["agent_id"], AgentAlerts(rules)).take(r)
+    order = sorted(r.seq for r in read.select("seq").collect())
+    bounds = [order[0], *[order[c] for c in cuts], order[-1] + 1]
+    got, _ = batches([read.where((F.col("seq") >= a) & (F.col("seq") < b)) for a, b in zip(bounds, bounds[1:])], rules)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 30
+
+
+def test_state_writes_do_not_grow_with_an_agents_age(events, batches):  # noqa: F811
+    """Each micro-batch brings 40 new addresses of one process: what it writes stays the same."""
+    made, n = [], 1
+    for batch in range(4):
+        made.append([network(n + i, batch, 7, f"8.{batch}.0.{i}", "7:1") for i in range(40)])
+        n += 40
+    read = events([e for part in made for e in part]).cache()
+    first = read.agg(F.min("seq")).first()[0]
+    parts = [read.where((F.col("seq") >= first + 40 * i) & (F.col("seq") < first + 40 * i + 40)) for i in range(4)]
+    _, progress = batches(parts, Rules(cooldown=10**6, threshold=10**6))
+    writes = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in progress]
+    total = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
+    assert len(writes) == 4 and total[-1] >= 160 and max(writes[1:]) <= writes[0]
