@@ -682,6 +682,14 @@ def stream_scan(spark, sf_dir):
     return jobs.run_to_end(_facts(jsonl.stream_events(spark, path)), "scan")
 
 
+@_query(_VALID)
+def follow_files(spark, sf_dir):
+    """Files that are followed as they grow, here to what is there."""
+    path = shared_path(spark, "lines")
+    _lines(spark, sf_dir).write.text(path)
+    return jobs.run_to_end(_facts(jsonl.follow_events(spark, path)), "followed")
+
+
 @_query(_VALID)
 def sink_jsonl(spark, sf_dir):
     """Events read from lines, written as lines of at most 1000 a file, and read again."""

@@ -47,9 +47,12 @@ def stream_events(spark: SparkSession, path: str, since: str | None = None) -> D
     return parsed(lines)
 
 
-def follow_events(spark: SparkSession, path: str, since: str = "start") -> DataFrame:
-    """A stream of the events appended to a folder's files, through rotations; with since="end" only of what comes from now on."""
-    return parsed(follow.appended(spark, path, since))
+def follow_events(spark: SparkSession, path: str, since: str = "start", max_bytes: int = 0, ledger: str | None = None) -> DataFrame:
+    """A stream of the events appended to a folder's files, through rotations; with since="end" only of what comes from now on.
+
+    max_bytes bounds a micro-batch, ledger is where a bounded stream keeps its place (see follow.AppendedLines).
+    """
+    return parsed(follow.appended(spark, path, since, max_bytes, ledger))
 
 
 def as_lines(events: DataFrame, pretty: bool = False) -> DataFrame:
