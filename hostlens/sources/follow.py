@@ -77,12 +77,13 @@ class AppendedReader(DataSourceStreamReader):
             return first and {"first": first, "end": end, "tail": _tail(file, end)}
 
     def _read_up_to(self) -> dict | None:
-        """Where the last planned micro-batch ended."""
+        """Where the last planned micro-batch ended; with a ledger that is not there yet, where the stream starts."""
         if self.last is None and self.ledger:
             system, path = fs.FileSystem.from_uri(self.ledger)
-            if system.get_file_info(path).type == fs.FileType.File:
-                with system.open_input_file(path) as file:
-                    self.last = json.loads(file.read())
+            if system.get_file_info(path).type != fs.FileType.File:
+                return self.initialOffset()
+            with system.open_input_file(path) as file:
+                self.last = json.loads(file.read())
         return self.last
 
     def _keep(self, offset: dict) -> None:
@@ -93,7 +94,8 @@ class AppendedReader(DataSourceStreamReader):
                 file.write(json.dumps(offset).encode())
 
     def initialOffset(self) -> dict:
-        self._keep(self._all() if self.since == "end" else {})
+        if self.last is None:
+            self._keep(self._all() if self.since == "end" else {})
         return self.last
 
     def _all(self) -> dict:
