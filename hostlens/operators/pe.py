@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of machines and subsystems by number.
@@ -23,19 +23,23 @@ SUSPICIOUS = {
 }
 EXECUTE, CODE = 0x20000000, 0x20
 BUDGET = 4 * 1024 * 1024
-_SCHEMA = "valid boolean, machine int, subsystem int, entry long, base long, image_size long, sections array<struct<name:string,rva:long,vsize:long,raw:long,size:long,flags:long,bytes:binary>>, imports array<struct<dll:string,name:string>>, exports array<string>, bad_imports boolean, bad_exports boolean"
+_SCHEMA = "valid boolean, machine int, subsystem int, entry long, base long, image_size long, sections array<struct<name:string,rva:long,vsize:long,raw:long,size:long,flags:long>>, imports array<struct<dll:string,name:string>>, exports array<string>, bad_imports boolean, bad_exports boolean, code array<binary>"
 
 
-class _Image:
-    """Reads fields of a file's bytes; None where they end."""
+class Image:
+    """Reads fields of a file by ranges; None where it ends. `read` gives the bytes from a place on, at most so many."""
 
-    def __init__(self, data: bytes) -> None:
-        self.data = data
+    def __init__(self, size: int, read: Callable[[int, int], bytes]) -> None:
+        self.size, self.read = size, read
         self.sections: list[tuple] = []
 
+    @classmethod
+    def of(cls, data: bytes) -> Image:
+        return cls(len(data), lambda at, n: data[at : at + n])
+
     def at(self, form: str, offset: int):
         size = struct.calcsize(form)
-        return struct.unpack_from(form, self.data, offset)[0] if 0 <= offset <= len(self.data) - size else None
+        return struct.unpack(form, self.read(offset, size))[0] if 0 <= offset <= self.size - size else None
 
     def place(self, rva: int) -> int | None:
         for _, start, vsize, raw, size, _ in self.sections:
@@ -44,19 +48,22 @@ class _Image:
         return None
 
     def name(self, offset: int | None, most: int = 512) -> str | None:
-        if offset is None or not 0 <= offset < len(self.data):
+        if offset is None or not 0 <= offset < self.size:
             return None
-        end = self.data.find(b"\0", offset, offset + most)
-        return None if end < 0 else self.data[offset:end].decode("latin-1")
+        text, end, _ = self.read(offset, most).partition(b"\0")
+        return text.decode("latin-1") if end else None
+
 
+def parse(f: Image, code: bool = False) -> dict:
+    """Header facts, sections, imports and exports of a PE file; valid is False for anything else.
 
-def parse(data: bytes) -> dict:
-    """Header facts, sections, imports and exports of a PE file; valid is False for anything else."""
-    f, bad = _Image(data or b""), {"valid": False}
-    if len(f.data) < 64 or f.data[:2] != b"MZ":
+    With `code` the bytes of sections that can be executed come along, 4 MB of them together.
+    """
+    bad = {"valid": False}
+    if f.size < 64 or f.read(0, 2) != b"MZ":
         return bad
     pe = f.at("<I", 0x3C)
-    if f.data[pe : pe + 4] != b"PE\0\0" or f.at("<I", pe + 20) is None:
+    if f.read(pe, 4) != b"PE\0\0" or f.at("<I", pe + 20) is None:
         return bad
     head, optional = pe + 4, pe + 24
     machine, count, width = f.at("<H", head), f.at("<H", head + 2), f.at("<H", head + 16)
@@ -66,11 +73,11 @@ def parse(data: bytes) -> dict:
     wide = magic == 0x20B
     for i in range(count):
         o = optional + width + 40 * i
-        if o + 40 > len(f.data):
+        if o + 40 > f.size:
             break
-        name = f.data[o : o + 8].split(b"\0")[0].decode("latin-1")
-        vsize, rva, size, raw = struct.unpack_from("<4I", f.data, o + 8)
-        f.sections.append((name, rva, vsize, raw, size, f.at("<I", o + 36)))
+        row = f.read(o, 40)
+        vsize, rva, size, raw = struct.unpack_from("<4I", row, 8)
+        f.sections.append((row[:8].split(b"\0")[0].decode("latin-1"), rva, vsize, raw, size, struct.unpack_from("<I", row, 36)[0]))
     tables = optional + (112 if wide else 96)
     n_tables = f.at("<I", tables - 4) or 0
     export, into = ((f.at("<I", tables + 8 * k) or 0) if k < n_tables else 0 for k in (0, 1))
@@ -114,21 +121,22 @@ def parse(data: bytes) -> dict:
                     bad_exports = True
                 else:
                     exports.append(name)
-    sections = [{"name": n, "rva": rva, "vsize": vsize, "raw": raw, "size": size, "flags": flags, "bytes": f.data[raw : raw + size]} for n, rva, vsize, raw, size, flags in f.sections]
-    return {"valid": True, "machine": machine, "subsystem": f.at("<H", optional + 68), "entry": f.at("<I", optional + 16), "base": f.at("<Q", optional + 24) if wide else f.at("<I", optional + 28), "image_size": f.at("<I", optional + 56), "sections": sections, "imports": imports, "exports": exports, "bad_imports": bad_imports, "bad_exports": bad_exports}
-
-
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
+    parts, room = [], BUDGET
+    for _, _, _, raw, size, flags in f.sections if code else []:
+        if flags & (EXECUTE | CODE) and room:
+            parts.append(f.read(raw, min(size, room)))
+            room -= len(parts[-1])
+    sections = [dict(zip(("name", "rva", "vsize", "raw", "size", "flags"), s)) for s in f.sections]
+    return {"valid": True, "machine": machine, "subsystem": f.at("<H", optional + 68), "entry": f.at("<I", optional + 16), "base": f.at("<Q", optional + 24) if wide else f.at("<I", optional + 28), "image_size": f.at("<I", optional + 56), "sections": sections, "imports": imports, "exports": exports, "bad_imports": bad_imports, "bad_exports": bad_exports, "code": parts if code else None}
 
 
-def parsed(files: DataFrame) -> DataFrame:
-    """Files (path, content) with what parse() tells of each."""
+def parsed(files: DataFrame, code: bool = False) -> DataFrame:
+    """Rows (path, content) with what parse() tells of each; for files on disk see sources.executables, which reads them by ranges."""
     names = [p.split(" ")[0] for p in _SCHEMA.split(", ") if " " in p]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [parse(x) for x in frame["content"]]
+            rows = [parse(Image.of(x or b""), code) for x in frame["content"]]
             yield pd.DataFrame({"path": frame["path"], **{n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}})
 
     return files.mapInPandas(of, f"path string, {_SCHEMA}")
@@ -201,12 +209,8 @@ def prologue_patch(data: Column) -> Column:
 
 
 def stub_findings(images: DataFrame) -> DataFrame:
-    """Stubs in each file's executable sections, up to 4 MB of them: (path, stubs, direct, indirect)."""
-    code = F.filter("sections", lambda s: s["flags"].bitwiseAND(F.lit(EXECUTE | CODE)) != 0)
-    empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<binary>").alias("parts"))
-    step = lambda s, x: F.struct((s["used"] + F.least(F.octet_length(x["bytes"]).cast("long"), F.lit(BUDGET) - s["used"])).alias("used"), F.array_append(s["parts"], F.substring(x["bytes"], F.lit(1), (F.lit(BUDGET) - s["used"]).cast("int"))).alias("parts"))
-    parts = F.aggregate(code, empty, step, lambda s: s["parts"])
-    rows = images.where("valid").select("path", F.explode(parts).alias("part")).select("path", F.explode(stubs(F.col("part"))).alias("stub"))
+    """Stubs in each file's code, where that was read: (path, stubs, direct, indirect)."""
+    rows = images.where("valid").select("path", F.explode("code").alias("part")).select("path", F.explode(stubs(F.col("part"))).alias("stub"))
     return rows.groupBy("path").agg(F.count("*").alias("stubs"), F.count_if(~F.col("stub.indirect")).alias("direct"), F.count_if(F.col("stub.indirect")).alias("indirect"))
 
 

@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import arrival, explain, filters, hunt, iocs, pe, replay, score, stats, tree
-from ..sources import index, jsonl, normalise, sinks
+from ..sources import executables, index, jsonl, normalise, sinks
 from ..sources.rules import Rules
 from ..sources.scratch import shared_path, written
 from ..sources.telemetry import VIEW, flat, telemetry
 from ..streaming import jobs
+from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -725,21 +726,9 @@ def dead_letter_cap(spark, sf_dir):
 # Raw records
 
 
-def _sysmon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of Sysmon XML, made from the telemetry."""
-    d = lambda name, value: F.concat(F.lit(f'<Data Name="{name}">'), F.coalesce(value.cast("string"), F.lit("")), F.lit("</Data>"))
-    c = F.col
-    rows = flat(spark, sf_dir)
-    eid = F.expr("CASE type WHEN 'ProcessCreate' THEN 1 WHEN 'ProcessTerminate' THEN 5 WHEN 'NetworkConnect' THEN 3 WHEN 'ImageLoad' THEN 7 WHEN 'DnsQuery' THEN 22 WHEN 'EvasionDetected' THEN 25 WHEN 'ScriptBlock' THEN 10 ELSE 99 END")
-    kind = F.expr("CASE k % 3 WHEN 0 THEN 'Image is replaced' WHEN 1 THEN 'Image is locked for access' ELSE 'Other &amp; more' END")
-    fields = F.concat(d("ProcessId", c("pid")), d("ParentProcessId", c("ppid")), d("Image", c("image_path")), d("CommandLine", c("command_line")), d("DestinationIp", c("dst_addr")), d("DestinationPort", c("dst_port")), d("Initiated", F.expr("CASE WHEN k % 2 = 0 THEN 'True' ELSE 'false' END")), d("ImageLoaded", F.when(c("type") == "ImageLoad", F.concat(F.lit("C:\\lib\\"), c("image_name")))), d("Signed", c("signed")), d("QueryName", c("query_name")), d("QueryType", F.lit("1")), d("QueryResults", c("response")), d("Type", kind), d("SourceProcessId", c("pid")), d("TargetProcessId", c("pid") + 1), d("GrantedAccess", F.concat(F.lit("0x"), F.hex(c("k") * 16))), F.lit('<Data Name="Empty"/>'))
-    xml = F.concat(F.lit("<Event><System><EventID>"), eid.cast("string"), F.lit("</EventID></System><EventData>"), fields, F.lit("</EventData></Event>"))
-    return written(rows.select("seq", xml.alias("xml")).repartition(spark.sparkContext.defaultParallelism), "sysmon")
-
-
 @_query("SELECT seq, CASE type WHEN 'ProcessCreate' THEN 1 WHEN 'ProcessTerminate' THEN 5 WHEN 'NetworkConnect' THEN 3 WHEN 'ImageLoad' THEN 7 WHEN 'DnsQuery' THEN 22 WHEN 'EvasionDetected' THEN 25 WHEN 'ScriptBlock' THEN 10 ELSE 99 END AS eid, CAST(pid AS VARCHAR) AS pid, CASE k % 3 WHEN 0 THEN 'Image is replaced' WHEN 1 THEN 'Image is locked for access' ELSE 'Other & more' END AS kind FROM v")
 def sysmon_parse(spark, sf_dir):
-    rows = normalise.parsed_sysmon(_sysmon_records(spark, sf_dir))
+    rows = normalise.parsed_sysmon(fixtures.sysmon_records(spark, sf_dir))
     of = lambda n: F.try_element_at(F.filter("fields", lambda d: d["name"] == n), F.lit(-1))["value"]
     return rows.select("seq", "eid", of("ProcessId").alias("pid"), of("Type").alias("kind"))
 
@@ -753,21 +742,10 @@ def sysmon_parse(spark, sf_dir):
   CASE WHEN type = 'EvasionDetected' THEN CASE k % 3 WHEN 0 THEN 'TF-SYS-001a' WHEN 1 THEN 'TF-SYS-001b' ELSE 'TF-SYS-001' END END AS rule_id
 FROM v WHERE type <> 'AmsiScan'""")
 def sysmon_normalise(spark, sf_dir):
-    rows = normalise.sysmon_events(_sysmon_records(spark, sf_dir))
+    rows = normalise.sysmon_events(fixtures.sysmon_records(spark, sf_dir))
     return rows.select("seq", "category", "severity", "data.type", "data.pid", "data.direction", "data.granted_access", "data.image_name", "data.signed", "rule_id")
 
 
-def _provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table of decoded provider records, made from the telemetry."""
-    f = lambda name, value: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
-    c = F.col
-    rows = flat(spark, sf_dir)
-    provider = F.expr("CASE type WHEN 'NetworkConnect' THEN 'Microsoft-Windows-Kernel-Network' WHEN 'DnsQuery' THEN 'Microsoft-Windows-DNS-Client' WHEN 'EvasionDetected' THEN 'Microsoft-Windows-Threat-Intelligence' WHEN 'AmsiScan' THEN 'Microsoft-Antimalware-Scan-Interface' WHEN 'ScriptBlock' THEN 'Microsoft-Windows-PowerShell' ELSE 'Microsoft-Windows-Kernel-Process' END")
-    event = F.expr("CASE type WHEN 'NetworkConnect' THEN 10 + k % 9 WHEN 'DnsQuery' THEN CASE WHEN k % 2 = 0 THEN 3006 ELSE 3008 END WHEN 'EvasionDetected' THEN k % 12 WHEN 'AmsiScan' THEN 1101 WHEN 'ScriptBlock' THEN 4104 WHEN 'ProcessCreate' THEN 1 WHEN 'ProcessTerminate' THEN 2 ELSE 5 END")
-    fields = F.array(f("PID", c("pid")), f("ProcessID", c("pid")), f("ParentProcessID", c("ppid")), f("ImageName", c("image_path")), f("daddr", c("dst_addr")), f("dport", c("dst_port")), f("QueryName", c("query_name")), f("QueryType", c("k")), f("QueryStatus", c("k") % 3), f("QueryResults", c("response")), f("scanResult", c("scan_result")), f("SignatureLevel", c("k") % 8), f("SignatureType", c("k") % 9), f("TargetProcessId", c("k") % 4))
-    return written(rows.repartition(spark.sparkContext.defaultParallelism).select("seq", "pid", provider.alias("provider"), event.alias("event_id"), F.filter(fields, lambda x: x["value"].isNotNull()).alias("fields")), "provider")
-
-
 @_query("""SELECT seq, type, severity2 AS severity, rule_id, direction, signed, signature, response FROM (
   SELECT seq, type, k,
     CASE type WHEN 'ScriptBlock' THEN 'Medium' WHEN 'AmsiScan' THEN CASE WHEN scan_result >= 32768 THEN 'High' ELSE 'Info' END WHEN 'EvasionDetected' THEN CASE WHEN k % 12 BETWEEN 6 AND 8 THEN 'Medium' ELSE 'High' END ELSE 'Info' END AS severity2,
@@ -778,53 +756,19 @@ def _provider_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE WHEN type = 'DnsQuery' AND k % 2 = 1 AND k % 3 = 0 THEN response END AS response
   FROM v WHERE NOT (type = 'NetworkConnect' AND k % 9 = 4))""")
 def etw_normalise(spark, sf_dir):
-    rows = normalise.provider_events(_provider_records(spark, sf_dir))
+    rows = normalise.provider_events(fixtures.provider_records(spark, sf_dir))
     return rows.select("seq", "data.type", "severity", "rule_id", "data.direction", "data.signed", "data.signature", "data.response")
 
 
 # Executables
 
 
-def sample_image(k: int) -> bytes:
-    """A small PE file that differs by k: rights of its section, imports, exports, stubs; every eleventh is broken."""
-    import struct
-
-    if k % 11 == 10:
-        return b"MZ" + bytes(k % 90)
-    calls = ["VirtualAllocEx", "CreateFileW", "GetProcAddress", "NtCreateSection", "WinExec"][: k % 6]
-    body = bytearray(1024)
-    put = lambda at, data: body.__setitem__(slice(at, at + len(data)), data)
-    name_at, lookup = 700, 500
-    if calls:
-        put(400, struct.pack("<5I", 0x1000 + lookup, 0, 0, 0x1000 + 680, 0x1000 + lookup))
-        put(680, b"ntdll.dll\0")
-        for i, call in enumerate(calls):
-            put(lookup + 8 * i, struct.pack("<Q", 0x1000 + name_at))
-            put(name_at, b"\0\0" + call.encode() + b"\0")
-            name_at += len(call) + 4
-    stub = b"\x4c\x8b\xd1\xb8" + struct.pack("<I", k) + (b"\x0f\x05\xc3" if k % 2 else b"\xff\x25\1\2\3\4")
-    put(16, stub * (k % 3))
-    if k % 4 == 1:
-        put(200, bytes(24) + struct.pack("<4I", 1, 0, 0x1000 + 250, 0))
-        put(250, struct.pack("<I", 0x1000 + 260) + bytes(6) + f"Run{k}".encode() + b"\0")
-    flags = 0x60000020 | (0x80000000 if k % 5 == 0 else 0)
-    head = bytearray(512)
-    head[:2] = b"MZ"
-    struct.pack_into("<I", head, 0x3C, 0x40)
-    optional = struct.pack("<HBBIIIII", 0x20B, 1, 0, 0, 0, 0, 0x1000, 0x1000) + struct.pack("<QIIHHHHHHIIIIHH", 0x140000000, 0x1000, 0x200, 6, 0, 0, 0, 6, 0, 0, 0x3000 + k, 0x200, 0, 2 + k % 2, 0) + struct.pack("<4QII", 0, 0, 0, 0, 0, 2) + struct.pack("<4I", 0x1000 + 200 if k % 4 == 1 else 0, 40, 0x1000 + 400 if calls else 0, 40)
-    head[0x40 : 0x40 + 24] = b"PE\0\0" + struct.pack("<HHIIIHH", 0x8664, 1, 0, 0, 0, len(optional), 0x22)
-    head[0x58 : 0x58 + len(optional)] = optional
-    at = 0x58 + len(optional)
-    head[at : at + 40] = b".text\0\0\0" + struct.pack("<4I", 1024, 0x1000, 1024, 512) + bytes(12) + struct.pack("<I", flags)
-    return bytes(head) + bytes(body)
-
-
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An image for each load of the telemetry."""
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "content": [sample_image(k) for k in frame["k"]]})
+            yield pd.DataFrame({"path": frame["path"], "content": [fixtures.sample_image(k) for k in frame["k"]]})
 
     rows = flat(spark, sf_dir).where("type = 'ImageLoad'").select(F.format_string("C:\\m\\f%d.dll", "seq").alias("path"), "k")
     return rows.mapInPandas(build, "path string, content binary")
@@ -840,6 +784,14 @@ def pe_headers(spark, sf_dir):
     return pe.headers(pe.parsed(_files(spark, sf_dir))).select("path", "valid", "machine", "subsystem", "image_size", "n_imports")
 
 
+@_query(f"SELECT 'f' || CAST(seq AS VARCHAR) || '.dll' AS name, k % 11 <> 10 AS valid, CASE WHEN k % 11 <> 10 THEN 'PE32+ (AMD64)' END AS machine, CASE WHEN k % 11 <> 10 THEN CAST(12288 + k AS BIGINT) END AS image_size, CASE WHEN k % 11 <> 10 THEN k % 6 END AS n_imports, CASE WHEN k % 11 <> 10 AND k % 3 > 0 THEN CAST(k % 3 AS BIGINT) END AS stubs {_LOADS}")
+def pe_files(spark, sf_dir):
+    """The images as files on disk, read by ranges."""
+    found = executables.read_files(spark, fixtures.files_on_disk(_files(spark, sf_dir), shared_path(spark, "images")), code=True)
+    head = pe.headers(found).join(pe.stub_findings(found).select("path", "stubs"), "path", "left")
+    return head.select(C.basename(F.col("path")).alias("name"), "valid", "machine", "image_size", "n_imports", "stubs")
+
+
 @_query(f"SELECT {_PATH}, '.text' AS section, CASE WHEN k % 5 = 0 THEN 'RWX' ELSE 'R-X' END AS rights, k % 5 = 0 AS suspicious {_LOADS} AND k % 11 <> 10")
 def pe_sections(spark, sf_dir):
     return pe.sections(pe.parsed(_files(spark, sf_dir))).select("path", "section", "rights", "suspicious")
@@ -867,7 +819,7 @@ def pe_api_summary(spark, sf_dir):
 
 @_query(f"SELECT {_PATH}, CAST(k % 3 AS BIGINT) AS stubs, CAST(CASE WHEN k % 2 = 1 THEN k % 3 ELSE 0 END AS BIGINT) AS direct, CAST(CASE WHEN k % 2 = 0 THEN k % 3 ELSE 0 END AS BIGINT) AS indirect {_LOADS} AND k % 11 <> 10 AND k % 3 > 0")
 def pe_stubs(spark, sf_dir):
-    return pe.stub_findings(pe.parsed(_files(spark, sf_dir)))
+    return pe.stub_findings(pe.parsed(_files(spark, sf_dir), code=True))
 
 
 @_query("SELECT seq, n, CASE WHEN n > 0 THEN k END AS ssn FROM (SELECT seq, k, k % 4 AS n FROM v WHERE type = 'ImageLoad')")
@@ -893,7 +845,7 @@ def _loads(spark, sf_dir):
 
 @_query(f"SELECT seq, pid, 'C:' || chr(92) || 'M' || chr(92) || 'F' || CAST(seq AS VARCHAR) || '.DLL' AS image_path, CAST(k % 3 AS BIGINT) AS stubs, CASE WHEN k % 2 = 1 THEN 'High' ELSE 'Info' END AS severity, CASE WHEN k % 2 = 1 THEN 'TF-EVA-005' END AS rule_id {_LOADS} AND k % 11 <> 10 AND k % 3 > 0")
 def imageload_stub_join(spark, sf_dir):
-    return pe.loads_with_stubs(_loads(spark, sf_dir), pe.stub_findings(pe.parsed(_files(spark, sf_dir))))
+    return pe.loads_with_stubs(_loads(spark, sf_dir), pe.stub_findings(pe.parsed(_files(spark, sf_dir), code=True)))
 
 
 @_query(
@@ -908,6 +860,6 @@ def ti_import_anti(spark, sf_dir):
 
 @_query("SELECT agent_id, pid, max(k % 3 + CASE WHEN k % 2 = 1 AND k % 3 > 0 THEN 1000 ELSE 0 END) AS rank FROM v WHERE type = 'ImageLoad' AND k % 11 <> 10 AND k % 3 > 0 GROUP BY 1, 2")
 def stub_rank(spark, sf_dir):
-    found = pe.stub_findings(pe.parsed(_files(spark, sf_dir))).withColumn("file", F.lower("path"))
+    found = pe.stub_findings(pe.parsed(_files(spark, sf_dir), code=True)).withColumn("file", F.lower("path"))
     rows = _loads(spark, sf_dir).withColumn("file", F.lower("image_path")).join(found, "file")
     return pe.best_module(rows).select("agent_id", "pid", "rank")
