@@ -693,10 +693,19 @@ def follow_files(spark, sf_dir):
 
 @_query(_VALID)
 def sink_jsonl(spark, sf_dir):
-    """Events read from lines, written as lines of at most 1000 a file, and read again."""
+    """Events read from lines, written as lines in files of under 200 kB, and read again."""
     path, out = shared_path(spark, "lines"), shared_path(spark, "out")
     _lines(spark, sf_dir).write.text(path)
-    jsonl.write_lines(jsonl.read_events(spark, path), out, 1000)
+    jsonl.write_lines(jsonl.read_events(spark, path), out, 200_000)
+    return _facts(jsonl.read_events(spark, out))
+
+
+@_query(_VALID)
+def sink_stream(spark, sf_dir):
+    """A stream of events written as lines, and read again."""
+    path, out = shared_path(spark, "lines"), shared_path(spark, "out")
+    _lines(spark, sf_dir).write.text(path)
+    jsonl.stream_lines(jsonl.stream_events(spark, path), out, shared_path(spark, "check"), 200_000).trigger(availableNow=True).start().awaitTermination()
     return _facts(jsonl.read_events(spark, out))
 
 

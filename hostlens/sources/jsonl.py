@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import columns as C
 from ..schema import LINE, is_event
 from . import follow
+from .lines_sink import RotatedLines
 
 
 def parsed(lines: DataFrame, raw: str = "value") -> DataFrame:
@@ -67,6 +69,14 @@ def as_lines(events: DataFrame, pretty: bool = False) -> DataFrame:
     return events.select(whole.alias("value"))
 
 
-def write_lines(events: DataFrame, path: str, most_per_file: int = 0) -> None:
-    """Appends events as JSON lines; a file has at most `most_per_file` of them (0: no limit)."""
-    as_lines(events).write.mode("append").option("maxRecordsPerFile", most_per_file).text(path)
+def write_lines(events: DataFrame, path: str, rotation_bytes: int = 100_000_000) -> None:
+    """Appends events as JSON lines to a folder, in files of under rotation_bytes (0: no limit) that show all at once."""
+    events.sparkSession.dataSource.register(RotatedLines)
+    as_lines(events).write.format("rotated_lines").option("rotation_bytes", rotation_bytes).mode("append").save(path)
+
+
+def stream_lines(events: DataFrame, path: str, checkpoint: str, rotation_bytes: int = 100_000_000, writer: str = "stream") -> DataStreamWriter:
+    """The same for a stream: each micro-batch shows once, also when it is run again. The caller starts it."""
+    events.sparkSession.dataSource.register(RotatedLines)
+    out = as_lines(events).writeStream.format("rotated_lines").option("path", path).option("rotation_bytes", rotation_bytes)
+    return out.option("writer", writer).option("checkpointLocation", checkpoint)

@@ -212,7 +212,7 @@ def test_stream_equals_backtest(spark, events, tmp_path):
 def test_lines_round_trip(spark, events, tmp_path):
     rows = [create(1, 0, 4, 1, "C:\\a \"q\"\\é/x.exe"), network(2, 1, 5, "1.1.1.1", "5:1"), evasion(3, 2, 6), load(4, 3, 7, "x.dll", True)]
     read = events(rows)
-    jsonl.write_lines(read, str(tmp_path / "out"), 2)
+    jsonl.write_lines(read, str(tmp_path / "out"), 700)
     back = jsonl.read_events(spark, str(tmp_path / "out"))
     same = lambda r: sorted((x.id, x.source, x.data, x.rule, x.process_context, x.severity) for x in r.collect())
     assert [x[:2] for x in same(back)] == [x[:2] for x in same(read)] and back.count() == 4
@@ -237,7 +237,7 @@ def test_index_is_used_where_it_can_be_read(spark, events, tmp_path):
     find = lambda: [r.event_id[:8] for r in index.find(spark, path, rows, "2026-03-13 10:00:00", "2026-03-13 10:05:00", pid=5).collect()]
     assert find() == ["00000001", "00000002"]
     index.rebuild(rows, path, source)
-    size = sum(p.stat().st_size for p in (tmp_path / "lines").glob("part-*"))
+    size = sum(p.stat().st_size for p in (tmp_path / "lines").rglob("events.jsonl.*"))
     assert tuple(index.coverage(spark, path, source).first()) == (size, size, True) and find() == ["00000001", "00000002"]
     jsonl.write_lines(rows.limit(1), source)
     now = index.coverage(spark, path, source).first()
