@@ -2,35 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
 
-def _around(events: DataFrame, target: DataFrame, minutes: int, by_pid: bool) -> DataFrame:
-    """events of the target's process within the window; the target is one row, so it is broadcast."""
-    t = target.limit(1).select(F.col("id").alias("t_id"), F.col("event_ts").alias("t_ts"), F.col("process_context.process_key").alias("t_key"), C.acting_pid(F.col("data")).alias("t_pid"), C.is_script_related(F.col("data")).alias("t_script"), F.col("agent_id").alias("t_agent"))
-    span = F.make_dt_interval(mins=F.lit(minutes))
-    same = F.col("process_context.process_key") == F.col("t_key")
-    if by_pid:
-        same = same | (F.col("t_key").isNull() & (C.acting_pid(F.col("data")) == F.col("t_pid")))
-    near = F.col("event_ts").between(F.col("t_ts") - span, F.col("t_ts") + span) & (F.col("agent_id") == F.col("t_agent"))
-    return events.join(F.broadcast(t), near & same)
+def _target(target: DataFrame) -> Row | None:
+    """What is asked of the target, one row; its time as text."""
+    data = F.col("data")
+    return target.limit(1).select("id", F.col("event_ts").cast("string").alias("at"), F.col("process_context.process_key").alias("key"), C.acting_pid(data).alias("pid"), C.is_script_related(data).alias("script"), "agent_id").first()
 
 
-_OWN = ("t_id", "t_ts", "t_key", "t_pid", "t_script", "t_agent")
+def _around(events: DataFrame, t: Row | None, minutes: int, by_pid: bool) -> DataFrame:
+    """events of the target's process within the window, which are literals, so that a scan of the events is bounded by them."""
+    if t is None or t.at is None or t.agent_id is None or t.key is None and (not by_pid or t.pid is None):
+        return events.where(F.lit(False))
+    same = F.col("process_context.process_key") == t.key if t.key is not None else C.acting_pid(F.col("data")) == t.pid
+    at, span = F.lit(t.at).cast(events.schema["event_ts"].dataType), F.make_dt_interval(mins=F.lit(minutes))
+    return events.where(F.col("event_ts").between(at - span, at + span) & (F.col("agent_id") == t.agent_id) & same)
 
 
 def timeline(events: DataFrame, target: DataFrame, minutes: int = 5) -> DataFrame:
     """Events of the target's process, by key, or by acting pid where it has no key, within the minutes on either side."""
-    return _around(events, target, minutes, True).drop(*_OWN).orderBy("event_ts", "seq")
+    return _around(events, _target(target), minutes, True).orderBy("event_ts", "seq")
 
 
 def script_activity(events: DataFrame, target: DataFrame, minutes: int = 5) -> DataFrame:
     """The timeline's script blocks and scans; none unless the target has to do with scripts."""
-    rows = _around(events.where(C.is_script(F.col("data"))), target, minutes, True)
-    return rows.where("t_script").drop(*_OWN).orderBy("event_ts", "seq")
+    t = _target(target)
+    rows = _around(events, t if t is not None and t.script else None, minutes, True)
+    return rows.where(C.is_script(F.col("data"))).orderBy("event_ts", "seq")
 
 
 def script_counts(activity: DataFrame) -> DataFrame:
@@ -40,7 +42,9 @@ def script_counts(activity: DataFrame) -> DataFrame:
 
 def related(events: DataFrame, target: DataFrame, minutes: int = 5) -> DataFrame:
     """Events with the target's process key within the window, less the target."""
-    return _around(events, target, minutes, False).where("id <> t_id").drop(*_OWN).orderBy("event_ts", "seq")
+    t = _target(target)
+    rows = _around(events, t, minutes, False)
+    return (rows.where(F.col("id") != t.id) if t is not None else rows).orderBy("event_ts", "seq")
 
 
 def manifest(events: DataFrame, target: DataFrame, minutes: int = 5) -> DataFrame:

@@ -229,6 +229,31 @@ def lookup_key_window(spark, sf_dir):
     return _seqs(index.lookup(spark.read.parquet(path), "2024-01-02 00:00:00", "2024-02-20 00:00:00", pid=12))
 
 
+@_query("SELECT seq FROM v WHERE category = 'Network' AND severity_ord >= 2 AND source_type = 'sysmon' AND event_ts >= TIMESTAMP '2024-01-05 00:00:00' ORDER BY event_ts, seq LIMIT 100")
+def index_query(spark, sf_dir):
+    events, path = telemetry(spark, sf_dir), shared_path(spark, "index")
+    index.rebuild(events, path)
+    return _seqs(index.query(spark, path, events, category="network", severity="med", source="sysmon", since="2024-01-05 00:00:00"))
+
+
+@_query("SELECT seq, pid, type FROM v WHERE seq = 77")
+def index_event(spark, sf_dir):
+    """An event by its id, after an update that brings a third of the events again."""
+    events, path = telemetry(spark, sf_dir), shared_path(spark, "index")
+    index.rebuild(events.where("seq % 2 = 0"), path)
+    index.update(events.where("seq % 3 < 2"), path)
+    return index.event(spark, path, events, "e000000077").select("seq", "data.pid", "data.type")
+
+
+@_query("SELECT day, count(*) AS n FROM (SELECT CAST(event_ts AS DATE) AS day FROM v) GROUP BY day")
+def index_days(spark, sf_dir):
+    """Events a day in an index that was updated with all events, half of which it had."""
+    events, path = telemetry(spark, sf_dir), shared_path(spark, "index")
+    index.rebuild(events.where("seq % 2 = 0"), path)
+    index.update(events, path)
+    return spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"))
+
+
 # Statistics
 
 
