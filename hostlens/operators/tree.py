@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -136,16 +136,56 @@ def ancestors(edge: DataFrame, roots: DataFrame) -> DataFrame:
     return all_.join(edge.select("seq", "pid", "ppid"), "seq").select("root", "seq", "pid", "ppid", "depth")
 
 
-def nested(rows: DataFrame, edge: DataFrame, depth: int) -> DataFrame:
-    """Trees of descendants as nested structs, built from the deepest level up; `depth` levels."""
-    level = rows.join(edge.select("seq", "parent_seq", "event_ts", "image_path"), "seq")
-    below = None
-    for d in range(depth, -1, -1):
-        here = level.where(F.col("depth") == d).select("root", "seq", "parent_seq", "event_ts", "pid", "image_path")
-        if below is None:
-            here = here.withColumn("children", F.lit("[]"))
-        else:
-            made = below.groupBy("root", F.col("parent_seq").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("event_ts", "seq", "json"))).alias("c"))
-            here = here.join(made, ["root", "seq"], "left").withColumn("children", F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("c", F.array().cast("array<struct<event_ts:timestamp_ntz,seq:bigint,json:string>>")), lambda x: x["json"]), ","), F.lit("]")))
-        below = here.select("root", "seq", "parent_seq", "event_ts", F.concat(F.lit('{"pid":'), F.col("pid").cast("string"), F.lit(',"image":'), F.regexp_replace(F.to_json(F.array("image_path")), r"^\[|\]$", ""), F.lit(',"children":'), "children", F.lit("}")).alias("json"))
-    return below.select("root", "json")
+def _tour(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """The Euler tours of the trees: (root, seq, depth, leaves, far, has_children, is_first), a row where the tour enters a process and one where it leaves it.
+
+    far is the number of steps to the end of the root's tour, by doubled pointers: a tree of any depth and size
+    takes as many rounds as the tour's length has binary digits. Children go by time, then arrival; the next one
+    comes from a scan in segments, so that a process may have any number of them.
+    """
+    micros = F.coalesce(F.unix_micros(F.col("event_ts").cast("timestamp")), F.lit(-(2**62)))
+    at = rows.select("root", "seq", "depth").join(edge.select("seq", "parent_seq", micros.alias("at")), "seq")
+    at = at.withColumn("parent", F.when(F.col("depth") > 0, F.col("parent_seq"))).drop("parent_seq")
+    at = scan.running(at.withColumns({"late": -F.col("at"), "later": -F.col("seq")}), ["root", "parent"], ["late", "later"], {"next": scan.last(F.col("seq"), before=True)})
+    at = written(at.select("root", "seq", "depth", "parent", "at", F.when(F.col("depth") > 0, F.col("next")).alias("next")), "siblings")
+    first = at.where("parent IS NOT NULL").groupBy("root", F.col("parent").alias("seq")).agg(F.min_by("seq", F.struct("at", "seq")).alias("child"))
+    at = at.join(first, ["root", "seq"], "left").join(first.select("root", F.col("child").alias("seq"), F.lit(True).alias("is_first")), ["root", "seq"], "left")
+    at = written(at.withColumn("is_first", F.coalesce("is_first", F.lit(False))), "tour")
+
+    def stop(seq: str, leaves: bool) -> Column:
+        return F.struct(F.col("root").alias("root"), F.col(seq).alias("seq"), F.lit(leaves).alias("leaves"))
+
+    ends = F.col("depth") == 0
+    enter = at.select(stop("seq", False).alias("seq"), F.coalesce(F.when(F.col("child").isNotNull(), stop("child", False)), stop("seq", True)).alias("up"), F.lit(1).alias("dist"), F.lit(False).alias("done"))
+    leave = at.select(stop("seq", True).alias("seq"), F.when(ends, stop("seq", True)).when(F.col("next").isNotNull(), stop("next", False)).otherwise(stop("parent", True)).alias("up"), F.when(ends, 0).otherwise(1).alias("dist"), ends.alias("done"))
+    far = _jumped(enter.unionByName(leave)).select("seq.*", F.col("dist").alias("far"))
+    return far.join(at.select("root", "seq", "depth", F.col("child").isNotNull().alias("has_children"), "is_first"), ["root", "seq"])
+
+
+def preorder(rows: DataFrame, edge: DataFrame) -> DataFrame:
+    """Descendants (root, seq, depth) with their place in their root's tree from 1: a process, then its children's trees by time.
+
+    Where the tour enters a process, it has entered depth + 1 processes more than it has left.
+    """
+    tour = _tour(rows, edge).where("NOT leaves")
+    whole = tour.where("depth = 0").select("root", F.col("far").alias("length"))
+    place = ((F.col("length") - F.col("far") + F.col("depth") + 2) / 2).cast("long")
+    return tour.join(whole, "root").select("root", "seq", "depth", place.alias("place"))
+
+
+def as_json(rows: DataFrame, edge: DataFrame, events: DataFrame) -> DataFrame:
+    """Trees of descendants as JSON text, (root, json): each process with its facts and, where it has any, its children.
+
+    The text is what the tour says where it enters and leaves each process, sorted and joined; so it is of any
+    depth, but a tree's text is one value.
+    """
+    d = F.col("data")
+    time = F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    facts = F.to_json(F.struct(d["pid"].alias("pid"), d["ppid"].alias("ppid"), d["image_path"].alias("image_path"), d["command_line"].alias("command_line"), d["user"].alias("user"), time.alias("timestamp"), F.col("process_context.process_key").alias("process_key")))
+    told = events.where(d["type"] == "ProcessCreate").select("seq", F.regexp_replace(facts, r"\}$", "").alias("facts"))
+    tour = _tour(rows, edge).join(told, "seq")
+    comma = F.when(F.col("is_first") | (F.col("depth") == 0), "").otherwise(",")
+    enters = F.concat(comma, "facts", F.when(F.col("has_children"), ',"children":[').otherwise(""))
+    text = F.when(~F.col("leaves"), enters).when(F.col("has_children"), "]}").otherwise("}")
+    said = tour.groupBy("root").agg(F.sort_array(F.collect_list(F.struct((-F.col("far")).alias("at"), text.alias("text")))).alias("said"))
+    return said.select("root", F.array_join(F.transform("said", lambda x: x["text"]), "").alias("json"))

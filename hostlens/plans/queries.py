@@ -436,6 +436,28 @@ def tree_ancestors(spark, sf_dir):
     return tree.ancestors(edge, edge.where("pid = 7").select("seq"))
 
 
+_PLACES = """o AS (SELECT seq AS root, seq, 0 AS depth, [seq] AS path, [strftime(event_ts, '%Y%m%d%H%M%S%f') || lpad(CAST(seq AS VARCHAR), 12, '0')] AS k FROM e WHERE parent_seq IS NULL
+  UNION ALL SELECT o.root, e.seq, o.depth + 1, list_append(o.path, e.seq), list_append(o.k, strftime(e.event_ts, '%Y%m%d%H%M%S%f') || lpad(CAST(e.seq AS VARCHAR), 12, '0')) FROM o JOIN e ON e.parent_seq = o.seq WHERE NOT list_contains(o.path, e.seq)),
+p AS (SELECT root, seq, depth, row_number() OVER (PARTITION BY root ORDER BY k) AS place FROM o)"""
+_JSON = """q AS (SELECT p.*, lag(depth) OVER (PARTITION BY root ORDER BY place) AS before, lead(depth) OVER (PARTITION BY root ORDER BY place) AS after, '{"pid":' || pid || ',"ppid":' || ppid
+    || CASE WHEN image_path IS NULL THEN '' ELSE ',"image_path":' || CAST(to_json(image_path) AS VARCHAR) END || CASE WHEN command_line IS NULL THEN '' ELSE ',"command_line":' || CAST(to_json(command_line) AS VARCHAR) END || ',"user":"user"'
+    || ',"timestamp":"' || strftime(event_ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '"' || CASE WHEN process_key IS NULL THEN '' ELSE ',"process_key":' || CAST(to_json(process_key) AS VARCHAR) END AS facts
+  FROM p JOIN v USING (seq))"""
+
+
+@_query("SELECT root, seq, depth, place FROM p", f"{_EDGES}, {_PLACES}")
+def tree_preorder(spark, sf_dir):
+    edge = _edge_table(spark, sf_dir)
+    return tree.preorder(tree.descendants(edge, edge.where("parent_seq IS NULL").select("seq")), edge)
+
+
+@_query("""SELECT root, string_agg(CASE WHEN before >= depth THEN ',' ELSE '' END || facts || CASE WHEN after > depth THEN ',"children":[' ELSE '}' || repeat(']}', CAST(depth - coalesce(after, 0) AS INT)) END, '' ORDER BY place) AS json FROM q GROUP BY root""", f"{_EDGES}, {_PLACES}, {_JSON}")
+def tree_json(spark, sf_dir):
+    """Trees of all processes without a parent as JSON, at any depth."""
+    edge, events = _edge_table(spark, sf_dir), telemetry(spark, sf_dir)
+    return tree.as_json(tree.descendants(edge, edge.where("parent_seq IS NULL").select("seq")), edge, events)
+
+
 @_query("SELECT pid, max(seq) AS seq FROM v WHERE type = 'ProcessCreate' GROUP BY agent_id, pid")
 def latest_instance(spark, sf_dir):
     return tree.latest_instance(telemetry(spark, sf_dir)).select("pid", "seq")

@@ -139,8 +139,9 @@ def test_tree(events):
     assert sorted((r.pid, r.depth) for r in down.collect()) == [(1, 0), (2, 1), (2, 1), (3, 2), (4, 2)]
     up = tree.ancestors(edge, edge.where("pid = 4").select("seq"))
     assert [r.pid for r in up.orderBy("depth").collect()] == [4, 2, 1]
-    made = json.loads(tree.nested(down, edge, 2).first().json)
-    assert [c["image"] for c in made["children"]] == ["b", "d"] and made["children"][1]["children"][0]["pid"] == 4
+    made = json.loads(tree.as_json(down, edge, rows).first().json)
+    assert [c["image_path"] for c in made["children"]] == ["b", "d"] and made["children"][1]["children"][0]["pid"] == 4
+    assert "children" not in made["children"][0]["children"][0] and made["ppid"] == 0 and made["timestamp"].startswith("2026-03-13T10:00:00")
     assert {r.pid: r.seq - first for r in tree.latest_instance(rows).collect()}[2] == 3
 
 

@@ -1,5 +1,6 @@
 """Trees against a walk in plain Python: deep chains, many roots, roots below roots, cycles."""
 
+import json
 import random
 
 import pytest
@@ -69,6 +70,55 @@ def test_a_chain_of_a_thousand(spark):
     assert sorted(r.depth for r in tree.ancestors(edge, marked).collect()) == list(range(1000))
 
 
+def plain_preorder(parents, times, roots):
+    below = {}
+    for seq in sorted(parents, key=lambda s: (times[s], s)):
+        below.setdefault(parents[seq], []).append(seq)
+    out = []
+    for root in roots:
+        todo, seen, place = [(root, 0)], {root}, 0
+        while todo:
+            seq, depth = todo.pop()
+            place += 1
+            out.append((root, seq, depth, place))
+            children = [c for c in below.get(seq, []) if c not in seen]
+            seen |= set(children)
+            todo += [(c, depth + 1) for c in reversed(children)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_preorder_and_text_of_random_trees(spark, seed):
+    rng = random.Random(seed)
+    parents = {i: None if rng.random() < 0.1 else max(0, i - rng.randrange(1, 9)) for i in range(1, 120)} | {0: None}
+    times = {i: rng.randrange(6) for i in parents}
+    edge, marked = frames(spark, parents, [i for i, p in parents.items() if p is None] + [50, 51])
+    edge = edge.withColumn("event_ts", F.timestamp_seconds(F.element_at(F.create_map(*[F.lit(x) for pair in times.items() for x in pair]), F.col("seq").cast("int"))).cast("timestamp_ntz"))
+    down = tree.descendants(edge, marked)
+    roots = {r.seq for r in marked.collect()}
+    assert sorted(map(tuple, tree.preorder(down, edge).collect())) == plain_preorder(parents, times, roots)
+    events = edge.select("seq", "event_ts", F.struct(F.lit("ProcessCreate").alias("type"), "pid", "ppid", F.lit('a "b"').alias("image_path"), F.lit(None).cast("string").alias("command_line"), F.lit("u").alias("user")).alias("data"), F.struct(F.col("pkey").alias("process_key")).alias("process_context"))
+    texts = {r.root: json.loads(r.json) for r in tree.as_json(down, edge, events).collect()}
+
+    def listed(node, depth=0):
+        yield node["pid"] - 10, depth
+        for child in node.get("children", []):
+            yield from listed(child, depth + 1)
+
+    for root in roots:
+        assert list(listed(texts[root])) == [(s, d) for r, s, d, _ in sorted(plain_preorder(parents, times, [root]), key=lambda x: x[3])]
+
+
+def test_a_chain_of_a_thousand_as_text(spark):
+    parents = {0: None} | {i: i - 1 for i in range(1, 1000)}
+    edge, marked = frames(spark, parents, [0])
+    down = tree.descendants(edge, marked)
+    assert [r.seq for r in tree.preorder(down, edge).orderBy("place").collect()] == list(range(1000))
+    events = edge.select("seq", "event_ts", F.struct(F.lit("ProcessCreate").alias("type"), "pid", "ppid", "image_path", F.lit("").alias("command_line"), F.lit("u").alias("user")).alias("data"), F.struct(F.col("pkey").alias("process_key")).alias("process_context"))
+    text = tree.as_json(down, edge, events).first().json
+    assert text.count('"children":[') == 999 and text.endswith("}" + "]}" * 999)
+
+
 def test_over_a_million_rows(spark):
     """A third are roots, the others hang below them by one or two steps."""
     seq = F.col("id")
