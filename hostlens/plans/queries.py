@@ -19,7 +19,7 @@ from ..sources import executables, index, jsonl, normalise, sinks
 from ..sources.rules import Rules
 from ..sources.scratch import shared_path, written
 from ..sources.telemetry import VIEW, flat, telemetry
-from ..streaming import jobs
+from ..streaming import jobs, outbox
 from . import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -666,6 +666,22 @@ def alert_backtest(spark, sf_dir):
     return arrival.backtest(telemetry(spark, sf_dir), RULES)
 
 
+def _accept(alerts: list[dict]) -> None:
+    """Stands for a webhook that fails for every third event."""
+    if alerts[0]["seq"] % 3 == 0:
+        raise OSError("refused")
+
+
+@_query("SELECT seq, alert_type, seq % 3 <> 0 AS sent, CASE WHEN seq % 3 = 0 THEN 2 ELSE 1 END AS attempts FROM alerts", _alerts("event_ts, seq"))
+def alert_outbox(spark, sf_dir):
+    """A micro-batch of alerts that runs twice: what was sent is not posted again, what failed is."""
+    alerts, place = written(arrival.backtest(telemetry(spark, sf_dir), RULES), "alerts"), shared_path(spark, "outbox")
+    for _ in range(2):
+        outbox.post_once(alerts, 0, _accept, place)
+    of = lambda name: F.get_json_object("alert", f"$.{name}")
+    return outbox.states(outbox.records(spark, place)).select(of("seq").cast("long").alias("seq"), of("alert_type").alias("alert_type"), "sent", "attempts")
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The telemetry as files that a stream reads."""
     path = shared_path(spark, "telemetry")

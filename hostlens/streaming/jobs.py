@@ -14,6 +14,7 @@ from ..operators.filters import event_filter
 from ..sources import sinks
 from ..sources.scratch import shared_path
 from .alerts import stream_alerts  # noqa: F401
+from .outbox import post_once
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -69,29 +70,17 @@ def run_to_end(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def follow_alerts(alerts: DataFrame, post: str | Callable[[list[dict]], None], checkpoint: str, to_end: bool = False, **options):
+def follow_alerts(alerts: DataFrame, post: str | Callable[[list[dict]], None], checkpoint: str, to_end: bool = False, outbox: str | None = None, **options):
     """Starts a query that posts each alert to a URL (options are those of sinks.webhook), or gives it to a function.
 
-    Partitions go side by side; failures are counted, not raised. With to_end it ends after what is there.
+    Partitions go side by side. What was posted and what failed is in an outbox (a folder beside the checkpoint
+    unless given): a micro-batch that runs again posts only what was not, and outbox.resend() sends failures
+    again. With to_end it ends after what is there.
     """
     if isinstance(post, str):
         post = sinks.webhook(post, **options)
-
-    def batch(rows: DataFrame, number: int) -> None:
-        failed = rows.sparkSession.sparkContext.accumulator(0)
-
-        def send(part) -> None:
-            for row in part:
-                try:
-                    post([row.asDict()])
-                except Exception:  # noqa: BLE001  a webhook that fails must not stop the alerts
-                    failed.add(1)
-
-        rows.foreachPartition(send)
-        if failed.value:
-            print(f"batch {number}: {failed.value} alerts could not be posted")
-
-    writer = alerts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    place = outbox or f"{checkpoint.rstrip('/')}-outbox"
+    writer = alerts.writeStream.foreachBatch(lambda rows, number: post_once(rows, number, post, place)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if to_end else writer).start()
 
 
