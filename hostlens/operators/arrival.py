@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..sources.rules import Rules
 from ..sources.scratch import written
+from . import scan
 
 
 # Enrichment
@@ -132,37 +133,120 @@ def passing(at: np.ndarray, last: float | None, wait: float) -> tuple[np.ndarray
     return keep, last
 
 
+def last_passes(at: np.ndarray, wait: float) -> tuple[np.ndarray, np.ndarray]:
+    """How the last pass before a key's rows decides on the last pass in them: (bounds, ends), both rising.
+
+    A last pass t leads to the end of the first bound that is `wait` or more after it, or stays where there is none;
+    no pass before leads to the first end. A pass stands at a new maximum, and so does the next one after it; the
+    passes that follow from each are found by doubled jumps.
+    """
+    most = np.maximum.accumulate(at)
+    tops = at[np.append(True, at[1:] > most[:-1])]
+    here = np.arange(len(tops))
+    # One place back, as the sum may be rounded where the difference is not.
+    following = np.maximum(np.searchsorted(tops, tops + wait) - 1, here + 1)
+    while len(short := np.flatnonzero((following < len(tops)) & (tops[np.minimum(following, len(tops) - 1)] - tops < wait))):
+        following[short] += 1
+    jump = np.where(following < len(tops), following, here)
+    while not np.array_equal(further := jump[jump], jump):
+        jump = further
+    ends = tops[jump]
+    last = np.append(ends[1:] != ends[:-1], True)
+    return tops[last], ends[last]
+
+
+_SUMMARY = "segment int, first_key string, last_key string, bounds binary, ends binary"
+
+
+def _runs(batch: pa.RecordBatch) -> list[int]:
+    """Where runs of one key start, and the end."""
+    x = batch.column("cooled_key")
+    return [0, *(np.flatnonzero(np.asarray(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)))) + 1).tolist(), len(x)]
+
+
+def _fold(wait: float):
+    """A segment's summary: its first and last key, and what the last key's rows do to a last pass."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, first, key, held = None, None, None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, at = _runs(batch), np.asarray(batch.column("cooled_at"))
+            if segment is None:
+                segment, first = batch.column("segment")[0].as_py(), batch.column("cooled_key")[0].as_py()
+            for i, j in zip(starts, starts[1:]):
+                if (now := batch.column("cooled_key")[i].as_py()) != key:
+                    key, held = now, []
+                held.append(at[i:j])
+        if segment is not None:
+            bounds, ends = last_passes(np.concatenate(held), wait)
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "first_key": [first], "last_key": [key], "bounds": [bounds.tobytes()], "ends": [ends.tobytes()]})
+
+    return of
+
+
+def _carried(wait: float):
+    """Summaries in order as (segment, carried): the last pass of the segment's first key before it."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            rows = []
+            for segment, first, now, bounds, ends in zip(*(batch.column(c).to_pylist() for c in ("segment", "first_key", "last_key", "bounds", "ends"))):
+                carried = last if first == key else None
+                rows.append((segment, carried))
+                bounds, ends = np.frombuffer(bounds), np.frombuffer(ends)
+                if carried is None or first != now:
+                    last = float(ends[0])
+                else:
+                    later = np.flatnonzero(bounds - carried >= wait)
+                    last = float(ends[later[0]]) if len(later) else carried
+                key = now
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.float64())], ["segment", "carried"])
+
+    return of
+
+
 def cooled(rows: DataFrame, cooldown: float, key: list[str] | None = None, order: list[str] | None = None, time: Column | None = None) -> DataFrame:
     """Rows that stay when each key waits `cooldown` seconds after a row that passed; rows held back don't count.
 
-    The order is by event_ts and seq, and the time event_ts, unless given. Rows are dealt by key and sorted, and
-    stream through with the last time that passed.
+    The order is by event_ts and seq, and the time event_ts, unless given. Rows are cut into segments by a range
+    sort by key and order, so a key of very many rows is many segments. Each is folded to what it does to the last
+    pass before it; these summaries are composed one after another, and each segment is walked from the pass
+    that is carried into it.
     """
-    keys = key or ["agent_id", "dedup"]
-    names = rows.columns
-    timed = rows.withColumn("cooled_at", seconds(F.col("event_ts")) if time is None else time)
+    keys, names = key or ["agent_id", "dedup"], rows.columns
+    timed = rows.withColumns({"cooled_at": seconds(F.col("event_ts")) if time is None else time, "cooled_key": F.to_json(F.struct(*keys))})
+    sort = ["cooled_key", *(order or ["cooled_at", "seq"])]
+    placed = scan.segmented(timed, sort, "cooldown")
+    count = (placed.agg(F.max("segment")).first()[0] or 0) + 1
+    dealt = placed.repartitionById(count, "segment").sortWithinPartitions(*sort)
+    if count > 1:
+        folded = dealt.select("segment", "cooled_key", "cooled_at").mapInArrow(_fold(cooldown), _SUMMARY)
+        carried = written(folded.coalesce(1).sortWithinPartitions("segment").mapInArrow(_carried(cooldown), "segment int, carried double"), "carried")
+        placed = placed.join(F.broadcast(carried), "segment", "left")  # a row for each segment
+        dealt = placed.repartitionById(count, "segment").sortWithinPartitions(*sort)
+    else:
+        dealt = dealt.withColumn("carried", F.lit(None).cast("double"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                x = batch.column(k)
-                here, back = x.slice(1), x.slice(0, len(x) - 1)
-                new[1:] |= np.asarray(pc.fill_null(pc.not_equal(here, back), False)) | (np.asarray(here.is_null()) != np.asarray(back.is_null()))
-            starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-            at, keep = np.asarray(batch.column("cooled_at")), np.zeros(batch.num_rows, bool)
+            starts, at, keep = _runs(batch), np.asarray(batch.column("cooled_at")), np.zeros(batch.num_rows, bool)
             for i, j in zip(starts, starts[1:]):
-                mine = tuple(batch.column(k)[i].as_py() for k in keys) if i == 0 or j == batch.num_rows else None
-                if i or mine != held:
+                mine = batch.column("cooled_key")[i].as_py() if i == 0 or j == batch.num_rows else None
+                if held is None and i == 0:
+                    last = batch.column("carried")[0].as_py()
+                elif i or mine != held:
                     last = None
                 keep[i:j], last = passing(at[i:j], last, cooldown)
             held = mine
             yield batch.filter(pa.array(keep)).select(names)
 
-    return timed.repartition(*keys).sortWithinPartitions(*keys, *(order or ["cooled_at", "seq"])).mapInArrow(walk, rows.schema)
+    return dealt.mapInArrow(walk, rows.schema)
 
 
 ALERTS = "seq long, alert_type string, rule string, severity string, mitre string, pkey string, pid long, image string, detail string, score long, at double"

@@ -131,3 +131,37 @@ def test_state_writes_do_not_grow_with_an_agents_age(events, batches):  # noqa:
     writes = [sum(o["numRowsUpdated"] for o in p["stateOperators"]) for p in progress]
     total = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress]
     assert len(writes) == 4 and total[-1] >= 160 and max(writes[1:]) <= writes[0]
+
+
+@pytest.mark.parametrize("wait", [0, 1, 7, 60])
+def test_last_passes_against_passing(wait):
+    rng = random.Random(wait)
+    for n in (1, 2, 9, 300):
+        at = np.array([rng.randrange(200) + rng.choice((0, 0.1, 0.3)) for _ in range(n)])
+        bounds, ends = arrival.last_passes(at, wait)
+        assert (np.diff(bounds) > 0).all() and (np.diff(ends) > 0).all()
+        assert arrival.passing(at, None, wait)[1] == ends[0]
+        for last in [rng.randrange(-80, 210) + 0.2 for _ in range(40)]:
+            later = np.flatnonzero(bounds - last >= wait)
+            assert arrival.passing(at, last, wait)[1] == (ends[later[0]] if len(later) else last)
+
+
+def test_one_hot_key_is_cooled_in_many_tasks(spark):
+    """Nine of ten rows have one key; each segment is a task, and the rows that pass are those of one walk."""
+    rng = random.Random(7)
+    rows = [("hot" if rng.random() < 0.9 else f"k{rng.randrange(5)}", i, float(i // 3 + rng.choice([0, 0, 9, -4]))) for i in range(6000)]
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(rows, "agent_id string, seq long, at double").withColumn("dedup", F.lit(None).cast("string")).repartition(3)
+        for wait in (0, 5, 40, 5000):
+            got = arrival.cooled(table, wait, order=["seq"], time=F.col("at"))
+            want = []
+            for key in {r[0] for r in rows}:
+                mine = [r for r in rows if r[0] == key]
+                want += [r[1] for r, keep in zip(mine, arrival.passing(np.array([r[2] for r in mine]), None, wait)[0]) if keep]
+            assert sorted(r.seq for r in got.collect()) == sorted(want)
+        tasks = arrival.cooled(table, 0, order=["seq"], time=F.col("at")).where("agent_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 2500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
