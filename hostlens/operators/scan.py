@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from ..sources.scratch import written
 
 
+_FOLDS = {"most": F.max, "total": F.sum}
+
+
 @dataclass(frozen=True)
 class Running:
-    """The last or the largest value (not null) of a column so far; `before` leaves the row itself out."""
+    """The last or the largest value (not null) of a column so far, or the sum; `before` leaves the row itself out."""
 
     column: Column
     kind: str = "last"
@@ -26,7 +29,7 @@ class Running:
 
     def over(self, value: Column, window) -> Column:
         frame = window.rowsBetween(Window.unboundedPreceding, -1 if self.before else Window.currentRow)
-        return (F.max(value) if self.kind == "most" else F.last(value, ignorenulls=True)).over(frame)
+        return (F.last(value, ignorenulls=True) if self.kind == "last" else _FOLDS[self.kind](value)).over(frame)
 
 
 def last(column: Column, before: bool = False) -> Running:
@@ -37,6 +40,10 @@ def most(column: Column, before: bool = False) -> Running:
     return Running(column, "most", before)
 
 
+def total(column: Column, before: bool = False) -> Running:
+    return Running(column, "total", before)
+
+
 def segmented(rows: DataFrame, order: list[str], name: str = "segments") -> DataFrame:
     """rows in a written table with `segment`, which rises with the order; a segment is a partition of the range sort."""
     return written(rows.repartitionByRange(*order).withColumn("segment", F.spark_partition_id()), name)
@@ -52,10 +59,10 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     placed = segmented(rows.withColumns({held[n]: v.column for n, v in values.items()}), order)
     count = (placed.agg(F.max("segment")).first()[0] or 0) + 1
     at = F.struct(*order)
-    folds = [F.max(held[n]).alias(held[n]) if v.kind == "most" else F.max_by(held[n], F.when(F.col(held[n]).isNotNull(), at)).alias(held[n]) for n, v in values.items()]
+    folds = [_FOLDS[v.kind](held[n]).alias(held[n]) if v.kind in _FOLDS else F.max_by(held[n], F.when(F.col(held[n]).isNotNull(), at)).alias(held[n]) for n, v in values.items()]
     ends = placed.groupBy("segment", *keys).agg(*folds)
     earlier = Window.partitionBy(*keys).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    brought = ends.select("segment", *keys, *[(F.max(c) if v.kind == "most" else F.last(c, ignorenulls=True)).over(earlier).alias(c) for c, v in zip(held.values(), values.values())])
+    brought = ends.select("segment", *keys, *[(_FOLDS[v.kind](c) if v.kind in _FOLDS else F.last(c, ignorenulls=True)).over(earlier).alias(c) for c, v in zip(held.values(), values.values())])
     brought = brought.where(" OR ".join(f"{c} IS NOT NULL" for c in held.values()))
     both = placed.withColumn("scan_row", F.lit(1)).unionByName(brought.withColumn("scan_row", F.lit(0)), allowMissingColumns=True)
     inside = Window.partitionBy("segment", *keys).orderBy("scan_row", *order)

@@ -7,11 +7,15 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import scan
+from .scratch import dropped, written
+
 
 def http_batches(lines: DataFrame, size: int = 100, per_task: int = 10_000) -> DataFrame:
     """JSON lines (seq, value) as JSON arrays of up to `size`: (batch, n, body).
@@ -72,22 +76,21 @@ def post_batches(batches: DataFrame, url: str, **options) -> DataFrame:
 def dead_letters(failed: DataFrame, cap_bytes: int = 256_000_000, spools: int = 1) -> DataFrame:
     """Failed batches (batch, body) that fit under a cap, in order; one that is refused takes no room.
 
-    Each of `spools` (an agent's, say, by `batch` modulo) fills on its own.
+    Each of `spools` (an agent's, say, by `batch` modulo) fills on its own, and none is one task: a round takes
+    what fits by sums so far, which are a scan in segments, then drops what is larger than the room that is left, as
+    it can fit no more; rounds end when nothing is left to look at. Sizes alone go through the rounds.
     """
     rows = failed.withColumn("spool", F.pmod("batch", F.lit(spools))).withColumn("bytes", F.octet_length("body").cast("long"))
-    slim = rows.select("spool", "batch", "bytes")
-
-    def fill(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spool, used = None, 0
-        for frame in frames:
-            kept = []
-            for s, batch, n in zip(frame["spool"], frame["batch"], frame["bytes"]):
-                if s != spool:
-                    spool, used = s, 0
-                if used + n <= cap_bytes:
-                    used += n
-                    kept.append((batch, used))
-            yield pd.DataFrame(kept, columns=["batch", "used"]).astype("int64")
-
-    fits = slim.repartition("spool").sortWithinPartitions("spool", "batch").mapInPandas(fill, "batch long, used long")
+    left = written(rows.select("spool", "batch", "bytes", F.lit(0).cast("long").alias("used")), "waiting")
+    taken = []
+    while not left.isEmpty():
+        sums = written(scan.running(left, ["spool"], ["batch", "bytes"], {"so_far": scan.total(F.col("bytes"))}), "sums")
+        fits = F.col("used") + F.col("so_far") <= cap_bytes
+        taken.append(sums.where(fits).select("batch", (F.col("used") + F.col("so_far")).alias("used")))
+        now = sums.groupBy("spool").agg(F.max(F.when(fits, F.col("used") + F.col("so_far"))).alias("now"))
+        rest = sums.where(~fits).join(now, "spool").withColumn("used", F.coalesce("now", "used"))
+        after = written(rest.where(F.col("bytes") <= cap_bytes - F.col("used")).select("spool", "batch", "bytes", "used"), "waiting")
+        dropped(left)
+        left = after
+    fits = reduce(DataFrame.unionByName, taken) if taken else left.select("batch", "used")
     return rows.join(fits, "batch").select("spool", "batch", "bytes", "used", "body")
