@@ -295,14 +295,16 @@ def repeated_intervals(docs: DataFrame, length: int = LENGTH, flush: int = FLUSH
 
     A window repeats if an equal one has a smaller (id, start). Intervals of a row may touch where its
     places do. `flush` windows at a time are held by a task that sends, the windows of `bucket` bytes of
-    text by one that counts; on much larger data both may grow with the executors.
+    text by one that counts (there are at least as many as shuffle partitions); on much larger data both may
+    grow with the executors.
     """
     small_batches()
     size = docs.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    buckets = max(1, -(-size // bucket))
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket))
     sent = docs.mapInArrow(_send(length, buckets, flush), _SCHEMA)
-    judged = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_judge(buckets), _SCHEMA)
-    merged = judged.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merge(length), "id long, mark int, start long, end long")
+    # A bucket is a task, and so is a place where repeats merge; places come after the buckets.
+    judged = sent.repartitionById(2 * buckets, "bucket").mapInArrow(_judge(buckets), _SCHEMA)
+    merged = judged.repartitionById(buckets, F.col("bucket") - buckets).mapInArrow(_merge(length), "id long, mark int, start long, end long")
     return written(merged, "repeats")
 
 
