@@ -231,10 +231,9 @@ class Scanner:
             for template, place in self.automaton.ends[state] if length >= SHORTEST_IN_LONG else self.brief[state]:
                 if template < self.n_templates:
                     by.setdefault(template, []).append((end, length, place))
-        out = []
-        for template, pieces in by.items():
-            out += [(template, *span) for span in self._spans(sorted(pieces), len(self.sequences[template]))]
-        return sorted(((self.names[t], a, b, c) for t, a, b, c in out if not self._beaten(t, a, b, c, out)), key=lambda s: (s[1], s[2], s[0]))
+        spans = {t: self._spans(sorted(pieces), len(self.sequences[t])) for t, pieces in by.items()}
+        whole = {t: mine for t, mine in spans.items() if t >= self.n_short and mine}
+        return sorted(((self.names[t], *span) for t, mine in spans.items() for span in mine if not self._beaten(t, *span, whole)), key=lambda s: (s[1], s[2], s[0]))
 
     def _spans(self, pieces: list[tuple[int, int, int]], total: int) -> list[tuple[int, int, float]]:
         """Spans of one template's matches (end, words, end in the template): chains that cover the most words, in order in both."""
@@ -268,10 +267,21 @@ class Scanner:
                 used.update(chain)
         return out
 
-    def _beaten(self, template: int, first: int, end: int, share: float, spans: list[tuple[int, int, int, float]]) -> bool:
-        """Whether over half of a whole licence's span another whole licence covers more words: of versions the one that fits stays."""
-        mine = share * len(self.sequences[template])
-        return template >= self.n_short and any(t >= self.n_short and 2 * (min(end, b) - max(first, a)) > end - first and c * len(self.sequences[t]) > mine for t, a, b, c in spans)
+    def _beaten(self, template: int, first: int, end: int, share: float, whole: dict[int, list[tuple[int, int, float]]]) -> bool:
+        """Whether over half of a whole licence's span another whole licence covers more words: of versions the one that fits stays.
+
+        A licence's spans are in order and apart, so of each only the one over the middle can share so much.
+        """
+        if template < self.n_short:
+            return False
+        mine, middle = share * len(self.sequences[template]), (first + end) / 2
+        for t, spans in whole.items():
+            at = bisect(spans, (middle, float("inf"), 2.0)) - 1
+            if at >= 0:
+                a, b, c = spans[at]
+                if 2 * (min(end, b) - max(first, a)) > end - first and c * len(self.sequences[t]) > mine:
+                    return True
+        return False
 
     def scan(self, texts: list[bytes]) -> list[tuple]:
         hashes, first = word_hashes(texts)

@@ -96,3 +96,37 @@ def test_hostile_texts_end_soon():
     start = time.time()
     found.scan([("under the terms of the gnu general public license as published by the free software foundation " * 10_000).encode(), ("all rights reserved " * 50_000).encode()])
     assert time.time() - start < 30
+
+
+def test_many_licences_in_one_text():
+    """A licence over and over: twice the text takes about twice the time, and each place is found."""
+    import time
+
+    found = licenses.Scanner([*licenses.TEMPLATES, *licenses.whole_texts()], n_short=len(licenses.TEMPLATES))
+    mit = dict(licenses.whole_texts())["mit"]
+    took = []
+    for copies in (500, 4000):
+        start = time.time()
+        row = found.scan([((mit + " zz ") * copies).encode()])[0]
+        took.append(time.time() - start)
+        assert sum(s["label"] == "mit" for s in row[7]) == copies
+    assert took[1] < 24 * took[0] + 1
+
+
+def test_of_versions_the_middle_decides():
+    rng = random.Random(5)
+    found = licenses.Scanner([*licenses.TEMPLATES, *licenses.whole_texts()], n_short=len(licenses.TEMPLATES))
+    whole = dict(enumerate([len(s) for s in found.sequences[: found.n_templates]]))
+    for _ in range(300):
+        spans = {}
+        for t in rng.sample(range(found.n_short, found.n_templates), 4):
+            at, mine = rng.randrange(40), []
+            for _ in range(rng.randrange(1, 5)):
+                size = rng.randrange(1, 60)
+                mine.append((at, at + size, rng.random()))
+                at += size + rng.randrange(30)
+            spans[t] = mine
+        flat = [(t, *s) for t, mine in spans.items() for s in mine]
+        for t, a, b, c in flat:
+            want = any(2 * (min(b, y) - max(a, x)) > b - a and z * whole[u] > c * whole[t] for u, x, y, z in flat)
+            assert found._beaten(t, a, b, c, spans) == want
