@@ -41,6 +41,8 @@ TABLE_PARTS = frozenset("table tr td th thead tbody tfoot caption".split())
 WIDEST = 40
 #: Tables nested deeper than this are laid out as blocks, a cell under another, so that no line is padded again at each level.
 DEEPEST = 8
+#: Times the text of a row that its aligned lines may take, beside FREE characters that any row has.
+SPREAD, FREE = 8, 2000
 
 
 class Flow:
@@ -87,7 +89,11 @@ class Table:
         self.rows: list[list[str]] = []
 
     def lines(self) -> list[str]:
-        """Rows with their cells aligned; a cell's lines stand under one another, cells over 40 wide push the rest."""
+        """Rows with their cells aligned; a cell's lines stand under one another, cells over 40 wide push the rest.
+
+        A row that would be blank for the most part, as one cell is tall and many are beside it, has its cells one
+        under another, so that lines never take over SPREAD times the text of their row.
+        """
         columns = max((len(r) for r in self.rows), default=0)
         if columns <= 1:
             return [x for r in self.rows for c in r for x in c.split("\n") if x]
@@ -95,7 +101,11 @@ class Table:
         widths = [min(WIDEST, max((len(x) for r in cells if k < len(r) for x in r[k]), default=0)) for k in range(columns)]
         out = []
         for row in cells:
-            for i in range(max(len(c) for c in row)):
+            height, across = max(len(c) for c in row), sum(widths[: len(row)]) + 3 * len(row)
+            if height * across > SPREAD * (sum(len(x) + 1 for c in row for x in c) + FREE):
+                out += [x for c in row for x in c if x]
+                continue
+            for i in range(height):
                 out.append(" | ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, widths)).rstrip())
         return out
 
@@ -350,7 +360,8 @@ def pages_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page has an empty text. Rows alike each have their row; an empty table gives none.
     Unclosed comments end where the page ends; an unclosed tag is text. Time and text grow in proportion to
-    the page, whatever it nests or leaves open.
+    the page, whatever it nests or leaves open: a row of a table whose lines would be blank for the most part,
+    and tables nested over 8 deep, are laid out as blocks, and a cell spans at most 100 columns; no text is lost.
     """
     rows = pages.select("page_id", "url", extracted(F.col("html")).alias("text"))
     lines = F.when(F.col("text") == "", F.lit(0)).otherwise(F.regexp_count("text", F.lit("\n")) + 1)

@@ -154,3 +154,16 @@ class Plain:
 def test_against_a_plain_renderer_of_trees(seed):
     source, lines = Plain(seed).blocks(3)
     assert visible_text(f"<html><head><title>no</title></head><body>{source}</body></html>") == "\n".join(lines)
+
+
+def test_a_tall_cell_beside_many_cells_grows_with_the_page():
+    """A row of n cells and one of n lines: the text grows as the page does, and none of it is lost."""
+    sizes = []
+    for n in (1000, 2000, 4000):
+        page = "<table><tr>" + "<td>" * n + "<td>" + "a<br>" * n + "<td>end"
+        text = visible_text(page)
+        assert text.count("a") == n and text.endswith("end")
+        sizes.append(len(text))
+    assert sizes[2] < 5 * sizes[0] and sizes[2] < 36_000
+    small = visible_text("<table><tr><td>one<td>a<br>b<td>x<tr><td>2<td>c<td>y")
+    assert small == "one | a | x\n    | b |\n2   | c | y"
