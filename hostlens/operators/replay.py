@@ -32,10 +32,13 @@ def replay_places(events: DataFrame) -> DataFrame:
 def replay_gaps(events: DataFrame, speed: float = 1.0) -> DataFrame:
     """Events with gap_us, the microseconds since the agent's event before, divided by the speed (null for its first).
 
-    The event before comes from a scan in segments, so an agent of any number of events is spread.
+    The event before comes from a scan in segments, so an agent of any number of events is spread. Only times go
+    through the scan; the gaps are joined to the events by seq, which no two events share.
     """
     if speed <= 0:
         raise ValueError("speed must be above 0")
-    rows = scan.running(events, ["agent_id"], ["event_ts", "seq"], {"gap_us": scan.last(F.struct("event_ts"), before=True)})
-    micros = F.timestamp_diff("MICROSECOND", F.col("gap_us.event_ts"), F.col("event_ts"))
-    return rows.withColumn("gap_us", F.floor(micros / F.lit(speed)).cast("long"))
+    times = events.select("agent_id", "event_ts", "seq")
+    rows = scan.running(times, ["agent_id"], ["event_ts", "seq"], {"before": scan.last(F.struct("event_ts"), before=True)})
+    micros = F.timestamp_diff("MICROSECOND", F.col("before.event_ts"), F.col("event_ts"))
+    gaps = rows.select("seq", F.floor(micros / F.lit(speed)).cast("long").alias("gap_us"))
+    return events.join(gaps, "seq").select(*events.columns, "gap_us")

@@ -58,6 +58,10 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     held = {name: f"scan_{i}" for i, name in enumerate(values)}
     placed = segmented(rows.withColumns({held[n]: v.column for n, v in values.items()}), order)
     count = (placed.agg(F.max("segment")).first()[0] or 0) + 1
+    inside = Window.partitionBy("segment", *keys).orderBy("scan_row", *order)
+    if count == 1:  # nothing is brought into a first segment
+        only = placed.withColumn("scan_row", F.lit(1))
+        return only.withColumns({n: v.over(F.col(held[n]), inside) for n, v in values.items()}).select(*columns, *values)
     at = F.struct(*order)
     folds = [_FOLDS[v.kind](held[n]).alias(held[n]) if v.kind in _FOLDS else F.max_by(held[n], F.when(F.col(held[n]).isNotNull(), at)).alias(held[n]) for n, v in values.items()]
     ends = placed.groupBy("segment", *keys).agg(*folds)
@@ -65,6 +69,5 @@ def running(rows: DataFrame, keys: list[str], order: list[str], values: dict[str
     brought = ends.select("segment", *keys, *[(_FOLDS[v.kind](c) if v.kind in _FOLDS else F.last(c, ignorenulls=True)).over(earlier).alias(c) for c, v in zip(held.values(), values.values())])
     brought = brought.where(" OR ".join(f"{c} IS NOT NULL" for c in held.values()))
     both = placed.withColumn("scan_row", F.lit(1)).unionByName(brought.withColumn("scan_row", F.lit(0)), allowMissingColumns=True)
-    inside = Window.partitionBy("segment", *keys).orderBy("scan_row", *order)
     out = both.repartitionById(count, "segment").withColumns({n: v.over(F.col(held[n]), inside) for n, v in values.items()})
     return out.where("scan_row = 1").select(*columns, *values)
