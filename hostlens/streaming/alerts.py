@@ -3,14 +3,19 @@
 Families, by (agent, pid), find suspicious children: the pid's process and the children that wait for it.
 Cooldowns, by (agent, what is held back), keep the time of the last alert that passed. Scores, by (agent,
 process), count what a process has done, its addresses and names in maps. What one event decides by
-itself is a projection before them. A micro-batch writes the entries that its events touch, however
-many an agent has.
+itself is a projection before them. Keys are entries of maps, BUCKETS of which go to a step one at a time,
+so a step is called for a bucket's rows and not for each of very many keys. A micro-batch reads and writes
+the entries that its events touch, however many there are.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Iterator
+from itertools import groupby
+from operator import attrgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +27,8 @@ from ..sources.rules import Rules
 
 _SPAWNED = "seq long, ord int, at double, about double, pkey string, pid long, image string, detail string"
 _ALERT = "pkey string, seq long, ord int, at double, about double, alert_type string, rule string, severity string, mitre string, pid long, image string, detail string, spawned boolean, passed boolean"
+#: Groups that the keys of a step are dealt to by their hash; state holds it, so it stays as it is.
+BUCKETS = 1024
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,10 +36,14 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def _sorted(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    """The rows of a key in a micro-batch in order, with None for nulls."""
-    rows = pd.concat(list(frames)).sort_values(order, kind="stable")
-    return rows.astype(object).where(rows.notna(), None)
+def _sorted(frames: Iterator[pd.DataFrame], order: list[str]) -> list[tuple]:
+    """The rows of a bucket in a micro-batch as named tuples in order, nulls first, with None for nulls."""
+    rows = []
+    for frame in frames:
+        columns = [[None if v != v else v for v in c.tolist()] if c.dtype.kind == "f" else c.tolist() for _, c in frame.items()]
+        rows += map(namedtuple("Row", frame.columns)._make, zip(*columns))
+    of = attrgetter(*order)
+    return sorted(rows, key=lambda r: [x for v in of(r) for x in (v is not None, v)])
 
 
 def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
@@ -44,25 +55,43 @@ class Families(StatefulProcessor):
     """The process of a pid and the suspicious children that came before it; gives a row for each child of a suspicious parent.
 
     A child is judged by the process that its ppid has when it arrives. Where there is none it waits for the
-    first suspicious one, and counts unless it began before that.
+    first suspicious one, and counts unless it began before that. Those that wait are numbered.
     """
 
-    def __init__(self, schema: str, ttl_seconds: int) -> None:
-        self.schema, self.ttl = schema, ttl_seconds * 1000 or None
+    def __init__(self, key: str, schema: str, ttl_seconds: int) -> None:
+        self.key, self.schema, self.ttl = key, schema, ttl_seconds * 1000 or None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.process = handle.getValueState("process", "at double, base string, bad boolean", ttlDurationMs=self.ttl)
-        self.waiting = handle.getListState("waiting", "at double, pkey string, pid long, image string, base string, line string", ttlDurationMs=self.ttl)
+        self.process = handle.getMapState("process", self.key, "at double, base string, bad boolean", ttlDurationMs=self.ttl)
+        self.number = handle.getMapState("number", self.key, "n long", ttlDurationMs=self.ttl)
+        self.waiting = handle.getMapState("waiting", f"{self.key}, n long", "at double, pkey string, pid long, image string, base string, line string", ttlDurationMs=self.ttl)
+
+    def _released(self, key: tuple) -> list[tuple]:
+        """The children that wait for a pid, which wait no more."""
+        held = []
+        for n in range((self.number.getValue(key) or (0,))[0]):
+            if (child := self.waiting.getValue((*key, n))) is not None:
+                held.append(child)
+                self.waiting.removeKey((*key, n))
+        if held:
+            self.number.removeKey(key)
+        return held
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = before = self.process.get() if self.process.exists() else None
-        late, out = [], []
+        out = []
+        for pid, mine in groupby(_sorted(rows, ["agent_id", "key", "seq", "side"]), attrgetter("agent_id", "key")):
+            self._take(pid, mine, out)
+        yield _frame(out, self.schema)
+
+    def _take(self, key: tuple, rows: Iterator[tuple], out: list[tuple]) -> None:
+        now = before = self.process.getValue(key)
+        late, first = [], len(out)
 
         def spawned(seq: int, at: float, parent: str, child: tuple) -> None:
             begun, pkey, pid, image, base, line = child
-            out.append((key[0], seq, len(out) + 1, at, begun, pkey, pid, image, f"{parent} spawned {base} ({line})"))
+            out.append((key[0], seq, len(out) - first + 1, at, begun, pkey, pid, image, f"{parent} spawned {base} ({line})"))
 
-        for r in _sorted(rows, ["seq", "side"]).itertuples():
+        for r in rows:
             if r.side == 0:
                 child = (r.at, r.pkey, r.pid, r.image, r.base, r.line)
                 if now is None:
@@ -71,19 +100,18 @@ class Families(StatefulProcessor):
                     spawned(r.seq, r.at, now[1], child)
                 continue
             if r.bad:
-                held = list(self.waiting.get()) if self.waiting.exists() else []
-                for child in [*held, *late]:
+                for child in [*self._released(key), *late]:
                     if child[0] >= r.at:
                         spawned(r.seq, r.at, r.base, child)
                 late = []
-                if held:
-                    self.waiting.clear()
             now = (r.at, r.base, r.bad)
         if late:
-            self.waiting.appendList(late)
+            n = (self.number.getValue(key) or (0,))[0]
+            for i, child in enumerate(late, n):
+                self.waiting.updateValue((*key, i), child)
+            self.number.updateValue(key, (n + len(late),))
         if now is not before:
-            self.process.update(now)
-        yield _frame(out, self.schema)
+            self.process.updateValue(key, now)
 
     def close(self) -> None:
         pass
@@ -92,20 +120,22 @@ class Families(StatefulProcessor):
 class Cooldowns(StatefulProcessor):
     """The last alert that passed, of what is held back; gives the alerts with `passed`, those held back only where they spawned."""
 
-    def __init__(self, wait: float, schema: str, ttl_seconds: int) -> None:
-        self.wait, self.schema, self.ttl = wait, schema, ttl_seconds * 1000 or None
+    def __init__(self, key: str, wait: float, schema: str, ttl_seconds: int) -> None:
+        self.key, self.wait, self.schema, self.ttl = key, wait, schema, ttl_seconds * 1000 or None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at double", ttlDurationMs=self.ttl)
+        self.last = handle.getMapState("last", self.key, "at double", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = _sorted(rows, ["seq", "ord"])
-        last = self.last.get()[0] if self.last.exists() else None
-        batch["passed"], now = arrival.passing(batch["at"].to_numpy(float), last, self.wait)
-        if now != last:
-            self.last.update((now,))
-        kept = batch[batch["passed"] | batch["spawned"].astype(bool)]
-        yield _frame(list(kept[_names(self.schema)].itertuples(index=False, name=None)), self.schema)
+        out, of = [], attrgetter(*[n for n in _names(self.schema) if n != "passed"])
+        for held, mine in groupby(_sorted(rows, ["agent_id", "dedup", "seq", "ord"]), attrgetter("agent_id", "dedup")):
+            mine = list(mine)
+            last = (self.last.getValue(held) or (None,))[0]
+            passed, now = arrival.passing(np.array([r.at for r in mine], float), last, self.wait)
+            if now != last:
+                self.last.updateValue(held, (now,))
+            out += [(*of(r), p) for r, p in zip(mine, passed.tolist()) if p or r.spawned]
+        yield _frame(out, self.schema)
 
     def close(self) -> None:
         pass
@@ -119,36 +149,42 @@ class Scores(StatefulProcessor):
 
     FIELDS = "pid long, image string, detections long, unsigned long, lolbin boolean, parent boolean, network long, dns long, last double"
 
-    def __init__(self, rules: Rules, ttl_seconds: int) -> None:
-        self.rules, self.ttl = rules, ttl_seconds * 1000 or None
+    def __init__(self, key: str, rules: Rules, ttl_seconds: int) -> None:
+        self.key, self.rules, self.ttl = key, rules, ttl_seconds * 1000 or None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("score", self.FIELDS, ttlDurationMs=self.ttl)
-        self.maps = {kind: handle.getMapState(kind, "value string", "seen boolean", ttlDurationMs=self.ttl) for kind in ("network", "dns")}
+        self.state = handle.getMapState("score", self.key, self.FIELDS, ttlDurationMs=self.ttl)
+        self.maps = {kind: handle.getMapState(kind, f"{self.key}, value string", "seen boolean", ttlDurationMs=self.ttl) for kind in ("network", "dns")}
 
     def _total(self, s: dict) -> int:
         r = self.rules
         return s["detections"] * r.detection + s["parent"] * r.suspicious_parent + s["lolbin"] * r.lolbin + s["unsigned"] * r.unsigned_dll + s["network"] * r.external_ip + s["dns"] * r.dns_query
 
-    def _mark(self, s: dict, kind: str, value: str | None, seen: set) -> None:
+    def _mark(self, key: tuple, s: dict, kind: str, value: str | None, seen: set, fresh: bool) -> None:
         if kind in ("detection", "unsigned"):
             s["detections" if kind == "detection" else kind] += 1
         elif kind in ("lolbin", "parent"):
             s[kind] = True
         elif kind in self.maps and (kind, value) not in seen:
             seen.add((kind, value))
-            if not self.maps[kind].containsKey((value,)):
-                self.maps[kind].updateValue((value,), (True,))
+            # A process without a score has no addresses or names, unless these may end at other times.
+            if fresh and not self.ttl or not self.maps[kind].containsKey((*key, value)):
+                self.maps[kind].updateValue((*key, value), (True,))
                 s[kind] += 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, seen, out = _names(self.FIELDS), set(), []
-        before = self.state.get() if self.state.exists() else None
+        out = []
+        for process, mine in groupby(_sorted(rows, ["agent_id", "pkey", "seq", "side", "ord"]), attrgetter("agent_id", "pkey")):
+            self._take(process, mine, out)
+        yield _frame(out, arrival.ALERTS)
+
+    def _take(self, key: tuple, rows: Iterator[tuple], out: list[tuple]) -> None:
+        names, seen = _names(self.FIELDS), set()
+        before = self.state.getValue(key)
         s = dict(zip(names, before)) if before else None
-        batch = _sorted(rows, ["seq", "side", "ord"])
-        for _, event in batch.groupby("seq", sort=False):
+        for _, event in groupby(rows, lambda r: r.seq):
             touched = False
-            for r in event.itertuples():
+            for r in event:
                 if r.side == 1:
                     touched |= bool(r.passed)
                     if r.passed:
@@ -158,13 +194,12 @@ class Scores(StatefulProcessor):
                     continue
                 if s is None:
                     s = dict(zip(names, (r.pid, r.image, 0, 0, False, False, 0, 0, None)))
-                self._mark(s, r.kind, r.value, seen)
+                self._mark(key, s, r.kind, r.value, seen, before is None)
             if s is not None and touched and (total := self._total(s)) >= self.rules.threshold and (s["last"] is None or r.at - s["last"] >= self.rules.cooldown):
                 s["last"] = r.at
                 out.append((r.seq, "score", "score-threshold", "High", None, key[1], s["pid"], s["image"], f"Process score {total} reached threshold {self.rules.threshold}", total, r.at))
         if s is not None and (after := tuple(s[n] for n in names)) != before:
-            self.state.update(after)
-        yield _frame(out, arrival.ALERTS)
+            self.state.updateValue(key, after)
 
     def close(self) -> None:
         pass
@@ -172,7 +207,8 @@ class Scores(StatefulProcessor):
 
 def _step(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, ttl: int) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
 
 
 def stream_alerts(events: DataFrame, rules: Rules = Rules(), ttl_seconds: int = 0) -> DataFrame:
@@ -187,7 +223,7 @@ def stream_alerts(events: DataFrame, rules: Rules = Rules(), ttl_seconds: int =
     child = F.struct(F.col("ppid").cast("long").alias("key"), F.lit(0).alias("side"), bad.alias("bad"), *rest)
     process = F.struct(F.col("pid").alias("key"), F.lit(1).alias("side"), bad.alias("bad"), *rest)
     sides = rows.where(k == "create").select("agent_id", F.explode(F.array_compact(F.array(F.when(low.isin(*rules.suspicious_children) & F.col("ppid").isNotNull(), child), process))).alias("x")).select("agent_id", "x.*")
-    spawned = _step(sides, ["agent_id", "key"], Families(agent + _SPAWNED, ttl_seconds), agent + _SPAWNED, ttl_seconds)
+    spawned = _step(sides, ["agent_id", "key"], Families(agent + "key long", agent + _SPAWNED, ttl_seconds), agent + _SPAWNED, ttl_seconds)
 
     def alert(kind: Column, rule: Column, severity: Column, mitre: Column, detail: Column, dedup: Column, **more: Column) -> list[Column]:
         named = {"alert_type": kind, "rule": rule, "severity": severity, "mitre": mitre, "detail": detail, "dedup": F.concat_ws("|", "pkey", dedup)} | more
@@ -203,8 +239,8 @@ def stream_alerts(events: DataFrame, rules: Rules = Rules(), ttl_seconds: int =
         ord=word(0), about=F.col("at"), spawned=word(False),
     ))
     born = spawned.select(alert(word("hunt"), word("suspicious-parent"), word("High"), word("T1204.002"), F.col("detail"), word("suspicious-parent"), ord=F.col("ord"), about=F.col("about"), spawned=word(True)))
-    cooled = _step(raised.unionByName(born), ["agent_id", "dedup"], Cooldowns(rules.cooldown, agent + _ALERT, ttl_seconds), agent + _ALERT, ttl_seconds)
+    cooled = _step(raised.unionByName(born), ["agent_id", "dedup"], Cooldowns(agent + "dedup string", rules.cooldown, agent + _ALERT, ttl_seconds), agent + _ALERT, ttl_seconds)
 
     marks = rows.select("agent_id", "pkey", "seq", "at", word(0).alias("side"), word(0).alias("ord"), F.when(tool, "lolbin").otherwise(k).alias("kind"), "value", "pid", "image")
     alerts = cooled.withColumns({"side": word(1), "kind": F.when(F.col("spawned"), "parent"), "value": word(None).cast("string")}).drop("spawned")
-    return _step(marks.unionByName(alerts, allowMissingColumns=True), ["agent_id", "pkey"], Scores(rules, ttl_seconds), arrival.ALERTS, ttl_seconds)
+    return _step(marks.unionByName(alerts, allowMissingColumns=True), ["agent_id", "pkey"], Scores(agent + "pkey string", rules, ttl_seconds), arrival.ALERTS, ttl_seconds)
