@@ -6,7 +6,7 @@ import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names of machines and subsystems by number.
@@ -22,6 +22,8 @@ SUSPICIOUS = {
     "Defense Evasion": ("NtUnmapViewOfSection", "NtCreateSection", "NtSetContextThread", "NtResumeThread", "NtSuspendThread", "EtwEventWrite"),
 }
 EXECUTE, CODE = 0x20000000, 0x20
+#: Files, and bytes of them, that are made into rows at once.
+FILES, PIECE = 256, 8 * 1024 * 1024
 BUDGET = 4 * 1024 * 1024
 _SCHEMA = "valid boolean, machine int, subsystem int, entry long, base long, image_size long, sections array<struct<name:string,rva:long,vsize:long,raw:long,size:long,flags:long>>, imports array<struct<dll:string,name:string>>, exports array<string>, bad_imports boolean, bad_exports boolean, code array<binary>"
 
@@ -130,15 +132,36 @@ def parse(f: Image, code: bool = False) -> dict:
     return {"valid": True, "machine": machine, "subsystem": f.at("<H", optional + 68), "entry": f.at("<I", optional + 16), "base": f.at("<Q", optional + 24) if wide else f.at("<I", optional + 28), "image_size": f.at("<I", optional + 56), "sections": sections, "imports": imports, "exports": exports, "bad_imports": bad_imports, "bad_exports": bad_exports, "code": parts if code else None}
 
 
+def pieces(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Slices of rows with `content` of at most FILES rows, and of about PIECE bytes (one row may have more)."""
+    start, size = 0, 0
+    for i, x in enumerate(frame["content"]):
+        if i > start and (i - start == FILES or size + len(x or b"") > PIECE):
+            yield frame.iloc[start:i]
+            start, size = i, 0
+        size += len(x or b"")
+    if start < len(frame):
+        yield frame.iloc[start:]
+
+
+def small_batches() -> None:
+    """Lowers the session's bytes an Arrow batch to PIECE, if they are more, as rows hold whole files."""
+    spark, key = SparkSession.active(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > PIECE:
+        spark.conf.set(key, str(PIECE))
+
+
 def parsed(files: DataFrame, code: bool = False) -> DataFrame:
     """Rows (path, content) with what parse() tells of each; for files on disk see sources.executables, which reads them by ranges."""
     names = [p.split(" ")[0] for p in _SCHEMA.split(", ") if " " in p]
 
     def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [parse(Image.of(x or b""), code) for x in frame["content"]]
-            yield pd.DataFrame({"path": frame["path"], **{n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names}})
+            for piece in pieces(frame):
+                rows = [parse(Image.of(x or b""), code) for x in piece["content"]]
+                yield pd.DataFrame({"path": piece["path"], **{n: pd.Series([r.get(n) for r in rows], index=piece.index, dtype=object) for n in names}})
 
+    small_batches()
     return files.mapInPandas(of, f"path string, {_SCHEMA}")
 
 

@@ -840,7 +840,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"path": frame["path"], "content": [fixtures.sample_image(k) for k in frame["k"]]})
+            for i in range(0, len(frame), pe.FILES):
+                part = frame[i : i + pe.FILES]
+                yield pd.DataFrame({"path": part["path"], "content": [fixtures.sample_image(k) for k in part["k"]]})
 
     rows = flat(spark, sf_dir).where("type = 'ImageLoad'").select(F.format_string("C:\\m\\f%d.dll", "seq").alias("path"), "k")
     return rows.mapInPandas(build, "path string, content binary")
