@@ -142,3 +142,30 @@ def test_bytes_that_teach_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "MOST_BYTES", 3000)
     toxicity.learn(docs, marks)
     assert 4 < len(seen[0]) < 40
+
+
+def test_thresholds_come_from_all_that_is_not_trained_on(spark, monkeypatch):
+    """Of 400 documents 8 of each label may train; every other labelled one counts once, whole, whatever the bounds."""
+    rows, labels = corpus(400)
+    docs = spark.createDataFrame([*rows, *[rows[7]] * 5], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen, trained = [], []
+    calibrate, train = toxicity.calibrate, toxicity.train
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, counts: seen.append(counts) or calibrate(model, counts))
+    monkeypatch.setattr(toxicity, "train", lambda rows, labels, **k: trained.append(labels) or train(rows, labels, epochs=1))
+    model = toxicity.learn(docs, marks, most=8)
+    known = [t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sum(r.n for r in seen[0]) == len(known) - len(trained[0]) and len(trained[0]) <= 16
+    assert sum(r.hits for r in seen[0]) == sum(known) - int(trained[0].sum())
+    assert all(r.low <= r.high and r.bin <= r.low * toxicity.BINS <= r.bin + 1 for r in seen[0])
+    assert "" in model.shift
+
+
+def test_best_threshold_against_every_cut():
+    rng = random.Random(8)
+    for _ in range(20):
+        logits = [rng.gauss(0, 3) for _ in range(60)]
+        labels = [int(x + rng.gauss(0, 2) > 1) for x in logits]
+        counts = [toxicity.Row(bin=i, n=1, hits=t, low=x, high=x) for i, (x, t) in enumerate(sorted(zip(logits, labels)))]
+        f1 = lambda cut: 2 * sum(t for x, t in zip(logits, labels) if x >= cut) / (sum(x >= cut for x in logits) + sum(labels))
+        assert f1(toxicity._best_threshold(counts)) == max(map(f1, logits))
