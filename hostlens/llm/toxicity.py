@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import small_batches, utf8
+from .common import small_batches, utf8, written
 from .langid import bounded, bucket, chunks, joined
 
 WIDTHS = (1, 2, 3)
@@ -263,11 +263,8 @@ def _best_threshold(counts: list[Row]) -> float:
     return float(low[k] + below) / 2
 
 
-def counted(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows (lang, bin, n, hits, low, high): how many documents (doc_id, toxic, text) have a logit in each BINS-th, by the language that their text tells, with the least and largest logit there.
-
-    Whole texts are read, on executors; a doc_id that repeats counts once.
-    """
+def rated(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows (doc_id, logit, lang): of each document's whole text the logit and the number of the language that it tells, made where the text is read."""
     small_batches()
 
     @F.pandas_udf("logit double, lang int")
@@ -278,9 +275,18 @@ def counted(docs: DataFrame, model: Model) -> DataFrame:
             for part in chunks(list(batch)):
                 logits.append(model.logits(part, lookup).astype(float))
                 langs.append(model.langs.predict(part)[0] if model.langs else np.zeros(len(part), int))
-            yield pd.DataFrame({"logit": np.clip(np.concatenate(logits), -40, 40), "lang": np.concatenate(langs).astype("int32")})
+            yield pd.DataFrame({"logit": np.concatenate(logits), "lang": np.concatenate(langs).astype("int32")})
+
+    return docs.select("doc_id", of(utf8(F.col("text"))).alias("made")).select("doc_id", "made.*")
+
 
-    each = docs.select("doc_id", "toxic", of(utf8(F.col("text"))).alias("made")).groupBy("doc_id", "toxic").agg(F.min("made").alias("made")).select("toxic", "made.*")
+def counted(rates: DataFrame) -> DataFrame:
+    """Rows (lang, bin, n, hits, low, high): how many documents (doc_id, toxic, logit, lang) have a logit in each BINS-th, by language, with the least and largest logit there.
+
+    A doc_id that repeats counts once.
+    """
+    made = F.struct(F.greatest(F.lit(-40.0), F.least(F.lit(40.0), "logit")).alias("logit"), "lang")
+    each = rates.groupBy("doc_id", "toxic").agg(F.min(made).alias("made")).select("toxic", "made.*")
     return each.groupBy("lang", F.floor(F.col("logit") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.sum("toxic").alias("hits"), F.min("logit").alias("low"), F.max("logit").alias("high"))
 
 
@@ -307,14 +313,37 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model | None:
     """A model from at most `most` documents of each label, with MOST_BYTES of text, but a fifth of them.
 
     The thresholds come from all labelled documents that it was not trained on, that fifth and all beyond the bounds.
+    """
+    model, known, trained = _trained(docs, labels, most)
+    if model is not None:
+        _calibrated(model, rated(docs.where(bucket(F.col("doc_id"), 4) != 2), model), known, trained)
+    return model
+
+
+def _calibrated(model: Model, rates: DataFrame, known: DataFrame, trained: DataFrame) -> None:
+    """Sets the thresholds from `rates` (see rated) of `known` documents (doc_id, toxic) but those `trained` on, or of all if these lack a label.
+
+    Ids and numbers are joined, never texts.
+    """
+    rates = rates.join(known, "doc_id")
+    counts = counted(rates.join(F.broadcast(trained), "doc_id", "left_anti")).collect()
+    hits = sum(r.hits for r in counts)
+    if hits in (0, sum(r.n for r in counts)):
+        counts = counted(rates).collect()
+    calibrate(model, counts)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, most: int) -> tuple[Model | None, DataFrame, DataFrame]:
+    """A model without thresholds, the labels (doc_id, toxic) that may teach, and the doc_id of what it was trained on.
 
     Documents come in the order of a hash until either bound is met; one of over TEACHES characters teaches
     with parts of it, so none takes the room of many. Executors make the tokens, so the driver gets about 4
     bytes a word. A doc_id that repeats teaches once.
     """
     whole = docs
-    toxic = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = docs.select("doc_id").where(bucket(F.col("doc_id"), 4) != 2).join(toxic, "doc_id")
+    known = bucket(F.col("doc_id"), 4) != 2
+    toxic = labels.where("toxic IN (0, 1)").where(known).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    labelled = docs.select("doc_id").where(known).join(toxic, "doc_id")
     chosen = bounded(labelled, "toxic", most)
     docs = docs.withColumn("text", teaching_part(F.col("text")))
     sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.max("size").alias("size"))
@@ -333,18 +362,10 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 3000) -> Model | None:
     tokens_, marks = [bytes(r.tokens) for r in rows], np.array([r.toxic for r in rows], np.float32)
     apart = np.arange(len(rows)) % 5 == 4
     model = train([t for t, a in zip(tokens_, apart) if not a], marks[~apart])
-    if model is None:
-        return None
-    if "lang" in docs.columns:
-        model.langs = langid.learn(whole.where(bucket(F.col("doc_id"), 4) != 2))
     trained = docs.sparkSession.createDataFrame([(r.doc_id,) for r, a in zip(rows, apart) if not a], docs.select("doc_id").schema)
-    known = whole.select("doc_id", "text").where(bucket(F.col("doc_id"), 4) != 2).join(toxic, "doc_id")
-    counts = counted(known.join(F.broadcast(trained), "doc_id", "left_anti"), model).collect()
-    hits = sum(r.hits for r in counts)
-    if hits in (0, sum(r.n for r in counts)):
-        counts = counted(known, model).collect()
-    calibrate(model, counts)
-    return model
+    if model is not None and "lang" in docs.columns:
+        model.langs = langid.learn(whole.where(known))
+    return model, toxic, trained
 
 
 def score(text: Column, model: Model | None) -> Column:
@@ -371,7 +392,21 @@ def scored(docs: DataFrame, labels: DataFrame, most: int = 3000) -> DataFrame:
     labels occur, all scores are 0. Very long texts are gone through in stretches. An empty or null text gets a low score like any text without a
     toxic word. An empty table gives no rows.
     """
-    model = learn(docs, labels, most)
+    model, known, trained = _trained(docs, labels, most)
     held = F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False))
-    out = docs.select("doc_id", held.alias("held_out"), score(F.col("text"), model).alias("score"))
+    if model is None:
+        out = docs.select("doc_id", held.alias("held_out"), score(F.col("text"), None).alias("score"))
+    else:
+        rates = written(rated(docs, model), "rates")
+        _calibrated(model, rates.where(bucket(F.col("doc_id"), 4) != 2), known, trained)
+        out = rates.select("doc_id", held.alias("held_out"), _shifted(model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def _shifted(model: Model) -> Column:
+    """The score of (logit, lang), as Model.scores() has it."""
+    shift = F.lit(model.shift[""])
+    for k, lang in enumerate(model.langs.langs if model.langs else []):
+        if lang in model.shift:
+            shift = F.when(F.col("lang") == k, F.lit(model.shift[lang])).otherwise(shift)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("logit") + shift))))

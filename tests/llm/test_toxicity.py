@@ -169,3 +169,24 @@ def test_best_threshold_against_every_cut():
         counts = [toxicity.Row(bin=i, n=1, hits=t, low=x, high=x) for i, (x, t) in enumerate(sorted(zip(logits, labels)))]
         f1 = lambda cut: 2 * sum(t for x, t in zip(logits, labels) if x >= cut) / (sum(x >= cut for x in logits) + sum(labels))
         assert f1(toxicity._best_threshold(counts)) == max(map(f1, logits))
+
+
+def test_texts_of_thresholds_are_not_shuffled(spark):
+    """Where labels are too many to broadcast, ids and logits are joined to them, not texts; scores are those of the model that is learnt alone."""
+    rng = random.Random(5)
+    rows, labels = corpus(300)
+    rows = [(i, t + " " + " ".join(f"{rng.getrandbits(64):x}" for _ in range(1000))) for i, t, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs.count()
+    shuffled = lambda: spark._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before, threshold = shuffled(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r.doc_id: r.score for r in toxicity.scored(docs, marks, most=8).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert shuffled() - before < 0.2 * sum(len(t) for _, t in rows)
+    model = toxicity.learn(docs, marks, most=8)
+    want = {r.doc_id: r.s for r in docs.select("doc_id", toxicity.score(toxicity.F.col("text"), model).alias("s")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in got)
