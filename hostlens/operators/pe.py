@@ -169,8 +169,9 @@ def _name(value: Column, names: dict[int, str], other: str) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value), F.lit(other))
 
 
-def headers(images: DataFrame) -> DataFrame:
-    return images.select("path", "valid", F.when(F.col("valid"), _name(F.col("machine"), MACHINES, "Unknown")).alias("machine"), F.when(F.col("valid"), _name(F.col("subsystem"), SUBSYSTEMS, "Other")).alias("subsystem"), "entry", "base", "image_size", F.size("imports").alias("n_imports"), F.size(F.array_distinct(F.transform("imports", lambda i: F.lower(i["dll"])))).alias("n_dlls"), F.size("exports").alias("n_exports"), "bad_imports", "bad_exports")
+def headers(images: DataFrame, *more: Column) -> DataFrame:
+    """Facts of each file, with further columns of its row."""
+    return images.select("path", "valid", F.when(F.col("valid"), _name(F.col("machine"), MACHINES, "Unknown")).alias("machine"), F.when(F.col("valid"), _name(F.col("subsystem"), SUBSYSTEMS, "Other")).alias("subsystem"), "entry", "base", "image_size", F.size("imports").alias("n_imports"), F.size(F.array_distinct(F.transform("imports", lambda i: F.lower(i["dll"])))).alias("n_dlls"), F.size("exports").alias("n_exports"), "bad_imports", "bad_exports", *more)
 
 
 def sections(images: DataFrame) -> DataFrame:
@@ -231,6 +232,13 @@ def prologue_patch(data: Column) -> Column:
     return F.when(h.rlike("^B8.{8}C3"), F.struct(F.concat(F.lit("mov-ret "), forced).alias("pattern"), F.lit("High").alias("confidence"))).when(h.rlike("^3[13]C0C3"), F.struct(F.lit("xor-ret").alias("pattern"), F.lit("High").alias("confidence"))).when(h.rlike("^C3.."), F.struct(F.lit("ret").alias("pattern"), F.lit("Medium").alias("confidence"))).when(h.rlike("^90C3"), F.struct(F.lit("nop-ret").alias("pattern"), F.lit("Medium").alias("confidence")))
 
 
+def stub_count(code: Column) -> Column:
+    """How many stubs the parts of a file's code have; null where there are none, or no code was read."""
+    each = F.transform(code, lambda part: F.regexp_count(F.decode(part, "ISO-8859-1"), F.lit(STUB)).cast("long"))
+    n = F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b)
+    return F.when(n > 0, n)
+
+
 def stub_findings(images: DataFrame) -> DataFrame:
     """Stubs in each file's code, where that was read: (path, stubs, direct, indirect)."""
     rows = images.where("valid").select("path", F.explode("code").alias("part")).select("path", F.explode(stubs(F.col("part"))).alias("stub"))

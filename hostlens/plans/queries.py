@@ -862,7 +862,7 @@ def pe_headers(spark, sf_dir):
 def pe_files(spark, sf_dir):
     """The images as files on disk, read by ranges."""
     found = executables.read_files(spark, fixtures.files_on_disk(_files(spark, sf_dir), shared_path(spark, "images")), code=True)
-    head = pe.headers(found).join(pe.stub_findings(found).select("path", "stubs"), "path", "left")
+    head = pe.headers(found, pe.stub_count(F.col("code")).alias("stubs"))
     return head.select(C.basename(F.col("path")).alias("name"), "valid", "machine", "image_size", "n_imports", "stubs")
 
 

@@ -12,8 +12,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.pe import _SCHEMA, Image, parse
 
-#: Bytes of a read, reads that are kept of a file, and files of a task.
-BLOCK, KEPT, FILES = 1 << 15, 16, 64
+#: Bytes of a read, reads that are kept of a file, files of a task at least, and tasks beyond which these take more files.
+BLOCK, KEPT, FILES, TASKS = 1 << 15, 16, 64, 1024
 #: Larger files are flagged, and their code is not read.
 LARGEST = 64 << 20
 
@@ -79,7 +79,8 @@ class ExecutablesReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         found = [one] if one.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((x.path, x.size) for x in found if x.type == fs.FileType.File)
-        return [Files(files[i : i + FILES]) for i in range(0, len(files), FILES)] or [Files([])]
+        each = max(FILES, -(-len(files) // TASKS))
+        return [Files(files[i : i + each]) for i in range(0, len(files), each)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[tuple]:
         system, _ = fs.FileSystem.from_uri(self.path)

@@ -109,3 +109,26 @@ def test_no_files_and_no_folder(spark, tmp_path):
     assert executables.read_files(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="nowhere"):
         executables.read_files(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_many_files_make_larger_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(executables, "TASKS", 8, raising=False)
+    for i in range(700):
+        (tmp_path / f"{i}.dll").write_bytes(b"MZ")
+    parts = executables.ExecutablesReader(str(tmp_path), False, []).partitions()
+    assert len(parts) == 8 and len({n for p in parts for n, _ in p.names}) == 700
+
+
+def test_files_with_stubs_are_read_once(spark, tmp_path):
+    """Stubs are counted in a file's row: one scan and no exchange, and the counts are those of stub_findings."""
+    from hostlens.plans import queries
+
+    (tmp_path / "t").mkdir()
+    spark.range(60).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "id % 3 AS user_id", "'purchase' AS event_type", "1.0D AS value", "concat('{\"k\": ', id % 30, '}') AS props").write.parquet(str(tmp_path / "t/events.parquet"))
+    rows = queries.pe_files(spark, str(tmp_path / "t"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 1 and "Join" not in plan and "Aggregate" not in plan
+    got = {r.name: r.stubs for r in rows.collect()}
+    files = pe.parsed(queries._files(spark, str(tmp_path / "t")), code=True)
+    want = {r.path.rpartition("\\")[2]: r.stubs for r in pe.stub_findings(files).collect()}
+    assert len(got) > 40 and {n: s for n, s in got.items() if s is not None} == want and want
