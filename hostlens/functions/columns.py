@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import ACTING, SEVERITIES
+from ..schema import ACTING, SEVERITIES, in_source
 
 #: DNS record types by number.
 DNS_TYPES = {1: "A", 2: "NS", 5: "CNAME", 6: "SOA", 12: "PTR", 15: "MX", 16: "TXT", 28: "AAAA", 33: "SRV", 255: "ANY"}
@@ -33,13 +33,13 @@ def process_key(pid: Column, create_time: Column) -> Column:
 
 
 def source_type(source: Column) -> Column:
-    etw = F.get_json_object(source, "$.Etw.provider")
-    sysmon = F.get_json_object(source, "$.Sysmon.event_id")
+    etw = in_source(source, "$.Etw.provider")
+    sysmon = in_source(source, "$.Sysmon.event_id")
     return F.when(etw.isNotNull(), "etw").when(sysmon.isNotNull(), "sysmon").when(source == "EvasionDetector", "evasion").when(source == "Sensor", "sensor")
 
 
 def source_detail(source: Column) -> Column:
-    return F.coalesce(F.get_json_object(source, "$.Etw.provider"), F.get_json_object(source, "$.Sysmon.event_id"))
+    return F.coalesce(in_source(source, "$.Etw.provider"), in_source(source, "$.Sysmon.event_id"))
 
 
 def source_label(kind: Column, detail: Column) -> Column:

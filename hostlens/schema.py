@@ -35,6 +35,8 @@ OPERATIONS = {
     "RegistryEvent": ("CreateKey", "DeleteKey", "SetValue", "DeleteValue", "RenameKey"),
     "PipeEvent": ("Created", "Connected"),
 }
+#: Sources that are a word; others are objects.
+SOURCE_WORDS = ("EvasionDetector", "Sensor")
 _LONGS = ("pid", "ppid", "create_time", "content_size", "scan_result", "source_pid", "target_pid", "granted_access", "uptime_secs", "events_total", "events_dropped")
 _STRINGS = ("type", "image_path", "command_line", "user", "integrity_level", "hashes", "path", "operation", "protocol", "src_addr", "dst_addr", "direction", "key", "value_name", "value_data", "image_name", "signature", "query_name", "query_type", "response", "script_engine", "content", "script_path", "script_block_id", "app_name", "content_name", "scan_result_name", "technique", "process_name", "details", "start_address", "source_image", "target_image", "pipe_name")
 #: Kinds whose pid acts; creations and ends of a process, and events of two processes, have none.
@@ -61,8 +63,17 @@ def _all(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def in_source(source: Column, path: str) -> Column:
+    """What a source has at a path; a word, which is no JSON, is not parsed."""
+    return F.when(~source.isin(*SOURCE_WORDS), F.get_json_object(source, path))
+
+
 def is_event(e: Column) -> Column:
-    """Whether a parsed line (struct LINE) is an event: required fields, known words, numbers in range."""
+    """Whether a parsed line (struct LINE) is an event: required fields, known words, numbers in range.
+
+    The numbers are tested by a function over an array. Spark compiles a filter with such a function outside of
+    whole-stage code, in methods of a size that the JVM compiles; all tests in one method are too many for that.
+    """
     d = e["data"]
     kinds = []
     for kind, fields in REQUIRED.items():
@@ -75,9 +86,9 @@ def is_event(e: Column) -> Column:
             tests.append(d["technique"].isin(*TECHNIQUES))
         kinds.append(_all(tests))
     u32 = ("pid", "ppid", "content_size", "scan_result", "source_pid", "target_pid", "granted_access")
-    source = F.get_json_object(e["source"], "$.Etw.provider").isNotNull() | F.get_json_object(e["source"], "$.Sysmon.event_id").cast("int").between(0, 65535) | e["source"].isin("EvasionDetector", "Sensor")
+    source = e["source"].isin(*SOURCE_WORDS) | in_source(e["source"], "$.Etw.provider").isNotNull() | in_source(e["source"], "$.Sysmon.event_id").cast("int").between(0, 65535)
     rule = e["rule"].isNull() | _all([e["rule"][f].isNotNull() for f in ("id", "name", "description", "mitre", "evidence")] + [e["rule"]["confidence"].isin("Low", "Medium", "High")])
     context = e["process_context"].isNull() | e["process_context"]["process_key"].isNotNull()
     head = [e["id"].rlike(_UUID), e["timestamp"].rlike(_TIME), F.try_to_timestamp(e["timestamp"]).isNotNull(), e["hostname"].isNotNull(), e["agent_id"].rlike(_UUID), e["sensor_version"].isNotNull(), e["category"].isin(*CATEGORIES), e["severity"].isin(*SEVERITIES)]
-    ranges = [d[f].isNull() | d[f].between(0, 4294967295) for f in u32]
+    ranges = [F.forall(F.array(*[d[f] for f in u32]), lambda n: n.isNull() | n.between(0, 4294967295))]
     return F.coalesce(_all([*head, F.coalesce(source, F.lit(False)), reduce(lambda a, b: a | b, [F.coalesce(k, F.lit(False)) for k in kinds]), rule, context, *ranges]), F.lit(False))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import columns as C
-from ..schema import LINE, is_event
+from ..schema import LINE, SOURCE_WORDS, is_event
 from . import follow
 from .lines_sink import RotatedLines
 
@@ -57,16 +59,16 @@ def follow_events(spark: SparkSession, path: str, since: str = "start", max_byte
     return parsed(follow.appended(spark, path, since, max_bytes, ledger))
 
 
-def as_lines(events: DataFrame, pretty: bool = False) -> DataFrame:
-    """Events as JSON lines in the form that read_events takes."""
+def as_lines(events: DataFrame, pretty: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """Events as JSON lines in the form that read_events takes, with the columns `also`."""
     names = ["id", "timestamp", "hostname", "agent_id", "sensor_version", "source", "category", "severity", "data", "rule", "process_context"]
     options = {"pretty": "true"} if pretty else {}
-    word = F.col("source").isin("EvasionDetector", "Sensor")
+    word = F.col("source").isin(*SOURCE_WORDS)
     mark = F.concat(F.lit("@"), F.col("source"), F.lit("@"))
     text = F.to_json(F.struct(*[mark.alias("source") if n == "source" else F.col(n) for n in names]), options)
     # An object stands as it is, a word in quotes.
-    whole = F.regexp_replace(F.replace(text, F.concat(F.lit('"'), F.replace(F.replace(mark, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.when(word, F.concat(F.lit('"'), F.col("source"), F.lit('"'))).otherwise(F.col("source"))), r"\\/", "/")
-    return events.select(whole.alias("value"))
+    whole = F.replace(text, F.concat(F.lit('"'), F.replace(F.replace(mark, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')), F.when(word, F.concat(F.lit('"'), F.col("source"), F.lit('"'))).otherwise(F.col("source")))
+    return events.select(whole.alias("value"), *also)
 
 
 def write_lines(events: DataFrame, path: str, rotation_bytes: int = 100_000_000) -> None:

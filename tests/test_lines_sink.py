@@ -2,11 +2,13 @@
 
 import json
 import os
+import re
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from hostlens.plans import queries
 from hostlens.sources import jsonl
 from hostlens.sources.lines_sink import STAGING, RotatedLines, StreamWriter, Written
 
@@ -107,3 +109,26 @@ def test_a_stream_is_written_through(spark, events, tmp_path):  # noqa: F811
     out = jsonl.read_events(spark, str(tmp_path / "out"))
     assert sorted(r.id for r in out.collect()) == sorted(r.id for r in jsonl.read_events(spark, str(tmp_path / "in")).collect())
     assert all(n.startswith("events.jsonl.") for n in files(tmp_path / "out"))
+
+
+def test_methods_of_the_parse_are_small_enough_for_the_jvm_to_compile(spark):
+    rows = jsonl.parsed(spark.createDataFrame([("{}",)], "value string"))
+    for frame in (rows, queries._facts(rows), jsonl.as_lines(rows)):
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(frame._jdf.queryExecution().executedPlan())
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) < 8000, "the JVM leaves methods from 8000 bytes on to its interpreter"
+
+
+def test_the_lines_are_made_in_one_pass(spark, tmp_path):
+    spark.range(100).selectExpr("id AS event_id", "timestamp'2024-01-01' AS ts", "id % 5 AS user_id", "'signup' AS event_type", "concat('{\"k\": ', id, '}') AS props").write.parquet(str(tmp_path / "events.parquet"))
+    lines = queries._lines(spark, str(tmp_path))
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    values = [r.value for r in lines.collect()]
+    assert len(values) == 110 and values.count("") == 5 and values.count('{"id": "x", "data": {') == 5
+
+
+def test_a_backslash_before_a_slash_stays(spark, events, tmp_path):  # noqa: F811
+    row = network(1, 1, 5, "1.1.1.1")
+    rows = events([row]).withColumn("hostname", F.lit("C:\\/x/y"))
+    jsonl.write_lines(rows, str(tmp_path), 0)
+    assert [r.hostname for r in jsonl.read_events(spark, str(tmp_path)).collect()] == ["C:\\/x/y"]
