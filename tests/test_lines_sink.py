@@ -124,6 +124,12 @@ def test_the_lines_are_made_in_one_pass(spark, tmp_path):
     lines = queries._lines(spark, str(tmp_path))
     assert lines._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
     values = [r.value for r in lines.collect()]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(queries._lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
     assert len(values) == 110 and values.count("") == 5 and values.count('{"id": "x", "data": {') == 5
 
 
