@@ -224,7 +224,8 @@ def cooled(rows: DataFrame, cooldown: float, key: list[str] | None = None, order
     dealt = placed.repartitionById(count, "segment").sortWithinPartitions(*sort)
     if count > 1:
         folded = dealt.select("segment", "cooled_key", "cooled_at").mapInArrow(_fold(cooldown), _SUMMARY)
-        carried = written(folded.coalesce(1).sortWithinPartitions("segment").mapInArrow(_carried(cooldown), "segment int, carried double"), "carried")
+        # A shuffle of a row for each segment: coalesce(1) alone would fold them all in one task.
+        carried = written(folded.repartition(1).sortWithinPartitions("segment").mapInArrow(_carried(cooldown), "segment int, carried double"), "carried")
         placed = placed.join(F.broadcast(carried), "segment", "left")  # a row for each segment
         dealt = placed.repartitionById(count, "segment").sortWithinPartitions(*sort)
     else:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from hostlens.operators import arrival
@@ -165,3 +166,24 @@ def test_one_hot_key_is_cooled_in_many_tasks(spark):
         assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 2500
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_segments_of_a_cooldown_are_folded_in_many_tasks(spark, tmp_path, monkeypatch):
+    fold, seen = arrival._fold, tmp_path / "tasks"
+    seen.mkdir()
+
+    def watched(wait):
+        def of(batches):
+            (seen / str(TaskContext.get().partitionId())).touch()
+            return fold(wait)(batches)
+
+        return of
+
+    monkeypatch.setattr(arrival, "_fold", watched)
+    rows = spark.range(0, 40_000, 1, 4).selectExpr("id AS seq", "1L AS agent_id", "concat('k', id % 50) AS dedup", "timestamp_seconds(id) AS event_ts")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert arrival.cooled(rows, 300.0).count() > 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(seen.iterdir())) > 1

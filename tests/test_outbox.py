@@ -83,3 +83,47 @@ def test_a_stream_with_an_outbox(spark, tmp_path):
     assert sorted(int(n) for n, _ in hook.got()) == list(range(12))
     assert outbox.records(spark, str(tmp_path / "check-outbox")).where("sent").count() == 12
     assert outbox.records(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def test_a_task_leaves_few_files(spark, tmp_path, monkeypatch):
+    hook, place = Webhook(tmp_path / "got"), tmp_path / "outbox"
+    rows = [outbox.Row(outbox_batch=i % 2, alert_id=f"a{i}", n=i) for i in range(1000)]
+    outbox._sender(hook, str(place))(rows)
+    assert len(list(place.rglob("*.json"))) == 2, "one for each micro-batch"
+    monkeypatch.setattr(outbox, "MERGED", 20_000)
+    outbox._sender(hook, str(place))(rows)
+    assert 4 < len(list(place.rglob("*.json"))) < 30
+    assert not list((place / outbox.OPEN).iterdir())
+    assert {(r.attempts, r.sent) for r in outbox.states(outbox.records(spark, str(place))).collect()} == {(2, True)}
+    assert outbox.records(spark, str(place), 1).count() == 1000
+
+
+def test_chunks_that_are_both_merged_and_open_are_one_attempt(spark, tmp_path, monkeypatch):
+    place = tmp_path / "outbox"
+    real = outbox.fs.FileSystem.from_uri
+
+    class Lost:
+        """A file system on which a task is lost before it deletes."""
+
+        def __init__(self, system):
+            self.system = system
+
+        def __getattr__(self, name):
+            return getattr(self.system, name)
+
+        def delete_dir(self, path):
+            raise KeyboardInterrupt
+
+    class From:
+        @staticmethod
+        def from_uri(uri):
+            system, root = real(uri)
+            return Lost(system), root
+
+    rows = [outbox.Row(outbox_batch=0, alert_id=f"a{i}", n=i) for i in range(120)]
+    with monkeypatch.context() as m:
+        m.setattr(outbox.fs, "FileSystem", From)
+        with pytest.raises(KeyboardInterrupt):
+            outbox._sender(Webhook(tmp_path / "got"), str(place))(rows)
+    assert outbox.records(spark, str(place), 0).count() == 240
+    assert [(r.attempts, r.sent) for r in outbox.states(outbox.records(spark, str(place), 0)).collect()] == [(1, True)] * 120
