@@ -18,7 +18,7 @@ def edges(events: DataFrame) -> DataFrame:
     scan in segments in which parents stand before the children of their time. Where a row whose ppid is
     its own pid finds itself, the largest before it in that order is the next one.
     """
-    rows = creations(events)
+    rows = written(creations(events), "creations")  # read by both sides, and by the range sort for its bounds
     child = rows.withColumns({"key": F.col("ppid"), "at": F.lit(None).cast("long"), "side": F.lit(1)})
     parent = rows.withColumns({"key": F.col("pid"), "at": F.col("seq"), "side": F.lit(0)})
     found = scan.running(child.unionByName(parent), ["agent_id", "key"], ["event_ts", "side", "seq"], {"last": scan.most(F.col("at")), "other": scan.most(F.col("at"), before=True)})

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from hostlens.operators import tree
 
+from .test_operators import create, events  # noqa: F401
+
 EDGE = "agent_id long, seq long, event_ts timestamp_ntz, pid long, ppid long, pkey string, image_path string, parent_seq long"
 
 
@@ -145,3 +147,16 @@ def test_an_unknown_process_is_an_error(spark):
         tree.roots_of(events, pid=123456)
     with pytest.raises(LookupError, match="key nobody"):
         tree.roots_of(events, process_key="nobody")
+
+
+def test_edges_make_their_creations_once(spark, events):  # noqa: F811
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(id):
+        made.add(1)
+        return True
+
+    rows = events([create(i, i, i, i - 1, "a.exe") for i in range(1, 21)])
+    assert tree.edges(rows.where(counted("id"))).count() == 20
+    assert made.value == 20
